@@ -75,8 +75,13 @@ def docx_asset_name(content: Column, image_format: Column) -> Column:
 
 def with_picture_header(assets: DataFrame) -> DataFrame:
     """Adds ``format``, ``width`` and ``height`` read from the picture's own header."""
-    header = _header(F.col("content"))
-    return assets.withColumn("header", header).select(*assets.columns, "header.*")
+
+    @F.pandas_udf("format string, width int, height int")
+    def header(contents: pd.Series) -> pd.DataFrame:
+        rows = [picture_header(c) for c in contents]
+        return pd.DataFrame(rows, columns=["format", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
+
+    return assets.withColumn("header", header("content")).select(*assets.columns, "header.*")
 
 
 def is_valid_asset(width: Column, height: Column, min_size: int = MIN_IMAGE_SIZE) -> Column:
@@ -109,9 +114,3 @@ def dedupe_assets(assets: DataFrame) -> DataFrame:
 
 def _digest(content: Column) -> Column:
     return F.substring(F.md5(content), 1, 8)
-
-
-@F.pandas_udf("format string, width int, height int")
-def _header(contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([picture_header(c) for c in contents], columns=["format", "width", "height"]) \
-        .astype({"width": "Int32", "height": "Int32"})

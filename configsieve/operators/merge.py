@@ -124,7 +124,7 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
 def drop_shadowed(winners: DataFrame) -> DataFrame:
     """Without the paths below one where an object lost to another value."""
     depth = F.size(F.split("path", "/")) - 1
-    parents = F.transform(F.sequence(F.lit(2), depth), lambda n: F.substring_index("path", "/", n))
+    parents = F.transform(F.sequence(F.lit(2), depth), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))
     below = winners.where(depth >= 2).select("doc_id", "path", F.explode(parents).alias("above"))
     not_objects = winners.where(F.col("vtype") != OBJECT).select("doc_id", F.col("path").alias("above"))
     shadowed = below.join(not_objects, ["doc_id", "above"], "left_semi").select("doc_id", "path").distinct()

@@ -42,8 +42,8 @@ def validate(configs: DataFrame, schema, *, strict_bool: bool = False) -> DataFr
 
 def gate(validated: DataFrame, schema) -> DataFrame:
     """Replaces invalid configurations by the schema's empty one; ``errors`` stay."""
-    empty = F.parse_json(F.lit(json.dumps(empty_config(schema))))
-    return validated.withColumn("config", F.when(F.col("is_valid"), F.col("config")).otherwise(empty))
+    valid = F.when(F.col("is_valid"), F.col("config"))
+    return validated.withColumn("config", valid.otherwise(empty_variant(schema)))
 
 
 def empty_config(schema: Mapping | None):
@@ -57,6 +57,12 @@ def empty_config(schema: Mapping | None):
     return {"array": [], "string": "", "boolean": False, "number": 0, "integer": 0}.get(kind)
 
 
+def empty_variant(schema: Mapping | None) -> Column:
+    """The empty configuration as a VARIANT; SQL NULL if the schema has no root type."""
+    empty = empty_config(schema)
+    return F.lit(None).cast("variant") if empty is None else F.parse_json(F.lit(json.dumps(empty)))
+
+
 def typed_row_violations(row: Column, rule: Mapping[str, str], ranges: Mapping[str, tuple[int, int]] | None = None) -> Column:
     """Sorted violations of a flat JSON object text against ``{field: string | integer}``.
 
@@ -83,9 +89,8 @@ def typed_row_violations(row: Column, rule: Mapping[str, str], ranges: Mapping[s
         errors = F.when(absent | fits, no_errors).otherwise(F.array(F.lit(f"type:{field}")))
         if ranges and field in ranges:
             low, high = ranges[field]
-            number = F.when(name == "bool", F.when(as_text == "true", 1).otherwise(0)) \
-                .otherwise(F.expr("NULL").cast("decimal(38,0)"))
-            number = F.coalesce(number, F.try_to_number(F.regexp_extract(as_text, r"^\s*\+?(-?\d{1,30})(\.0*)?\s*$", 1), F.lit("S" + "9" * 30)))
+            digits = F.regexp_extract(as_text, r"^\s*\+?(-?\d{1,30})(\.0*)?\s*$", 1)
+            number = F.when(name == "bool", (as_text == "true").cast("int")).otherwise(digits.try_cast("decimal(38,0)"))
             inside = number.between(low, high)
             errors = F.when(~absent & fits & ~F.coalesce(inside, F.lit(False)),
                             F.array(F.lit(f"range:{field}"))).otherwise(errors)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.merge import merge_fragments
 from ..operators.requests import request_rows
-from ..operators.validate import empty_config, gate, validate
+from ..operators.validate import empty_variant, gate, validate
 from ..sources.files import discover, read_documents
 
 
@@ -24,10 +23,9 @@ def resolve_documents(docs: DataFrame, responses: DataFrame, schema: dict | None
     """
     fragments = responses.select("doc_id", F.col("chunk_id").alias("ord"), "response")
     merged = merge_fragments(fragments, rule)
-    empty = F.parse_json(F.lit(json.dumps(empty_config(schema))))
+    empty = empty_variant(schema)
     no_errors = F.array().cast("array<string>")
     if schema:
-        # An unwrapped or untyped schema constrains nothing; empty_config may then be null.
         checked = gate(validate(merged.where(F.col("config").isNotNull()), schema), schema)
     else:
         checked = merged.withColumn("errors", no_errors)

@@ -10,8 +10,7 @@ MASKED_TYPES = ("credentials", "connection_string")
 
 def write_results(results: DataFrame, path: str, mode: str = "error") -> None:
     """JSON lines ``{"path": ..., "config": {...} or null}``, in parallel."""
-    config = F.parse_json(F.to_json("config"))
-    results.select("path", config.alias("config")).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    results.select("path", "config").write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_result_map(results: DataFrame, path: str, mode: str = "error") -> None:
