@@ -55,10 +55,10 @@ def hits(docs: str, pattern: str, pattern_ord: int, name: str, key: str, value:
     return f"""
 SELECT doc_id, CAST({pattern_ord} AS INTEGER) AS pattern_ord, CAST(i - 1 AS INTEGER) AS match_ord,
   {quoted(name)} AS type, {key} AS key, {value} AS value, m[i] AS hit,
-  substr(text, greatest(at - {c.CONTEXT_CHARS}, 0) + 1,
-         least(at, {c.CONTEXT_CHARS}) + length(m[i]) + {c.CONTEXT_CHARS}) AS context
-FROM (SELECT *, CAST(coalesce(list_sum(list_transform(s[1:i], x -> length(x))), 0)
-        + coalesce(list_sum(list_transform(m[1:i-1], x -> length(x))), 0) AS BIGINT) AS at
+  substr(text, greatest(start_at - {c.CONTEXT_CHARS}, 0) + 1,
+         least(start_at, {c.CONTEXT_CHARS}) + length(m[i]) + {c.CONTEXT_CHARS}) AS context
+FROM (SELECT *, CAST(coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start_at
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i
     FROM (SELECT doc_id, text, string_split_regex(text, {p}) AS s, regexp_extract_all(text, {p}) AS m,
         regexp_extract_all(text, {p}, 1) AS g1{", regexp_extract_all(text, " + p + ", 2) AS g2" if "g2" in value else ""}
@@ -134,8 +134,8 @@ def section_type_sql(column: str) -> str:
 
 def heading_sql(column: str) -> str:
     strip = f"'^[{RE2_SPACE}]+|[{RE2_SPACE}]+$'"
-    lines = f"list_transform(string_split({column}, chr(10))[1:3], x -> regexp_replace(x, {strip}, '', 'g'))"
-    kept = f"list_filter({lines}, x -> length(x) < 100 AND x LIKE '%:')"
+    lines = f"list_transform(string_split({column}, chr(10))[1:3], lambda x: regexp_replace(x, {strip}, '', 'g'))"
+    kept = f"list_filter({lines}, lambda x: length(x) < 100 AND x LIKE '%:')"
     return f"trim(({kept})[1], ':')"
 
 
@@ -416,7 +416,7 @@ def oracle_sql() -> dict[str, str]:
               ELSE 'other' END AS format FROM documents""",
         "docx_text": """SELECT path, 'read' AS status, CAST(length(t) AS INTEGER) AS length, md5(t) AS text_md5
             FROM (SELECT CAST(doc_id AS VARCHAR) || '.docx' AS path,
-              array_to_string(list_filter(string_split(text, chr(10)), x -> trim(x) <> ''), chr(10))
+              array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))
               || CASE WHEN trim(replace(text, chr(10), '')) = '' THEN '' ELSE chr(10) END
               || source || ' | ' || CAST(n_chars AS VARCHAR) AS t FROM documents)""",
         "docx_media": f"""SELECT CAST(doc_id AS VARCHAR) || '.docx' AS path, 'word/media/image1.png' AS member,
