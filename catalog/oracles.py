@@ -398,6 +398,11 @@ def oracle_sql() -> dict[str, str]:
             || ',"tenantId":"' || json_extract_string(config, '$.tenantId') || '"}}'
             ELSE '{{"enableMonitoring":false,"tenantId":""}}' END AS config FROM {validated(['tenantId', 'enableMonitoring'])}""",
         "typed_rows": typed_rows_sql(),
+        "server_rows": """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'type:$' WHEN event_id % 4 = 0 THEN 'type:uptime'
+            ELSE '' END AS violations FROM events""",
+        "document_types": """SELECT doc_id, source || '/' || name AS path, doc_type FROM (SELECT *,
+            ['a.PDF', 'b.docx', 'c.doc', 'd.txt', 'e.json', 'f.yml', 'g.mkv', 'h.m4a', 'i.exe', 'pdf'][doc_id % 10 + 1] AS name,
+            ['pdf', 'docx', 'docx', 'text', 'json', 'yaml', 'video', 'audio', NULL, NULL][doc_id % 10 + 1] AS doc_type FROM documents)""",
         "asset_dedupe": f"""SELECT path, name, md5, bytes FROM (SELECT source || '.pdf' AS path,
             'a' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS name, md5(content) AS md5,
             CAST(octet_length(content) AS INTEGER) AS bytes,

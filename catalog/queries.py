@@ -14,7 +14,7 @@ from configsieve.functions.text import doc_hash, heading, section_type
 from configsieve.operators import assets, history, merge, requests, sections, settings, summary, validate
 from configsieve.plans.extract import resolve_documents
 from configsieve.sources.control import load_responses
-from configsieve.sources.files import explode_docx_media, read_docx
+from configsieve.sources.files import doc_type, explode_docx_media, read_docx
 
 from .tables import base, derived
 
@@ -298,8 +298,26 @@ def empty_config_gate(spark, sf_dir):
 
 
 def typed_rows(spark, sf_dir):
-    violations = F.array_join(validate.database_violations(F.col("row")), "; ")
-    return derived(spark, sf_dir, "database_rows").select("row_id", violations.alias("violations"))
+    checked = validate.check_database_rows(derived(spark, sf_dir, "database_rows"))
+    return checked.select("row_id", F.array_join("violations", "; ").alias("violations"))
+
+
+def server_rows(spark, sf_dir):
+    props = base(spark, sf_dir, "events").select("event_id", server_row_json().alias("row"))
+    return validate.check_server_rows(props).select("event_id", F.array_join("violations", "; ").alias("violations"))
+
+
+def server_row_json() -> Column:
+    uptime = F.when(F.col("event_id") % 4 == 0, F.col("value").cast("string")) \
+        .otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    ends = F.when(F.col("event_id") % 9 == 0, F.lit("]")).otherwise(F.lit("}"))
+    return F.concat(F.lit('{"ip": "10.0.0.'), F.col("user_id").cast("string"), F.lit('", "uptime": '), uptime, ends)
+
+
+def document_types(spark, sf_dir):
+    names = F.array(*[F.lit(e) for e in ("a.PDF", "b.docx", "c.doc", "d.txt", "e.json", "f.yml", "g.mkv", "h.m4a", "i.exe", "pdf")])
+    path = F.concat("source", F.lit("/"), F.get(names, (F.col("doc_id") % 10).cast("int")))
+    return base(spark, sf_dir, "documents").select("doc_id", path.alias("path"), doc_type(path).alias("doc_type"))
 
 
 # --- assets and files -------------------------------------------------------
@@ -395,6 +413,6 @@ QUERIES = {f.__name__: f for f in (
     doc_hashes, history_upsert, related_contexts, dangling_edges,
     merge_rule_a, merge_rule_b, merge_nested_a, merge_nested_b, merge_configs,
     request_rows, request_rows_pairs, attach_responses, resolved_configs, processing_summary,
-    validate_config, empty_config_gate, typed_rows,
+    validate_config, empty_config_gate, typed_rows, server_rows, document_types,
     asset_dedupe, asset_fields, asset_filter, sniff_format, docx_text, docx_media,
 )}

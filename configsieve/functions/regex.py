@@ -16,9 +16,9 @@ PY_SPACE = (
 )
 STRIP_PATTERN = rf"^[{PY_SPACE}]+|[{PY_SPACE}]+\z"
 
-# Any character.  A literal one beyond the BMP makes Java's lookbehind step back
-# by code points instead of UTF-16 units.
-ANY_CHAR = rf"[\s\S{chr(0x10FFFF)}]"
+# Matches nothing; a literal beyond the BMP anywhere after a lookbehind makes Java
+# step back by code points instead of UTF-16 units.
+BY_CODE_POINTS = chr(0x10FFFF) + "{0}"
 
 # Control characters, then noncharacters that Unicode reserves for internal use.
 PAD_CHARS = (*map(chr, range(8)), *map(chr, range(0xFDD0, 0xFDF0)))
@@ -85,6 +85,11 @@ def find_all(text: Column, pattern: str, group: int = 0,
     return _if_contains(text, needs, found)
 
 
+def any_chars(least: int, most: int) -> str:
+    """That many characters of any kind; dot-all is far faster in Java than ``[\\s\\S]``."""
+    return f"(?s:.{{{least},{most}}})"
+
+
 def pad_char(text: Column) -> Column:
     """The first pad character ``text`` does not contain."""
     free = [F.when(~F.contains(text, F.lit(c)), F.lit(c)) for c in PAD_CHARS]
@@ -108,8 +113,8 @@ def find_all_in_context(padded_text: Column, pattern: str, width: int,
     lookbehind keeps matches out of the padding.
     """
     bare = _guarded(without_captures(to_java(pattern)), not_after)
-    around = rf"{ANY_CHAR}{{{width}}}{bare}{ANY_CHAR}{{0,{width}}}"
-    scan = rf"(?={bare})(?<=(?=({around})){ANY_CHAR}{{{width}}}){bare}"
+    around = f"{any_chars(width, width)}{bare}{any_chars(0, width)}"
+    scan = f"(?={bare})(?<=(?=({around})){any_chars(width, width)}){bare}{BY_CODE_POINTS}"
     found = F.regexp_extract_all(padded_text, F.lit(scan), F.lit(1))
     return _if_contains(padded_text, needs, found)
 

@@ -17,7 +17,7 @@ from ..constants import (
     RELATION_TERMS,
     SECTION_KEYWORDS,
 )
-from .regex import strip, to_java
+from .regex import any_chars, strip, to_java
 
 HEADING_LINES = 3
 HEADING_MAX_LENGTH = 100
@@ -68,7 +68,8 @@ def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     if not 0 <= overlap < size:
         raise ValueError("overlap must be non-negative and smaller than size")
     step = size - overlap
-    window = rf"(?=([\s\S]{{1,{size}}}))(?:\A|(?=[\s\S]{{{overlap + 1}}}))[\s\S]{{1,{step}}}"
+    more_than_overlap = f"(?:\\A|(?={any_chars(overlap + 1, overlap + 1)}))"
+    window = f"{more_than_overlap}(?=({any_chars(1, size)})){any_chars(1, step)}"
     return F.regexp_extract_all(text, F.lit(window), F.lit(1))
 
 

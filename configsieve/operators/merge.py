@@ -92,7 +92,11 @@ def flatten_fragments(fragments: DataFrame, text_column: str = "response") -> Da
 
 
 def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
-    """The winning ``(vtype, value)`` of every ``(doc_id, path)``, losers' descendants included."""
+    """The winner of every path: ``doc_id, path, vtype, value, lost``.
+
+    ``lost`` marks paths where an object lost to another value; what lay below
+    such an object is still in the result (see :func:`drop_shadowed`).
+    """
     if rule not in ("A", "B"):
         raise ValueError(f"unknown conflict rule: {rule}")
     value, vtype = F.col("value"), F.col("vtype")
@@ -110,6 +114,7 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
     decided = leaves.groupBy("doc_id", "path").agg(
         F.min_by(F.struct("vtype", "value"), first_key).alias("first"),
         F.min_by("value", text_key).alias("text"),
+        F.bool_or(vtype == OBJECT).alias("had_object"),
     )
     first = F.col("first")
     yields = first["vtype"] == STRING
@@ -118,17 +123,21 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
     return decided.select(
         "doc_id", "path", first["vtype"].alias("vtype"),
         F.when(yields, F.coalesce("text", first["value"])).otherwise(first["value"]).alias("value"),
+        (F.col("had_object") & (first["vtype"] != OBJECT)).alias("lost"),
     )
 
 
 def drop_shadowed(winners: DataFrame) -> DataFrame:
-    """Without the paths below one where an object lost to another value."""
+    """Without the paths below one where an object lost, and without ``lost``.
+
+    Such paths are rare; where there are none, adaptive execution drops both joins.
+    """
+    lost = winners.where("lost").select("doc_id", F.col("path").alias("above"))
     depth = F.size(F.split("path", "/")) - 1
     parents = F.transform(F.sequence(F.lit(2), depth), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))
     below = winners.where(depth >= 2).select("doc_id", "path", F.explode(parents).alias("above"))
-    not_objects = winners.where(F.col("vtype") != OBJECT).select("doc_id", F.col("path").alias("above"))
-    shadowed = below.join(not_objects, ["doc_id", "above"], "left_semi").select("doc_id", "path").distinct()
-    return winners.join(shadowed, ["doc_id", "path"], "left_anti")
+    shadowed = below.join(lost, ["doc_id", "above"], "left_semi").select("doc_id", "path").distinct()
+    return winners.join(shadowed, ["doc_id", "path"], "left_anti").drop("lost")
 
 
 def assemble(winners: DataFrame) -> DataFrame:

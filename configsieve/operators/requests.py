@@ -48,8 +48,10 @@ def request_rows(docs: DataFrame, history: DataFrame, schema: dict | None = None
         related_text(F.col("related")).alias("related_configs"),
         relation_slot(F.col("chunks")).alias("relationships"),
     )
-    rows = prepared.select("*", F.posexplode("chunks").alias("chunk_id", "text")).drop("chunks")
-    return rows.select(
+    # The outer form, because for the inner one Spark infers a filter on the size of
+    # the array and cuts every text again to evaluate it.
+    rows = prepared.select("*", F.posexplode_outer("chunks").alias("chunk_id", "text")).drop("chunks")
+    return rows.where(F.col("chunk_id").isNotNull()).select(
         "doc_id", "chunk_id", "text",
         F.lit(system).alias("system_message"),
         fill_template(template, json.dumps(schema or {}, indent=2)).alias("user_message"),

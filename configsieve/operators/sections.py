@@ -27,8 +27,9 @@ def chunks(text: Column, method: str = "recursive", size: int = CHUNK_SIZE, over
 def chunk_documents(docs: DataFrame, method: str = "recursive", size: int = CHUNK_SIZE,
                     overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk: ``doc_id, id, content``."""
-    cut = docs.select("doc_id", chunks(F.col("text"), method, size, overlap).alias("chunks"))
-    return cut.select("doc_id", F.posexplode("chunks").alias("id", "content"))
+    # Exploding the expression itself: over a column, Spark would infer a filter on
+    # the array's size and cut every text again to evaluate it.
+    return docs.select("doc_id", F.posexplode(chunks(F.col("text"), method, size, overlap)).alias("id", "content"))
 
 
 def identify_sections(docs: DataFrame, method: str = "recursive", size: int = CHUNK_SIZE,
@@ -71,21 +72,24 @@ def relate_sections(sections: DataFrame, terms: Sequence[str] = RELATION_TERMS,
     """
     masked = (
         sections.select("doc_id", "id", term_mask(F.col("content"), terms).alias("mask"))
-        .where(F.col("mask") != 0)
+        # Stated here because the join would add it for two of the three uses only.
+        .where((F.col("mask") != 0) & F.col("doc_id").isNotNull())
         # The three uses below share this exchange; without it each would cut
         # and search the texts again.  Both columns: a hot document spreads.
         .repartition(F.col("doc_id"), F.col("id"))
     )
     large = (
         masked.groupBy("doc_id")
-        .agg(F.floor(F.max("id") / block).cast("int").alias("last_block"))
+        # Naming the mask keeps this use of the exchange identical to the others.
+        .agg(F.floor(F.max(F.when(F.col("mask") != 0, F.col("id"))) / block).cast("int").alias("last_block"))
         .where(F.col("last_block") > 0)
     )
     blocked = masked.join(large, "doc_id", "left").select(
         "doc_id", "id", "mask",
         F.floor(F.col("id") / block).cast("int").alias("block"),
         F.sequence(F.lit(0), F.coalesce("last_block", F.lit(0))).alias("blocks"),
-        F.explode(_set_bits(F.col("mask"), len(terms))).alias("term"),
+        # Outer, because the inner form would push a filter below the shared exchange.
+        F.explode_outer(_set_bits(F.col("mask"), len(terms))).alias("term"),
     )
     source = blocked.select(
         "doc_id", "term", F.col("id").alias("source"), F.col("mask").alias("source_mask"),

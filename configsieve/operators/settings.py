@@ -96,7 +96,7 @@ def extract_candidates(docs: DataFrame, patterns: Sequence[SettingPattern] = SET
         F.try_parse_json(json_text).alias("value_json"),
         "context",
     )
-    return drop_false_positives(rows.where(F.coalesce("value", F.to_json("value_json")).isNotNull()))
+    return drop_false_positives(rows.where((F.col("type") != JSON_TYPE) | F.col("value_json").isNotNull()))
 
 
 def is_real_value(value: Column, placeholders: Sequence[str] = PLACEHOLDER_VALUES,

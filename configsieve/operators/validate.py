@@ -21,17 +21,27 @@ ACCEPTED = {
     "boolean": ("bool",),
 }
 
-# A fraction-free decimal of more digits than this is an integer too wide for BIGINT.
-LONG_DIGITS = 18
+NO_OBJECT = "No configuration object at $"
+
+# How the schema of a VARIANT names a JSON value, and what Python would make of
+# it.  A decimal without fraction digits is an integer only if it is too wide
+# for BIGINT; everything not listed is a float.
+KIND = r"^(OBJECT|ARRAY|STRING|BIGINT|BOOLEAN|VOID|DECIMAL(?=\((?:19|[23]\d),0\)))?"
+PYTHON_TYPES = {
+    "OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BIGINT": "int", "DECIMAL": "int",
+    "BOOLEAN": "bool", "VOID": "NoneType", "": "float",
+}
 
 
 def validation_errors(config: Column, schema, *, strict_bool: bool = False) -> Column:
     """Sorted array of the messages a configuration draws from ``schema``.
 
     The driver walks the schema, never the data: each schema node becomes an
-    expression over the part of the VARIANT it describes.
+    expression over the part of the VARIANT it describes.  A missing (SQL NULL)
+    configuration draws a message of its own.
     """
-    return F.array_sort(_node_errors(config, schema, F.lit("$"), strict_bool, 0))
+    errors = _node_errors(config, schema, F.lit("$"), strict_bool)
+    return F.when(config.isNull(), F.array(F.lit(NO_OBJECT))).otherwise(F.array_sort(errors))
 
 
 def validate(configs: DataFrame, schema, *, strict_bool: bool = False) -> DataFrame:
@@ -63,57 +73,62 @@ def empty_variant(schema: Mapping | None) -> Column:
     return F.lit(None).cast("variant") if empty is None else F.parse_json(F.lit(json.dumps(empty)))
 
 
-def typed_row_violations(row: Column, rule: Mapping[str, str], ranges: Mapping[str, tuple[int, int]] | None = None) -> Column:
-    """Sorted violations of a flat JSON object text against ``{field: string | integer}``.
+def check_typed_rows(rows: DataFrame, rule: Mapping[str, str],
+                     ranges: Mapping[str, tuple[int, int]] | None = None, column: str = "row") -> DataFrame:
+    """Adds ``violations``: what a flat JSON object text breaks of ``{field: string | integer}``.
 
     Every field is optional and may be null; other keys are forbidden.  An
     integer may be written as a number without fraction, a boolean or a
     numeric string.  The only entry of a text that is no object is ``type:$``.
     """
-    parsed = F.try_parse_json(row)
-    no_errors = F.array().cast("array<string>")
-    extra = F.transform(
-        F.array_except(F.json_object_keys(row), F.array(*map(F.lit, rule))),
-        lambda key: F.concat(F.lit("extra:"), key))
-    checks = [F.coalesce(extra, no_errors)]
-    for field, kind in rule.items():
-        member = F.variant_get(parsed, _member_path(field), "variant")
-        name = _python_type(member)
-        as_text = F.variant_get(parsed, _member_path(field), "string")
-        absent = member.isNull() | (name == "NoneType")
-        if kind == "string":
-            fits = name == "str"
-        else:
-            fits = name.isin("int", "bool", "float", "str") & (
-                (name == "bool") | F.rlike(as_text, F.lit(r"^\s*[+-]?\d+(\.0*)?\s*$")))
-        errors = F.when(absent | fits, no_errors).otherwise(F.array(F.lit(f"type:{field}")))
-        if ranges and field in ranges:
-            low, high = ranges[field]
-            digits = F.regexp_extract(as_text, r"^\s*\+?(-?\d{1,30})(\.0*)?\s*$", 1)
-            number = F.when(name == "bool", (as_text == "true").cast("int")).otherwise(digits.try_cast("decimal(38,0)"))
-            inside = number.between(low, high)
-            errors = F.when(~absent & fits & ~F.coalesce(inside, F.lit(False)),
-                            F.array(F.lit(f"range:{field}"))).otherwise(errors)
-        checks.append(errors)
-    is_object = F.coalesce(_python_type(parsed) == "dict", F.lit(False))
-    return F.when(is_object, F.array_sort(F.concat(*checks))).otherwise(F.array(F.lit("type:$")))
-
-
-def database_violations(row: Column) -> Column:
-    """Violations of the database row rule (port range included)."""
-    return typed_row_violations(row, DATABASE_RULE, {"port": PORT_RANGE})
-
-
-def server_violations(row: Column) -> Column:
-    """Violations of the server row rule."""
-    return typed_row_violations(row, SERVER_RULE)
+    columns = rows.columns
+    parsed = rows.withColumn("_parsed", F.try_parse_json(column))
+    members = parsed.select(
+        *columns,
+        F.coalesce(_python_type(F.col("_parsed")) == "dict", F.lit(False)).alias("_is_object"),
+        F.json_object_keys(column).alias("_keys"),
+        *[_python_type(F.variant_get("_parsed", _member_path(f), "variant")).alias(f"_kind_{f}") for f in rule],
+        *[F.variant_get("_parsed", _member_path(f), "string").alias(f"_text_{f}") for f in rule],
+    )
+    extra = F.transform(F.array_except("_keys", F.array(*map(F.lit, rule))), lambda key: F.concat(F.lit("extra:"), key))
+    checks = [_field_check(field, kind, (ranges or {}).get(field)) for field, kind in rule.items()]
+    found = F.array_sort(F.concat(extra, F.array_compact(F.array(*checks))))
+    return members.select(
+        *columns, F.when(F.col("_is_object"), found).otherwise(F.array(F.lit("type:$"))).alias("violations"))
+
+
+def check_database_rows(rows: DataFrame, column: str = "row") -> DataFrame:
+    """The database row rule, port range included."""
+    return check_typed_rows(rows, DATABASE_RULE, {"port": PORT_RANGE}, column)
+
+
+def check_server_rows(rows: DataFrame, column: str = "row") -> DataFrame:
+    """The server row rule."""
+    return check_typed_rows(rows, SERVER_RULE, None, column)
+
+
+def _field_check(field: str, kind: str, bounds: tuple[int, int] | None) -> Column:
+    """The violation of one field of a typed row, or null."""
+    found, text = F.col(f"_kind_{field}"), F.col(f"_text_{field}")
+    wrong_type = F.lit(f"type:{field}")
+    absent = found.isNull() | (found == "NoneType")
+    if kind == "string":
+        return F.when(~absent & (found != "str"), wrong_type)
+    digits = F.regexp_extract(text, r"^\s*([+-]?\d+)(\.0*)?\s*$", 1)
+    whole = (found == "bool") | (found.isin("int", "float", "str") & (digits != ""))
+    check = F.when(absent, None).when(~whole, wrong_type)
+    if bounds:
+        number = F.when(found == "bool", (text == "true").cast("int")).otherwise(digits.try_cast("decimal(38,0)"))
+        # A number too long to cast is outside every range.
+        check = check.when(~F.coalesce(number.between(*bounds), F.lit(False)), F.lit(f"range:{field}"))
+    return check
 
 
 def _empty_part(schema: Mapping):
     return empty_config(schema) if schema else None
 
 
-def _node_errors(value: Column, schema, path: Column, strict_bool: bool, depth: int) -> Column:
+def _node_errors(value: Column, schema, path: Column, strict_bool: bool) -> Column:
     """Errors of ``value`` (not SQL NULL) against one schema node."""
     if not isinstance(schema, Mapping):
         return _one_error(F.lit("Invalid schema at "), path, F.lit(": schema must be an object"))
@@ -126,15 +141,15 @@ def _node_errors(value: Column, schema, path: Column, strict_bool: bool, depth:
     found = _python_type(value)
     mismatch = _one_error(F.lit(f"Expected {kind} at "), path, F.lit(", got "), found)
     if kind == "object":
-        inner = _object_errors(value, schema, path, strict_bool, depth)
+        inner = _object_errors(value, schema, path, strict_bool)
     elif kind == "array" and "items" in schema:
-        inner = _array_errors(value, schema["items"], path, strict_bool, depth)
+        inner = _array_errors(value, schema["items"], path, strict_bool)
     else:
         inner = _no_errors()
     return F.when(found.isin(*accepted), inner).otherwise(mismatch)
 
 
-def _object_errors(value: Column, schema: Mapping, path: Column, strict_bool: bool, depth: int) -> Column:
+def _object_errors(value: Column, schema: Mapping, path: Column, strict_bool: bool) -> Column:
     def member(name):
         return F.variant_get(value, _member_path(name), "variant")
 
@@ -144,33 +159,23 @@ def _object_errors(value: Column, schema: Mapping, path: Column, strict_bool: bo
         for name in schema.get("required", [])
     ]
     for name, part in schema.get("properties", {}).items():
-        errors = _node_errors(member(name), part, F.concat(path, F.lit(f".{name}")), strict_bool, depth)
+        errors = _node_errors(member(name), part, F.concat(path, F.lit(f".{name}")), strict_bool)
         parts.append(F.when(member(name).isNotNull(), errors).otherwise(_no_errors()))
     return F.concat(*parts) if parts else _no_errors()
 
 
-def _array_errors(value: Column, items, path: Column, strict_bool: bool, depth: int) -> Column:
+def _array_errors(value: Column, items, path: Column, strict_bool: bool) -> Column:
     def of_item(item, i):
         item_path = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-        return _node_errors(item, items, item_path, strict_bool, depth + 1)
+        return _node_errors(item, items, item_path, strict_bool)
 
     return F.flatten(F.transform(value.cast("array<variant>"), of_item))
 
 
 def _python_type(value: Column) -> Column:
-    """Name of the Python type the JSON value would have."""
-    kind = F.schema_of_variant(value)
-    scale_free = F.regexp_extract(kind, r"^DECIMAL\((\d+),0\)$", 1)
-    wide_integer = (scale_free != "") & (scale_free.cast("int") > LONG_DIGITS)
-    return (
-        F.when(F.startswith(kind, F.lit("OBJECT<")), "dict")
-        .when(F.startswith(kind, F.lit("ARRAY<")), "list")
-        .when(kind == "STRING", "str")
-        .when((kind == "BIGINT") | wide_integer, "int")
-        .when(kind == "BOOLEAN", "bool")
-        .when(kind == "VOID", "NoneType")
-        .when(kind.isNotNull(), "float")
-    )
+    """Name of the Python type the JSON value would have; null for an absent value."""
+    names = F.create_map(*[F.lit(part) for pair in PYTHON_TYPES.items() for part in pair])
+    return names[F.regexp_extract(F.schema_of_variant(value), KIND, 1)]
 
 
 def _member_path(name: str) -> str:

@@ -25,10 +25,8 @@ def resolve_documents(docs: DataFrame, responses: DataFrame, schema: dict | None
     merged = merge_fragments(fragments, rule)
     empty = empty_variant(schema)
     no_errors = F.array().cast("array<string>")
-    if schema:
-        checked = gate(validate(merged.where(F.col("config").isNotNull()), schema), schema)
-    else:
-        checked = merged.withColumn("errors", no_errors)
+    # No filter on ``config``: Spark would build it a second time to test it.
+    checked = gate(validate(merged, schema), schema) if schema else merged.withColumn("errors", no_errors)
     ids = docs.select("doc_id", "path", "status", "error")
     joined = ids.join(checked.select("doc_id", "config", "errors"), "doc_id", "left")
     readable = F.col("status") != "failed"
