@@ -14,6 +14,7 @@ PY_SPACE = (
     r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
     r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 )
+PY_CLASSES = {r"\s": PY_SPACE, r"\d": r"\p{Nd}", r"\w": r"\p{L}\p{N}_"}
 STRIP_PATTERN = rf"^[{PY_SPACE}]+|[{PY_SPACE}]+\z"
 
 # Matches nothing; a literal beyond the BMP anywhere after a lookbehind makes Java
@@ -32,13 +33,14 @@ OUTSIDE_LOOKING = re.compile(r"(?<!\\)(?:\\\\)*(?:\\[AbBGzZ]|\(\?<?[=!])|(?:^|[^
 
 
 def to_java(pattern: str) -> str:
-    """The same pattern with Python's Unicode ``\\s``, ``\\d`` and case rules, for Java."""
+    """The same pattern with Python's Unicode classes and case rules, for Java."""
     out, i, in_class = [], 0, False
     while i < len(pattern):
         pair = pattern[i:i + 2]
-        if pair in (r"\s", r"\d"):
-            body = PY_SPACE if pair == r"\s" else r"\p{Nd}"
-            out.append(body if in_class else f"[{body}]")
+        if pair.lower() in PY_CLASSES:
+            body = PY_CLASSES[pair.lower()]
+            negated = pair[1].isupper()
+            out.append(f"[^{body}]" if negated else body if in_class else f"[{body}]")
             i += 2
         elif pair[0] == "\\":
             out.append(pair)

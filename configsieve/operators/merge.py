@@ -114,7 +114,8 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
     decided = leaves.groupBy("doc_id", "path").agg(
         F.min_by(F.struct("vtype", "value"), first_key).alias("first"),
         F.min_by("value", text_key).alias("text"),
-        F.bool_or(vtype == OBJECT).alias("had_object"),
+        # A filled object sorts before an empty one.
+        F.min(F.when(vtype == OBJECT, value)).alias("object"),
     )
     first = F.col("first")
     yields = first["vtype"] == STRING
@@ -122,8 +123,10 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
         yields = yields & F.lower(first["value"]).isin(*LOOPBACK_VALUES)
     return decided.select(
         "doc_id", "path", first["vtype"].alias("vtype"),
-        F.when(yields, F.coalesce("text", first["value"])).otherwise(first["value"]).alias("value"),
-        (F.col("had_object") & (first["vtype"] != OBJECT)).alias("lost"),
+        F.when(yields, F.coalesce("text", first["value"]))
+        .when(first["vtype"] == OBJECT, F.col("object"))
+        .otherwise(first["value"]).alias("value"),
+        (F.col("object").isNotNull() & (first["vtype"] != OBJECT)).alias("lost"),
     )
 
 

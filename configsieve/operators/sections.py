@@ -11,9 +11,9 @@ from ..constants import CHUNK_OVERLAP, CHUNK_SIZE, RELATION_CONFIDENCE, RELATION
 from ..functions.splitter import recursive_chunks
 from ..functions.text import fixed_chunks, has_assignment, heading, section_type, term_mask
 
-# Sections of one document meet in blocks of this many, so that one join key
-# never stands for more than the square of it.
-RELATION_BLOCK = 512
+# Sections of one document meet in blocks of 2 ** 9, so that one join key never
+# stands for more than the square of that.
+RELATION_BLOCK_BITS = 9
 
 
 def chunks(text: Column, method: str = "recursive", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -61,19 +61,20 @@ def section_terms(sections: DataFrame, terms: Sequence[str] = RELATION_TERMS) ->
 
 
 def relate_sections(sections: DataFrame, terms: Sequence[str] = RELATION_TERMS,
-                    block: int = RELATION_BLOCK) -> DataFrame:
+                    block_bits: int = RELATION_BLOCK_BITS) -> DataFrame:
     """Ordered pairs of sections of one document that share a term, both directions.
 
     An equi-join on ``(doc_id, term)``.  A pair sharing several terms is kept
     at its first one only, so no ``distinct`` is needed.  Documents with more
-    sections than ``block`` join block by block: the key then also carries the
+    sections than a block join block by block: the key then also carries the
     two block numbers, which spreads a huge document over many tasks.  Only
     ids and a bit mask are shuffled, never the contents.
     """
+    mask, block = term_mask(F.col("content"), terms), F.shiftright("id", block_bits)
     masked = (
-        sections.select("doc_id", "id", term_mask(F.col("content"), terms).alias("mask"))
+        sections.select("doc_id", "id", block.alias("block"), mask.alias("mask"))
         # Stated here because the join would add it for two of the three uses only.
-        .where((F.col("mask") != 0) & F.col("doc_id").isNotNull())
+        .where((F.col("mask") != 0) & F.col("doc_id").isNotNull() & F.col("id").isNotNull() & F.col("block").isNotNull())
         # The three uses below share this exchange; without it each would cut
         # and search the texts again.  Both columns: a hot document spreads.
         .repartition(F.col("doc_id"), F.col("id"))
@@ -81,12 +82,11 @@ def relate_sections(sections: DataFrame, terms: Sequence[str] = RELATION_TERMS,
     large = (
         masked.groupBy("doc_id")
         # Naming the mask keeps this use of the exchange identical to the others.
-        .agg(F.floor(F.max(F.when(F.col("mask") != 0, F.col("id"))) / block).cast("int").alias("last_block"))
+        .agg(F.max(F.when(F.col("mask") != 0, F.col("block"))).alias("last_block"))
         .where(F.col("last_block") > 0)
     )
     blocked = masked.join(large, "doc_id", "left").select(
-        "doc_id", "id", "mask",
-        F.floor(F.col("id") / block).cast("int").alias("block"),
+        "doc_id", "id", "mask", "block",
         F.sequence(F.lit(0), F.coalesce("last_block", F.lit(0))).alias("blocks"),
         # Outer, because the inner form would push a filter below the shared exchange.
         F.explode_outer(_set_bits(F.col("mask"), len(terms))).alias("term"),

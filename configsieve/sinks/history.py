@@ -1,8 +1,17 @@
-"""The history and edges tables as versioned Parquet directories."""
+"""The history and edges tables as Parquet directories.
+
+``<base>/history/version=N`` is a full table that includes every batch before
+N; ``<base>/history/batch=N`` holds rows stored since.  Storing appends a batch
+and costs what the batch costs; reading resolves batches against the version
+with the same newest-wins rule; compacting writes the next version.  A write
+counts once its success marker is there, so a job that dies half-way leaves
+the previous state in force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.history import EDGES_SCHEMA, HISTORY_SCHEMA, upsert_history
 
@@ -13,42 +22,62 @@ SCHEMAS = {HISTORY: HISTORY_SCHEMA, EDGES: EDGES_SCHEMA}
 def create_tables(spark: SparkSession, base: str) -> None:
     """Write empty first versions of both tables unless they exist."""
     for table, schema in SCHEMAS.items():
-        if latest_version(spark, base, table) is None:
-            write_version(spark.createDataFrame([], schema), base, table, 0)
-
-
-def read_table(spark: SparkSession, base: str, table: str = HISTORY) -> DataFrame:
-    """The latest complete version of a table."""
-    version = latest_version(spark, base, table)
-    if version is None:
-        raise FileNotFoundError(f"no {table} table under {base}")
-    return spark.read.schema(SCHEMAS[table]).parquet(version_path(base, table, version))
-
+        if not _numbers(spark, base, table, "version"):
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(_path(base, table, "version", 0))
 
-def store_contexts(spark: SparkSession, base: str, updates: DataFrame) -> int:
-    """Upsert history rows; the new version is a directory of its own.
-
-    Readers see it once its success marker is there, so a job that dies
-    half-way leaves the previous version in force.
-    """
-    current = latest_version(spark, base, HISTORY)
-    history = read_table(spark, base, HISTORY)
-    write_version(upsert_history(history, updates), base, HISTORY, current + 1)
-    return current + 1
 
+def read_history(spark: SparkSession, base: str) -> DataFrame:
+    """The current history, one row per ``doc_hash``."""
+    version, batches = _state(spark, base)
+    stored = spark.read.schema(HISTORY_SCHEMA).parquet(_path(base, HISTORY, "version", version))
+    if not batches:
+        return stored
+    # The batch number, read from the directory name, orders rows of equal time.
+    recent = spark.read.schema(HISTORY_SCHEMA).option("basePath", f"{base.rstrip('/')}/{HISTORY}") \
+        .parquet(*[_path(base, HISTORY, "batch", b) for b in batches])
+    return upsert_history(stored, recent.withColumn("seq", F.col("batch").cast("long")))
 
-def write_version(rows: DataFrame, base: str, table: str, version: int) -> None:
-    rows.write.mode("overwrite").parquet(version_path(base, table, version))
 
+def read_edges(spark: SparkSession, base: str) -> DataFrame:
+    """The edges table."""
+    version = max(_numbers(spark, base, EDGES, "version"))
+    return spark.read.schema(EDGES_SCHEMA).parquet(_path(base, EDGES, "version", version))
 
-def version_path(base: str, table: str, version: int) -> str:
-    return f"{base.rstrip('/')}/{table}/version={version}"
 
-
-def latest_version(spark: SparkSession, base: str, table: str) -> int | None:
-    """The highest version whose write has finished."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{table}/version=*/_SUCCESS")
-    file_system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = file_system.globStatus(path) or []
-    versions = [int(s.getPath().getParent().getName().removeprefix("version=")) for s in done]
-    return max(versions, default=None)
+def store_contexts(spark: SparkSession, base: str, updates: DataFrame) -> int:
+    """Insert or replace history rows; returns the number of the batch written."""
+    version, batches = _state(spark, base)
+    number = max(batches, default=version - 1) + 1
+    rows = updates.select(*HISTORY_SCHEMA.fieldNames())
+    rows.write.mode("overwrite").parquet(_path(base, HISTORY, "batch", number))
+    return number
+
+
+def compact_history(spark: SparkSession, base: str) -> int:
+    """Fold all batches into a new version; returns its number."""
+    version, batches = _state(spark, base)
+    number = max(batches, default=version - 1) + 1
+    if number > version:
+        read_history(spark, base).write.mode("overwrite").parquet(_path(base, HISTORY, "version", number))
+    return number
+
+
+def _state(spark: SparkSession, base: str) -> tuple[int, list[int]]:
+    """The latest version and the batches it does not include."""
+    versions = _numbers(spark, base, HISTORY, "version")
+    if not versions:
+        raise FileNotFoundError(f"no {HISTORY} table under {base}")
+    version = max(versions)
+    return version, [b for b in _numbers(spark, base, HISTORY, "batch") if b >= version]
+
+
+def _path(base: str, table: str, kind: str, number: int) -> str:
+    return f"{base.rstrip('/')}/{table}/{kind}={number}"
+
+
+def _numbers(spark: SparkSession, base: str, table: str, kind: str) -> list[int]:
+    """Numbers of the finished writes of one kind, ascending."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{table}/{kind}=*/_SUCCESS")
+    file_system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = file_system.globStatus(pattern) or []
+    return sorted(int(s.getPath().getParent().getName().partition("=")[2]) for s in done)
