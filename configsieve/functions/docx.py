@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -31,7 +32,7 @@ def docx_media(content: bytes) -> Iterator[tuple[str, bytes]]:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             members = sorted(n for n in archive.namelist() if n.startswith(MEDIA_PREFIX) and not n.endswith("/"))
             yield from [(name, archive.read(name)) for name in members]
-    except (zipfile.BadZipFile, zipfile.LargeZipFile, EOFError, RuntimeError, NotImplementedError):
+    except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError):
         return
 
 

@@ -5,12 +5,18 @@ from __future__ import annotations
 import struct
 
 UNKNOWN = (None, None, None)
+MAX_SIDE = 2**31 - 1
 
 
 def picture_header(content: bytes | None) -> tuple[str | None, int | None, int | None]:
-    """``(format, width, height)`` of PNG, GIF, BMP and JPEG pictures."""
-    if not content:
-        return UNKNOWN
+    """``(format, width, height)`` of PNG, GIF, BMP and JPEG pictures; sizes beyond an INT are none."""
+    kind, width, height = stated_header(content) if content else UNKNOWN
+    believable = width is not None and 0 <= width <= MAX_SIDE and 0 <= height <= MAX_SIDE
+    return (kind, width, height) if believable else (kind, None, None)
+
+
+def stated_header(content: bytes) -> tuple[str | None, int | None, int | None]:
+    """What the header says."""
     try:
         if content[:8] == b"\x89PNG\r\n\x1a\n":
             return ("png", *struct.unpack(">II", content[16:24]))

@@ -38,17 +38,19 @@ def parse_block(block: str):
         return flat_mapping(block)
     try:
         value = yaml.safe_load(block)
-    except (yaml.YAMLError, ValueError):
+    except (yaml.YAMLError, ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
 
 
-def json_text(value) -> str:
+def json_text(value) -> str | None:
     """JSON text of a YAML value; dates become ISO text, odd keys their ``str``."""
-    try:
-        return json.dumps(value, default=str, allow_nan=False)
-    except (TypeError, ValueError):
-        return json.dumps(plain(value), default=str)
+    for form in (lambda: value, lambda: plain(value)):
+        try:
+            return json.dumps(form(), default=str, allow_nan=False)
+        except (TypeError, ValueError, RecursionError):
+            continue
+    return None
 
 
 def plain(value):

@@ -19,6 +19,7 @@ if it loses, nothing below the path survives.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,8 +45,12 @@ def utf8(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 
 
-def reject_constant(name: str):
-    raise ValueError(f"{name} is not JSON")
+def finite(number: str) -> float:
+    """Parses a number; Python reads ``1e999`` and ``NaN``, JSON has no text for them."""
+    value = float(number)
+    if not math.isfinite(value):
+        raise ValueError(f"{number} is not a JSON number")
+    return value
 
 
 def leaves_of(value, path: str = "") -> Iterator[tuple[str, str, str | None]]:
@@ -62,16 +67,13 @@ def leaves_of(value, path: str = "") -> Iterator[tuple[str, str, str | None]]:
         yield path, type(value).__name__, utf8(json.dumps(value, ensure_ascii=False))
 
 
-def fragment_leaves(text: str | None):
+def fragment_leaves(text: str | None) -> list[tuple[str, str, str | None]]:
     """Leaves of one answer; none if it is not JSON, an ``invalid`` root if not an object."""
     try:
-        value = json.loads(text, parse_constant=reject_constant)
+        value = json.loads(text, parse_float=finite, parse_constant=finite)
+        return list(leaves_of(value)) if isinstance(value, dict) else [("", INVALID, "not an object")]
     except (TypeError, ValueError, RecursionError):
-        return
-    if isinstance(value, dict):
-        yield from leaves_of(value)
-    else:
-        yield "", INVALID, "not an object"
+        return []
 
 
 def flatten_fragments(fragments: DataFrame, text_column: str = "response") -> DataFrame:
@@ -160,7 +162,7 @@ def merge_fragments(fragments: DataFrame, rule: str = "A", text_column: str = "r
     text parsed to something other than an object.
     """
     merged = assemble(merge_leaves(flatten_fragments(fragments, text_column), rule))
-    return merged.select("doc_id", F.parse_json("config_text").alias("config"))
+    return merged.select("doc_id", F.try_parse_json("config_text").alias("config"))
 
 
 def nested_object(leaves) -> str | None:

@@ -65,11 +65,14 @@ def extract_json(docs: DataFrame, width: int = CONTEXT_CHARS) -> DataFrame:
 
 
 def extract_yaml(docs: DataFrame, width: int = CONTEXT_CHARS) -> DataFrame:
-    """One row per indented block under a ``name:`` line that parses to a mapping."""
+    """One row per indented block under a ``name:`` line that parses to a mapping.
+
+    ``value_json`` is null where the mapping has no JSON form (it contains itself).
+    """
     blocks = docs.select("doc_id", F.posexplode(yaml_blocks(F.col("text"), width)).alias("match_ord", "block"))
     return blocks.select(
         "doc_id", "match_ord", F.lit(YAML_TYPE).alias("type"),
-        F.parse_json("block.json").alias("value_json"), F.col("block.context").alias("context"),
+        F.try_parse_json("block.json").alias("value_json"), F.col("block.context").alias("context"),
     )
 
 

@@ -12,8 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Python repeats a key with the last value winning.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Whole texts travel to the Arrow helpers; keep batches small in bytes.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

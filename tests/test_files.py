@@ -75,6 +75,8 @@ def test_picture_headers():
     assert picture_header(jpeg(640, 480)) == ("jpeg", 640, 480)
     assert picture_header(b"GIF89a" + struct.pack("<HH", 5, 6)) == ("gif", 5, 6)
     assert picture_header(b"BM" + b"\x00" * 16 + struct.pack("<ii", 7, -8)) == ("bmp", 7, 8)
+    huge = b"\x89PNG\r\n\x1a\n" + b"\xff" * 20
+    assert picture_header(huge) == ("png", None, None)
     assert picture_header(b"\x89PNG\r\n\x1a\n") == picture_header(b"") == picture_header(b"text") == (None, None, None)
 
 

@@ -115,6 +115,16 @@ def test_yaml_blocks(docs, texts):
     assert sorted(found) == sorted(expected) and expected
 
 
+def test_yaml_without_json_form(spark):
+    pytest.importorskip("yaml")
+    block = "a: \n  b: &x {c: *x}\n"
+    odd = "a:\n  1: .nan\n  2024-01-02: 2024-01-01\n"
+    docs = spark.createDataFrame([(1, block), (2, odd)], "doc_id long, text string")
+    rows = dict(settings.extract_yaml(docs).select("doc_id", F.to_json("value_json")).collect())
+    assert rows == {1: None, 2: '{"a":{"1":"nan","2024-01-02":"2024-01-01"}}'}
+    assert settings.extract_candidates(docs).where("type = 'yaml_structure'").count() == 2
+
+
 def test_flat_mapping_without_a_yaml_library():
     assert flat_mapping("server:\n  ip: 10.0.0.1\n  up: yes\n") == {"server": {"ip": "10.0.0.1", "up": "yes"}}
     assert flat_mapping("server:\n  - item\n") is None
