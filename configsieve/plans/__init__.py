@@ -1,0 +1 @@
+"""Whole jobs."""

@@ -1,0 +1 @@
+"""Outputs."""

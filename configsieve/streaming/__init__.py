@@ -1,0 +1,4 @@
+"""Empty on purpose: the documents are a finite set and no operator keeps stream state.
+
+The narrow operators (settings, summaries, sections) take a streaming DataFrame as it is.
+"""
