@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.merge import merge_fragments
 from ..operators.requests import request_rows
 from ..operators.validate import empty_variant, gate, validate
-from ..sources.files import discover, read_documents
+from ..sources.files import read_documents
+from .lineage import settled
 
 
 def resolve_documents(docs: DataFrame, responses: DataFrame, schema: dict | None = None, rule: str = "A") -> DataFrame:
@@ -42,9 +43,10 @@ def process_directory(spark: SparkSession, directory: str, answer: Callable[[Dat
     """Every supported file of a directory, answered by ``answer`` and resolved.
 
     ``answer`` maps request rows to ``doc_id, chunk_id, response``.  The path
-    is the document id.
+    is the document id.  With ``spark.checkpoint.dir`` set, the parsed texts and
+    the answers are written there once and read back.
     """
-    docs = read_documents(discover(spark, directory)).withColumn("doc_id", F.col("path"))
+    docs = settled(read_documents(spark, directory).withColumn("doc_id", F.col("path")), "texts")
     readable = docs.where(F.col("status") != "failed").select("doc_id", "text")
-    responses = answer(request_rows(readable, history, schema, **request_options))
+    responses = settled(answer(request_rows(readable, history, schema, **request_options)), "answers")
     return resolve_documents(docs, responses, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -26,18 +26,29 @@ def doc_type(path: Column, types: Mapping[str, str] = DOC_TYPES) -> Column:
     return F.create_map(*pairs)[extension]
 
 
-def discover(spark: SparkSession, directory: str, types: Mapping[str, str] = DOC_TYPES) -> DataFrame:
+def discover(spark: SparkSession, directory: str, types: Mapping[str, str] = DOC_TYPES,
+             only: Sequence[str] | None = None) -> DataFrame:
     """Supported files under a directory: ``path, doc_type, length, modificationTime, content``.
 
-    ``content`` is read only where it is selected.
+    ``only`` restricts the document types.  Other files drop out while listing:
+    a filter on the rows would come after their contents have been read.
+    ``content`` itself is read only where it is selected.
     """
+    wanted = {ext: kind for ext, kind in types.items() if only is None or kind in only}
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+            .option("pathGlobFilter", extension_glob(wanted)).load(directory)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Directory not found: {directory}") from error
         raise
-    return files.withColumn("doc_type", doc_type(F.col("path"), types)).where(F.col("doc_type").isNotNull())
+    return files.withColumn("doc_type", doc_type(F.col("path"), wanted))
+
+
+def extension_glob(extensions: Iterable[str]) -> str:
+    """A glob for file names with one of the extensions, in any case."""
+    any_case = ("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext) for ext in extensions)
+    return "*.{" + ",".join(any_case) + "}"
 
 
 def read_text_files(files: DataFrame) -> DataFrame:
@@ -62,17 +73,19 @@ def read_docx(files: DataFrame) -> DataFrame:
     return files.where(F.col("doc_type") == "docx").select("path", "content").mapInPandas(parse, DOCX_TEXT_SCHEMA)
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """All readable files as ``path, doc_type, text, status, error``.
+def read_documents(spark: SparkSession, directory: str) -> DataFrame:
+    """All supported files of a directory as ``path, doc_type, text, status, error``.
 
-    Types that need an outside decoder (PDF, video, audio) come out as failed.
+    Types that need an outside decoder (PDF, video, audio) come out as failed,
+    without their contents being read.
     """
-    kinds = files.select("path", "doc_type")
-    other = kinds.where(~F.col("doc_type").isin("docx", *TEXT_TYPES)).select(
+    undecoded = [t for t in dict.fromkeys(DOC_TYPES.values()) if t not in (*TEXT_TYPES, "docx")]
+    other = discover(spark, directory, only=undecoded).select(
         "path", F.lit(None).cast("string").alias("text"), F.lit("failed").alias("status"),
         F.concat(F.lit("no decoder for "), "doc_type").alias("error"))
-    read = read_text_files(files).unionByName(read_docx(files)).unionByName(other)
-    return read.withColumn("doc_type", doc_type(F.col("path")))
+    texts = read_text_files(discover(spark, directory, only=TEXT_TYPES))
+    docx = read_docx(discover(spark, directory, only=["docx"]))
+    return texts.unionByName(docx).unionByName(other).withColumn("doc_type", doc_type(F.col("path")))
 
 
 def explode_docx_media(files: DataFrame) -> DataFrame:

@@ -114,8 +114,17 @@ def test_listing_does_not_read_contents(spark, directory):
     assert "content" not in plan.split("ReadSchema")[-1]
 
 
+def test_other_files_are_not_even_listed(spark, directory):
+    assert {name(p) for p in files.discover(spark, directory, only=["yaml", "pdf"]).inputFiles()} == {"B.YML", "e.pdf"}
+
+
+def test_texts_and_answers_are_settled(spark, processed):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert any("/answers-" in f and folder in f for f in processed.inputFiles())
+
+
 def test_read_documents(spark, directory):
-    found = {name(r["path"]): r for r in files.read_documents(files.discover(spark, directory)).collect()}
+    found = {name(r["path"]): r for r in files.read_documents(spark, directory).collect()}
     assert found["a.txt"]["text"] == 'Settings:\nhost = "db1.example.org"\n'
     assert found["c.docx"]["text"] == "host = héllo"
     assert {n for n, r in found.items() if r["status"] == "failed"} == {"bad.docx", "e.pdf"}
@@ -123,7 +132,7 @@ def test_read_documents(spark, directory):
 
 
 def test_media_dedupe_and_filter(spark, directory):
-    media = files.explode_docx_media(files.discover(spark, directory))
+    media = files.explode_docx_media(files.discover(spark, directory, only=["docx"]))
     assert media.count() == 4
     digest = hashlib.md5(png(60, 60)).hexdigest()[:8]
     unique = assets.dedupe_assets(media).where(assets.is_valid_asset(F.col("width"), F.col("height")))

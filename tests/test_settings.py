@@ -157,6 +157,14 @@ def test_no_shuffle(docs):
         assert "Exchange" not in plan.split("InMemoryTableScan")[0]
 
 
+def test_settings_of_a_stream(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    query = settings.extract_settings(stream).writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("found").count() == settings.extract_settings(docs).count()
+
+
 def test_java_patterns_search_like_python(docs, texts):
     columns = [F.rlike("text", F.lit(to_java(p))).alias(f"p{i}") for i, p in enumerate(ASSIGNMENT_PATTERNS)]
     for row in docs.select("doc_id", *columns).collect():
