@@ -222,9 +222,10 @@ def nested_leaves(rule: str) -> str:
     yields = f"lower(server) IN {loop}" if rule == "B" else "true"
     return f"""(WITH flat AS {FLAT},
 server AS (SELECT s.doc_id, CASE kind WHEN 'OBJECT' THEN 'dict' WHEN 'NULL' THEN 'null' ELSE 'str' END AS vtype,
-    CASE kind WHEN 'OBJECT' THEN CASE WHEN server = '{{}}' THEN '{{}}' ELSE '{{...}}' END WHEN 'NULL' THEN NULL
+    CASE kind WHEN 'OBJECT' THEN CASE WHEN filled THEN '{{...}}' ELSE '{{}}' END WHEN 'NULL' THEN NULL
       ELSE CASE WHEN {yields} THEN coalesce(other, server) ELSE server END END AS value
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {server_order}) AS rn FROM flat WHERE kind IS NOT NULL) s
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {server_order}) AS rn,
+      bool_or(kind = 'OBJECT' AND server <> '{{}}') OVER (PARTITION BY doc_id) AS filled FROM flat WHERE kind IS NOT NULL) s
   LEFT JOIN {takeover if rule == "B" else longest} t ON t.doc_id = s.doc_id WHERE rn = 1),
 leaves AS (
   SELECT doc_id, ord, '/tenantId' AS path, 'str' AS vtype, tenant AS value FROM flat
