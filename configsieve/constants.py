@@ -12,29 +12,31 @@ from typing import NamedTuple
 class SettingPattern(NamedTuple):
     """A named setting regex.
 
-    ``needs`` is a literal every match contains: texts without it are not
+    ``needs`` is a literal every match contains and ``words`` lower-case words of
+    which every match contains one (in any case): texts without them are not
     scanned.  ``not_after`` lists characters no leftmost match can follow, so
-    the scan may skip those positions.  Both only save time.
+    the scan may skip those positions.  All three only save time.
     """
 
     name: str
     regex: str
     groups: int
     needs: str | None = None
+    words: tuple[str, ...] = ()
     not_after: str | None = None
 
 
 # --- fixed values -----------------------------------------------------------
 
 SETTING_PATTERNS = (
-    SettingPattern("connection_string", r"""(?i)(connection[_\s]string|conn[_\s]str)[_\s]*=\s*["\']([^"\']+)["\']""", 2, "="),
-    SettingPattern("host", r"""(?i)(hostname|host)[_\s]*=\s*["\']?([^"\'\s,}]+)""", 2, "="),
-    SettingPattern("port", r"""(?i)port[_\s]*=\s*["\']?(\d+)""", 1, "="),
-    SettingPattern("credentials", r"""(?i)(username|user|password|pwd)[_\s]*=\s*["\']([^"\']+)["\']""", 2, "="),
-    SettingPattern("paths", r"""(?i)(path|directory|dir|folder)[_\s]*=\s*["\']?([^"\'\s,}]+)""", 2, "="),
-    SettingPattern("timeout", r"""(?i)timeout[_\s]*=\s*["\']?(\d+)""", 1, "="),
-    SettingPattern("url", r"""(?i)(https?://[^\s,}"\']+)""", 1, "://"),
-    SettingPattern("key_value", r"""([A-Za-z_][A-Za-z0-9_]*)\s*=\s*([^,}\s]+)""", 2, "=", "A-Za-z_"),
+    SettingPattern("connection_string", r"""(?i)(connection[_\s]string|conn[_\s]str)[_\s]*=\s*["\']([^"\']+)["\']""", 2, "=", ("conn",)),
+    SettingPattern("host", r"""(?i)(hostname|host)[_\s]*=\s*["\']?([^"\'\s,}]+)""", 2, "=", ("host",)),
+    SettingPattern("port", r"""(?i)port[_\s]*=\s*["\']?(\d+)""", 1, "=", ("port",)),
+    SettingPattern("credentials", r"""(?i)(username|user|password|pwd)[_\s]*=\s*["\']([^"\']+)["\']""", 2, "=", ("user", "password", "pwd")),
+    SettingPattern("paths", r"""(?i)(path|directory|dir|folder)[_\s]*=\s*["\']?([^"\'\s,}]+)""", 2, "=", ("path", "dir", "folder")),
+    SettingPattern("timeout", r"""(?i)timeout[_\s]*=\s*["\']?(\d+)""", 1, "=", ("timeout",)),
+    SettingPattern("url", r"""(?i)(https?://[^\s,}"\']+)""", 1, "://", ("http",)),
+    SettingPattern("key_value", r"""([A-Za-z_][A-Za-z0-9_]*)\s*=\s*([^,}\s]+)""", 2, "=", (), "A-Za-z_"),
 )
 
 JSON_BLOCK = r"""\{[^{}]*\}"""

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +27,9 @@ BY_CODE_POINTS = chr(0x10FFFF) + "{0}"
 # Control characters, then noncharacters that Unicode reserves for internal use.
 PAD_CHARS = (*map(chr, range(8)), *map(chr, range(0xFDD0, 0xFDF0)))
 
+# Letters beyond upper and lower case that a case-insensitive i or s matches.
+ODD_LETTERS = {"\u0130": "i", "\u0131": "i", "\u017f": "s"}
+
 IGNORE_CASE = "(?i)"
 JAVA_IGNORE_CASE = "(?iu)"
 
@@ -79,12 +85,32 @@ def check_pattern(pattern: str) -> None:
         raise ValueError(f"anchors and lookarounds need engine='arrow': {pattern}")
 
 
-def find_all(text: Column, pattern: str, group: int = 0,
-             needs: str | None = None, not_after: str | None = None) -> Column:
-    """One group of every match in ``text``."""
+def find_all(text: Column, pattern: str, group: int = 0, not_after: str | None = None,
+             guard: Column | None = None) -> Column:
+    """One group of every match in ``text``; null where ``guard`` does not hold."""
     java = _guarded(to_java(pattern), not_after)
-    found = F.regexp_extract_all(text, F.lit(java), F.lit(group))
-    return _if_contains(text, needs, found)
+    return _where(guard, F.regexp_extract_all(text, F.lit(java), F.lit(group)))
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that ``(?i)`` takes for ``i`` and ``s`` replaced.
+
+    Null for texts that hold neither ``=`` nor ``://``.
+    """
+    odd = reduce(or_, [F.contains(text, F.lit(c)) for c in ODD_LETTERS])
+    plain = F.when(odd, F.translate(text, "".join(ODD_LETTERS), "".join(ODD_LETTERS.values()))).otherwise(text)
+    return F.when(F.contains(text, F.lit("=")) | F.contains(text, F.lit("://")), F.lower(plain))
+
+
+def may_match(text: Column, folded_text: Column, needs: str | None, words: Sequence[str]) -> Column | None:
+    """Whether a text holds the literal and one of the words a match must contain."""
+    if needs not in ("=", "://"):
+        # ``folded`` is only there for texts with one of these.
+        return None if needs is None else F.contains(text, F.lit(needs))
+    guard = F.contains(text, F.lit(needs))
+    if words:
+        guard = guard & reduce(or_, [F.contains(folded_text, F.lit(w)) for w in words])
+    return guard
 
 
 def any_chars(least: int, most: int) -> str:
@@ -104,7 +130,7 @@ def padded(text: Column, width: int) -> Column:
 
 
 def find_all_in_context(padded_text: Column, pattern: str, width: int,
-                        needs: str | None = None, not_after: str | None = None) -> Column:
+                        not_after: str | None = None, guard: Column | None = None) -> Column:
     """Every match with ``width`` characters before it and up to ``width`` after it.
 
     Spark does not expose match offsets, and recovering them with a fold over
@@ -118,7 +144,7 @@ def find_all_in_context(padded_text: Column, pattern: str, width: int,
     around = f"{any_chars(width, width)}{bare}{any_chars(0, width)}"
     scan = f"(?={bare})(?<=(?=({around})){any_chars(width, width)}){bare}{BY_CODE_POINTS}"
     found = F.regexp_extract_all(padded_text, F.lit(scan), F.lit(1))
-    return _if_contains(padded_text, needs, found)
+    return _where(guard, found)
 
 
 def strip(text: Column) -> Column:
@@ -130,6 +156,6 @@ def _guarded(java: str, not_after: str | None) -> str:
     return java if not_after is None else f"(?<![{not_after}]){java}"
 
 
-def _if_contains(text: Column, needs: str | None, found: Column) -> Column:
-    """Skip the scan where a required literal is missing (null explodes to no row)."""
-    return found if needs is None else F.when(F.contains(text, F.lit(needs)), found)
+def _where(guard: Column | None, found: Column) -> Column:
+    """Skip the scan where the guard fails (null explodes to no row)."""
+    return found if guard is None else F.when(guard, found)

@@ -22,6 +22,8 @@ from ..functions.regex import (
     check_pattern,
     find_all,
     find_all_in_context,
+    folded,
+    may_match,
     pad_char,
     padded,
     to_java,
@@ -30,6 +32,7 @@ from ..functions.yaml_blocks import yaml_blocks
 
 JSON_TYPE = "json_structure"
 YAML_TYPE = "yaml_structure"
+JSON_PATTERN = SettingPattern(JSON_TYPE, JSON_BLOCK, 0, "{")
 
 SETTINGS_SCHEMA = "doc_id {id}, pattern_ord int, match_ord int, type string, key string, value string, context string"
 
@@ -57,7 +60,7 @@ def extract_settings(docs: DataFrame, patterns: Sequence[SettingPattern] = SETTI
 
 def extract_json(docs: DataFrame, width: int = CONTEXT_CHARS) -> DataFrame:
     """One row per brace group that parses as JSON, with the object as VARIANT."""
-    hits = _located(docs, [(0, JSON_TYPE, _finder(JSON_BLOCK, "{", None, True, width))], True, width)
+    hits = _located(docs, [(0, JSON_TYPE, _finder(JSON_PATTERN, True, width))], True, width)
     value = F.try_parse_json(F.regexp_extract("hit", JSON_BLOCK, 0))
     return hits.select(
         "doc_id", "match_ord", "type", value.alias("value_json"), "context",
@@ -87,7 +90,7 @@ def extract_candidates(docs: DataFrame, patterns: Sequence[SettingPattern] = SET
     for pattern in patterns:
         check_pattern(pattern.regex)
     parts = [_regex_part(i, p, context, width) for i, p in enumerate(patterns)]
-    parts.append((json_ord, JSON_TYPE, _finder(JSON_BLOCK, "{", None, context, width)))
+    parts.append((json_ord, JSON_TYPE, _finder(JSON_PATTERN, context, width)))
     with_yaml = docs.select("doc_id", "text", yaml_blocks(F.col("text"), width).alias("yaml"))
     hits = _located(with_yaml, parts, context, width, (yaml_ord, YAML_TYPE, F.col("yaml")))
     json_text = F.when(F.col("type") == JSON_TYPE, F.regexp_extract("hit", JSON_BLOCK, 0)) \
@@ -115,7 +118,7 @@ def drop_false_positives(candidates: DataFrame, placeholders: Sequence[str] = PL
     return candidates.where(value.isNull() | is_real_value(value, placeholders, min_length))
 
 
-def config_patterns(text: Column, patterns: Sequence[SettingPattern] = SETTING_PATTERNS,
+def config_patterns(text: Column, folded_text: Column, patterns: Sequence[SettingPattern] = SETTING_PATTERNS,
                     yaml: Column | None = None) -> Column:
     """The ordered candidate types of a text.
 
@@ -124,9 +127,10 @@ def config_patterns(text: Column, patterns: Sequence[SettingPattern] = SETTING_P
     """
     repeated = []
     for pattern in patterns:
-        values = find_all(text, pattern.regex, pattern.groups, pattern.needs, pattern.not_after)
+        guard = may_match(text, folded_text, pattern.needs, pattern.words)
+        values = find_all(text, pattern.regex, pattern.groups, pattern.not_after, guard)
         repeated.append(_repeat(pattern.name, F.size(F.filter(values, lambda v: is_real_value(v)))))
-    objects = F.filter(find_all(text, JSON_BLOCK, 0, "{"), lambda b: F.try_parse_json(b).isNotNull())
+    objects = F.filter(find_all(text, JSON_BLOCK, guard=F.contains(text, F.lit("{"))), lambda b: F.try_parse_json(b).isNotNull())
     repeated.append(_repeat(JSON_TYPE, F.size(objects)))
     if yaml is not None:
         repeated.append(_repeat(YAML_TYPE, F.size(yaml)))
@@ -137,8 +141,10 @@ def first_pass_summary(docs: DataFrame, patterns: Sequence[SettingPattern] = SET
                        keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Per document: text length, candidate count, constant sentence, candidate types."""
     text = F.col("text")
-    typed = docs.select(*keep, F.length(text).cast("long").alias("length"),
-                        config_patterns(text, patterns, yaml_blocks(text)).alias("config_patterns"))
+    columns = dict.fromkeys([*keep, "text"])
+    prepared = docs.select(*columns, folded(text).alias("_folded"), yaml_blocks(text).alias("_yaml"))
+    types = config_patterns(text, F.col("_folded"), patterns, F.col("_yaml"))
+    typed = prepared.select(*keep, F.length(text).cast("long").alias("length"), types.alias("config_patterns"))
     return typed.select(
         *keep, "length",
         F.size("config_patterns").cast("long").alias("potential_config_count"),
@@ -152,13 +158,16 @@ def _repeat(name: str, times: Column) -> Column:
 
 
 def _regex_part(i: int, pattern: SettingPattern, context: bool, width: int):
-    return i, pattern.name, _finder(pattern.regex, pattern.needs, pattern.not_after, context, width)
+    return i, pattern.name, _finder(pattern, context, width)
 
 
-def _finder(regex: str, needs: str | None, not_after: str | None, context: bool, width: int):
+def _finder(pattern: SettingPattern, context: bool, width: int):
+    """The match array of a pattern, from the columns ``searched`` and ``folded``."""
+    searched = F.col("searched")
+    guard = may_match(searched, F.col("folded"), pattern.needs, pattern.words)
     if context:
-        return lambda text: find_all_in_context(text, regex, width, needs, not_after)
-    return lambda text: find_all(text, regex, 0, needs, not_after)
+        return find_all_in_context(searched, pattern.regex, width, pattern.not_after, guard)
+    return find_all(searched, pattern.regex, 0, pattern.not_after, guard)
 
 
 def _located(docs: DataFrame, parts, context: bool, width: int, blocks=None) -> DataFrame:
@@ -173,12 +182,12 @@ def _located(docs: DataFrame, parts, context: bool, width: int, blocks=None) ->
         "doc_id", *extra,
         pad_char(text).alias("pad"),
         (padded(text, width) if context else text).alias("searched"),
+        folded(text).alias("folded"),
     )
-    searched = F.col("searched")
     no_blocks = F.array().cast("array<struct<json: string, context: string>>")
     rows = []
     for i, name, find in parts:
-        rows += [F.lit(i), F.lit(name), find(searched), *([no_blocks] if blocks else [])]
+        rows += [F.lit(i), F.lit(name), find, *([no_blocks] if blocks else [])]
     names = ["pattern_ord", "type", "hits"]
     if blocks:
         rows += [F.lit(blocks[0]), F.lit(blocks[1]), F.array().cast("array<string>"), blocks[2]]
@@ -229,7 +238,7 @@ def _extract_with_python(docs: DataFrame, patterns: Sequence[SettingPattern], wi
 
     def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(i, name, re.compile(regex), groups, needs)
-                    for i, (name, regex, groups, needs, _) in enumerate(patterns)]
+                    for i, (name, regex, groups, needs, *_) in enumerate(patterns)]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):

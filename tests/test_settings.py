@@ -23,7 +23,7 @@ PIECES = [
     "host", "HOST_name", "hostname", " = ", "=", '"x y"', "'abc'", "port", "8080", "path", "dir", "\u00a0", "\u2003",
     "\n", " ", "\U0001f600", "\u00e9", "\x00", "\x01", "\x1c", "user", "pwd", "password", "true", "{", "}", '{"a": 1}',
     "a:\n  b: 1\n  c: d\n", "http://x.y/z", "conn_str", "connection string", "timeout", "9ab", "a9_", "ab", ",",
-    "x" * 30, "\u0131", "\u017f", "config", "var", "options",
+    "x" * 30, "ho\u017ft=abc ", "D\u0130R = xyz ", "d\u0131r='abc' ", "pa\u017f\u017fword='abc' ", "\u0131", "\u017f", "config", "var", "options",
 ]
 
 
