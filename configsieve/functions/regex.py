@@ -34,8 +34,10 @@ IGNORE_CASE = "(?i)"
 JAVA_IGNORE_CASE = "(?iu)"
 
 # Anchors and lookarounds look at characters outside the match, which the
-# single-scan context form pads and the per-match group form does not have.
-OUTSIDE_LOOKING = re.compile(r"(?<!\\)(?:\\\\)*(?:\\[AbBGzZ]|\(\?<?[=!])|(?:^|[^\[\\])[\^$]")
+# single-scan form pads and the per-match form does not have; back-references
+# and named groups would need other numbers or spelling there.
+CHARACTER_CLASS = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]")
+UNSUITABLE = re.compile(r"\\[AbBGzZ1-9]|\(\?(?:<?[=!]|P)|(?<!\\)[\^$]")
 
 
 def to_java(pattern: str) -> str:
@@ -81,8 +83,8 @@ def check_pattern(pattern: str) -> None:
         raise ValueError(f"pattern may match the empty string: {pattern}")
     if compiled.groups not in (1, 2):
         raise ValueError(f"pattern needs one or two groups: {pattern}")
-    if OUTSIDE_LOOKING.search(pattern):
-        raise ValueError(f"anchors and lookarounds need engine='arrow': {pattern}")
+    if UNSUITABLE.search(CHARACTER_CLASS.sub("", pattern)):
+        raise ValueError(f"anchors, lookarounds, references and named groups need engine='arrow': {pattern}")
 
 
 def find_all(text: Column, pattern: str, group: int = 0, not_after: str | None = None,

@@ -69,12 +69,17 @@ def test_other_width_and_pattern(docs, texts):
     assert sorted(map(tuple, found)) == expected_settings(texts, pattern, 7)
 
 
-@pytest.mark.parametrize("regex", [r"(a)*", r"^(a)=(b)", r"(a)(?=b)", r"\b(a)=", r"a=b", r"(a)(b)(c)"])
+@pytest.mark.parametrize("regex", [r"(a)*", r"^(a)=(b)", r"(a)(?=b)", r"\b(a)=", r"a=b", r"(a)(b)(c)", r"(a)\1", r"(?P<x>a)=", r"(a)$"])
 def test_unsuitable_patterns_are_rejected(docs, regex):
     with pytest.raises(ValueError):
         settings.extract_settings(docs, (SettingPattern("p", regex, 1),))
 
 
+def test_suitable_patterns():
+    for regex in (r"([^$^]+)=(\S)", r"(\$\w+)=(\d)", r"([]\]$]+)-(x)"):
+        settings.check_pattern(regex)
+
+
 def test_fixed_patterns_are_suitable():
     for pattern in SETTING_PATTERNS:
         settings.check_pattern(pattern.regex)
