@@ -28,10 +28,11 @@ from ..functions.regex import (
     padded,
     to_java,
 )
-from ..functions.yaml_blocks import yaml_blocks
+from ..functions.yaml_blocks import BLOCKS_TYPE, yaml_blocks
 
 JSON_TYPE = "json_structure"
 YAML_TYPE = "yaml_structure"
+TO_THE_END = 2**31 - 1
 JSON_PATTERN = SettingPattern(JSON_TYPE, JSON_BLOCK, 0, "{")
 
 SETTINGS_SCHEMA = "doc_id {id}, pattern_ord int, match_ord int, type string, key string, value string, context string"
@@ -92,7 +93,7 @@ def extract_candidates(docs: DataFrame, patterns: Sequence[SettingPattern] = SET
     parts = [_regex_part(i, p, context, width) for i, p in enumerate(patterns)]
     parts.append((json_ord, JSON_TYPE, _finder(JSON_PATTERN, context, width)))
     with_yaml = docs.select("doc_id", "text", yaml_blocks(F.col("text"), width).alias("yaml"))
-    hits = _located(with_yaml, parts, context, width, (yaml_ord, YAML_TYPE, F.col("yaml")))
+    hits = _located(with_yaml, parts, context, width, yaml_ord)
     json_text = F.when(F.col("type") == JSON_TYPE, F.regexp_extract("hit", JSON_BLOCK, 0)) \
         .when(F.col("type") == YAML_TYPE, F.col("block_json"))
     rows = hits.select(
@@ -170,48 +171,53 @@ def _finder(pattern: SettingPattern, context: bool, width: int):
     return find_all(searched, pattern.regex, 0, pattern.not_after, guard)
 
 
-def _located(docs: DataFrame, parts, context: bool, width: int, blocks=None) -> DataFrame:
+def _located(docs: DataFrame, parts, context: bool, width: int, yaml_ord: int | None = None) -> DataFrame:
     """Rows ``doc_id, pattern_ord, match_ord, type, hit, context``; ``hit`` starts with the match.
 
     ``stack`` turns the per-pattern match arrays of a document into rows
-    without any lambda, ``posexplode`` the arrays into matches.
+    without any lambda, ``posexplode`` the arrays into matches.  With
+    ``yaml_ord``, the blocks in the column ``yaml`` follow, as ``block_json``.
     """
     text = F.col("text")
-    extra = ["yaml"] if blocks else []
     prepared = docs.select(
-        "doc_id", *extra,
+        "doc_id", *([] if yaml_ord is None else ["yaml"]),
         pad_char(text).alias("pad"),
         (padded(text, width) if context else text).alias("searched"),
         folded(text).alias("folded"),
     )
-    no_blocks = F.array().cast("array<struct<json: string, context: string>>")
-    rows = []
-    for i, name, find in parts:
-        rows += [F.lit(i), F.lit(name), find, *([no_blocks] if blocks else [])]
-    names = ["pattern_ord", "type", "hits"]
-    if blocks:
-        rows += [F.lit(blocks[0]), F.lit(blocks[1]), F.array().cast("array<string>"), blocks[2]]
-        names.append("blocks")
-    stacked = prepared.select("doc_id", "pad", F.stack(F.lit(len(parts) + bool(blocks)), *rows).alias(*names))
-    if blocks:
-        both = F.arrays_zip(F.coalesce("hits", F.array().cast("array<string>")).alias("hit"), F.col("blocks").alias("block"))
-        exploded = stacked.select("doc_id", "pad", "pattern_ord", "type", F.posexplode(both).alias("match_ord", "both"))
-        exploded = exploded.select("doc_id", "pad", "pattern_ord", "match_ord", "type", F.col("both.hit").alias("around"),
-                                   F.col("both.block.json").alias("block_json"),
-                                   F.col("both.block.context").alias("block_context"))
-        outputs = ["block_json"]
+    matches = _plain_matches(prepared, parts) if yaml_ord is None else _matches_and_blocks(prepared, parts, yaml_ord)
+    around, extra = F.col("around"), [c for c in ("block_json",) if c in matches.columns]
+    if context:
+        hit, shown = F.substring(around, width + 1, TO_THE_END), F.ltrim(around, F.col("pad"))
+        shown = F.coalesce("block_context", shown) if extra else shown
     else:
-        exploded = stacked.select("doc_id", "pad", "pattern_ord", "type", F.posexplode("hits").alias("match_ord", "around"))
-        outputs = []
-    around = F.col("around")
-    if not context:
-        return exploded.select("doc_id", "pattern_ord", "match_ord", "type", around.alias("hit"), *outputs,
-                               F.lit(None).cast("string").alias("context"))
-    shown = F.ltrim(around, F.col("pad"))
-    if blocks:
-        shown = F.coalesce("block_context", shown)
-    return exploded.select("doc_id", "pattern_ord", "match_ord", "type",
-                           F.substring(around, width + 1, 2147483647).alias("hit"), *outputs, shown.alias("context"))
+        hit, shown = around, F.lit(None).cast("string")
+    return matches.select("doc_id", "pattern_ord", "match_ord", "type", hit.alias("hit"), *extra, shown.alias("context"))
+
+
+def _plain_matches(prepared: DataFrame, parts) -> DataFrame:
+    """One row per match, ``around`` holding it and what surrounds it."""
+    rows = [cell for i, name, found in parts for cell in (F.lit(i), F.lit(name), found)]
+    stacked = prepared.select(
+        "doc_id", "pad", F.stack(F.lit(len(parts)), *rows).alias("pattern_ord", "type", "hits"))
+    return stacked.select("doc_id", "pad", "pattern_ord", "type", F.posexplode("hits").alias("match_ord", "around"))
+
+
+def _matches_and_blocks(prepared: DataFrame, parts, yaml_ord: int) -> DataFrame:
+    """The same with the YAML blocks as further rows, from one pass over the documents."""
+    no_hits, no_blocks = F.array().cast("array<string>"), F.array().cast(BLOCKS_TYPE)
+    rows = [cell for i, name, found in parts for cell in (F.lit(i), F.lit(name), found, no_blocks)]
+    rows += [F.lit(yaml_ord), F.lit(YAML_TYPE), no_hits, F.col("yaml")]
+    stacked = prepared.select(
+        "doc_id", "pad", F.stack(F.lit(len(parts) + 1), *rows).alias("pattern_ord", "type", "hits", "blocks"))
+    both = F.arrays_zip(F.coalesce("hits", no_hits).alias("hit"), F.col("blocks").alias("block"))
+    exploded = stacked.select("doc_id", "pad", "pattern_ord", "type", F.posexplode(both).alias("match_ord", "both"))
+    return exploded.select(
+        "doc_id", "pad", "pattern_ord", "match_ord", "type",
+        F.col("both.hit").alias("around"),
+        F.col("both.block.json").alias("block_json"),
+        F.col("both.block.context").alias("block_context"),
+    )
 
 
 def _key(pattern: SettingPattern) -> Column:
