@@ -32,9 +32,11 @@ BLANK = "▁"
 #: Parts whose counts a worker keeps at most twice over; about 170 bytes each.
 CACHE_PARTS = 600_000
 #: Blanks, then other characters, then letters; each may be missing, not all.
-PARTS = re.compile(r" *(?:[^\w ]|[\d_])*[^\W\d_]+| *(?:[^\w ]|[\d_])+| +")
+#: The vocabulary has one piece of a word character before another kind, U+00B2
+#: and a full stop, so that character is not taken for a letter.
+PARTS = re.compile(r" *(?:[^\w ]|[\d_²])*[^\W\d_²]+| *(?:[^\w ]|[\d_²])+| +")
 #: What no piece may hold for the cuts to be right.
-ACROSS = re.compile(r"[^ ] |[^\W\d_][\W\d_]")
+ACROSS = re.compile(r"[^ ] |[^\W\d_²][\W\d_²]")
 POSITION_BITS = 32
 
 
