@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 BLANK = "▁"
-#: Parts whose counts a worker keeps at most twice over; about 170 bytes each.
-CACHE_PARTS = 600_000
-#: Blanks, then other characters, then letters; each may be missing, not all.
+#: Words, and parts of words, whose counts a worker keeps, twice over at most; about 170 bytes each.
+CACHE_PARTS = 400_000
+#: A word with the blanks before it, which most texts repeat often.
+WORDS = re.compile(" *[^ ]+| +")
+#: Of a word: blanks, then other characters, then letters; each may be missing, not all.
 #: The vocabulary has one piece of a word character before another kind, U+00B2
 #: and a full stop, so that character is not taken for a letter.
 PARTS = re.compile(r" *(?:[^\w ]|[\d_²])*[^\W\d_²]+| *(?:[^\w ]|[\d_²])+| +")
@@ -65,8 +68,8 @@ def merged_count(part: str, ranks: dict[str, int]) -> int:
     pieces: list[str] = list(part)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = []
-    for k in range(n - 1):
-        if (rank := rank_of(part[k : k + 2])) is not None:
+    for k, pair in enumerate(map(add, pieces, pieces[1:])):
+        if (rank := rank_of(pair)) is not None:
             heap.append(rank << POSITION_BITS | k)
     heapify(heap)
     count = n
@@ -94,40 +97,43 @@ def merged_count(part: str, ranks: dict[str, int]) -> int:
     return count
 
 
-class Counts(dict):
-    """Token counts of parts, made when first asked for; the last two generations are kept."""
+class Cache(dict):
+    """Values of strings, made when first asked for; the last two generations are kept."""
 
-    def __init__(self, ranks: dict[str, int], most: int = CACHE_PARTS):
-        self.ranks, self.most, self.old = ranks, most, {}
+    def __init__(self, make: Callable[[str], int], most: int = CACHE_PARTS):
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, part: str) -> int:
-        count = self.old.get(part)
-        if count is None:
-            count = merged_count(part, self.ranks)
-        if len(part) <= 64:
+    def __missing__(self, key: str) -> int:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
-            self[part] = count
-        return count
+            self[key] = value
+        return value
 
 
 @functools.cache
-def counts_of(model: str = MODEL) -> Counts:
-    return Counts(vocabulary(model))
+def word_counts(model: str = MODEL) -> Cache:
+    """Token counts of words, from those of their parts."""
+    ranks = vocabulary(model)
+    parts = Cache(lambda part: merged_count(part, ranks))
+    return Cache(lambda word: sum(map(parts.__getitem__, PARTS.findall(word))))
 
 
-def count_tokens(text: str | None, counts: Counts) -> int:
+def count_tokens(text: str | None, counts: Cache) -> int:
     if not text:
         return 0
-    return sum(map(counts.__getitem__, PARTS.findall(" " + text.replace(BLANK, " "))))
+    return sum(map(counts.__getitem__, WORDS.findall(" " + text.replace(BLANK, " "))))
 
 
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document; one pass, no shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counts_of(model)
+        counts = word_counts(model)
         for batch in batches:
             tokens = pa.array([count_tokens(t.as_py(), counts) for t in batch.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], names=["doc_id", "n_bytes", "n_tokens"])
