@@ -196,7 +196,8 @@ def located(docs: DataFrame, sources: list[Source], counts: dict[int, int]) -> D
     within = Window.partitionBy("source_number", "_bucket").orderBy("_key", "_id", "_size")
     within = within.rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    joined = dealt.join(bases, ["source_number", "_bucket"])
+    # Dealt by both columns: a join could else reuse the window's dealing by source alone.
+    joined = dealt.join(bases.repartition("source_number", "_bucket"), ["source_number", "_bucket"])
     return joined.withColumn("_start", F.col("_base") + F.col("_before")).drop("_bucket", "_base", "_before", "n_buckets", "_key")
 
 

@@ -194,7 +194,8 @@ def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = pieces.join(buckets, "length").withColumn("bucket", bucket).groupBy("length", "bucket").agg(F.count("*").alias("n"))
     bases = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return dealt.join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("place"))
+    # Dealt by both columns: a join could else reuse the window's dealing by length alone.
+    return dealt.join(bases.repartition("length", "bucket"), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("place"))
 
 
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from configsieve.llm import mixing, packing, quality, rules, sharding, token_counts, toxicity
+from configsieve.llm import mixing, ngram_join, packing, quality, rules, sharding, token_counts, toxicity
 from configsieve.llm.storage import table
 
 
@@ -39,6 +39,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -125,6 +125,8 @@ def placed(rows: DataFrame, loads: dict[int, tuple[int, int]], slot_map: DataFra
     earlier = Window.partitionBy("virtual_slot").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("virtual_slot", "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("bucket_base"))
     number = F.row_number().over(Window.partitionBy("virtual_slot", "bucket").orderBy("doc_id", "text_crc32")) - 1
+    # Dealt by both columns: a join could else reuse the window's dealing by slot alone.
+    bases = bases.repartition("virtual_slot", "bucket")
     joined = dealt.withColumn("number", number).join(bases, ["virtual_slot", "bucket"])
     return joined.withColumn("place", F.col("slot_base") + F.col("bucket_base") + F.col("number"))
 
