@@ -35,7 +35,7 @@ BLOCK = 128
 SHARDS = 64
 SEED = 20_260
 #: Documents of a source that one task puts in order.
-ORDER_ROWS = 20_000
+ORDER_ROWS = 2_000
 #: Slots that one row stands for before they are dealt out.
 SLOT_ROWS = 1 << 15
 

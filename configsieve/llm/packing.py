@@ -31,7 +31,7 @@ SIZE = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k"
 #: Rows of one length that one task ranks.
-RANK_ROWS = 50_000
+RANK_ROWS = 2_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread int"
 SPECIAL = "<|endoftext|>"

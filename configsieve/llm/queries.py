@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from configsieve.llm import mixing, ngram_join, packing, quality, rules, sharding, token_counts, toxicity
+from configsieve.llm import mixing, near_vectors, ngram_join, packing, quality, rules, sharding, token_counts, toxicity
 from configsieve.llm.storage import table
 
 
@@ -17,6 +17,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -50,6 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_near_duplicate_vectors": op4_near_duplicate_vectors,
     "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,

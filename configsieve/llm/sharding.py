@@ -24,7 +24,7 @@ SLOTS = 4096
 SHARDS = 40
 ROW_BYTES = 16
 #: Rows of one slot that one task numbers.
-PLACE_ROWS = 50_000
+PLACE_ROWS = 20_000
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
