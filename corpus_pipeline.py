@@ -8,15 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from configsieve.llm import mixing, packing, rules
+from configsieve.llm import mixing, ngram_join, packing, rules, toxicity
 from configsieve.llm.storage import settled, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that score as toxic; the machine learns from the labels of the documents it is given."""
+    return toxicity.without_toxic(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what a rule of the cascade rejects."""
     return rules.kept_documents(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take of each source the words that its weight gives it."""
     return mixing.mixed_documents(docs)
@@ -28,7 +38,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack),
 ]
