@@ -18,8 +18,8 @@ counted per node there and never written out as pairs.
 
 Edge cases: a text with fewer than five words is one window of all its words;
 null texts and texts without words link with nothing; equal texts link; equal
-rows count as documents of their own; a null id takes part like any other; an
-empty table gives an empty result; other columns are ignored by `joined` and
+rows count as documents of their own; a document without an id is compared as a
+copy only; an empty table gives an empty result; other columns are ignored by `joined` and
 pass through `one_of_each`.
 """
 
@@ -480,9 +480,12 @@ def classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay when one document of each class does: that with the smallest id.
 
-    Of several rows with that id one stays.  Documents without words stay.
+    Of equal rows one stays.  Documents without words all stay, and those
+    without an id once per text: nothing could name the one that stays.
     """
-    keep = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    keep = classes(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
     blank = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
-    full = docs.where(~blank).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return full.unionByName(docs.where(blank)).select(*docs.columns)
+    full = docs.where(~blank & F.col("doc_id").isNotNull())
+    full = full.join(keep, full["doc_id"].cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    nameless = docs.where(~blank & F.col("doc_id").isNull()).dropDuplicates(["text"])
+    return full.unionByName(nameless).unionByName(docs.where(blank)).select(*docs.columns)

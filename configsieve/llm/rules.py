@@ -69,9 +69,9 @@ def odd_word_length(t: Text) -> bool:
 
 
 def repeated_lines(t: Text) -> bool:
-    """More than three lines in ten equal an earlier one."""
+    """More than half of the lines equal an earlier one."""
     repeats = st.duplicate_lines(t.data)
-    return repeats > 0 and 10 * repeats > 3 * (t.data.count(b"\n") + 1)
+    return repeats > 0 and 2 * repeats > t.data.count(b"\n") + 1
 
 
 def mostly_capitals(t: Text) -> bool:

@@ -7,6 +7,7 @@ and read again.  All but the last return the columns of `documents`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from configsieve.llm import mixing, ngram_join, packing, rules, toxicity
 from configsieve.llm.storage import settled, table
@@ -28,8 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take of each source the words that its weight gives it."""
-    return mixing.mixed_documents(docs)
+    """Take of each source the words that its weight gives it; `n_chars` follows the text."""
+    mixed = mixing.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in mixed.columns else mixed
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
