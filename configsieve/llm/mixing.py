@@ -259,7 +259,9 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple = WEIGHTS, s
     due = targets([r[1] for r in found], weights, share, most)
     sources = [plan_source(k, r[0], r[1], t, block, seed) for k, (r, t) in enumerate(zip(found, due, strict=True))]
     rows = located(narrow, sources, {k: r[2] for k, r in enumerate(found)})
-    return Mixture(settled(rows, "mix-places"), slot_table(docs.sparkSession, sources, block, shards, seed), sources, block)
+    # Written, so that joins go by the size it has: planned from a few rows, it would be broadcast.
+    slots = settled(slot_table(docs.sparkSession, sources, block, shards, seed), "mix-slots")
+    return Mixture(settled(rows, "mix-places"), slots, sources, block)
 
 
 def taken_parts(mixture: Mixture) -> DataFrame:

@@ -178,7 +178,7 @@ def short_tokens(tokens: np.ndarray) -> list[bytes]:
 def shared_paths(level: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows whose path others share, with the path's `size`: (up to LEAF nodes, more)."""
     sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-    shared = level.join(sizes, "path")
+    shared = level.join(sizes.hint("merge"), "path")  # as many rows as there are shared paths: not to broadcast
     return shared.where(F.col("size") <= LEAF), shared.where(F.col("size") > LEAF)
 
 
