@@ -301,8 +301,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     parts = taken_parts(mixture).where("hi > lo").groupBy("source_number", "_start", "draw")
     spans = parts.agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_spans"))
     rows = mixture.documents.where("_size > 0").join(spans, ["source_number", "_start"])
-    kept = [F.col(f"_kept_{c}").alias(c) for c in columns]
-    schema = rows.select(*kept).schema
     place = columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,4 +325,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             own[place] = pa.array(texts, own[place].type)
             yield pa.RecordBatch.from_arrays(own, names=columns)
 
-    return rows.select(*kept, "_size", "_spans").mapInArrow(cut, schema)
+    return rows.select(*(f"`_kept_{c}`" for c in columns), "_size", "_spans").mapInArrow(cut, docs.schema)

@@ -60,7 +60,7 @@ def rebalanced(current: dict[int, int], loads: dict[int, int], shards: int) -> d
 
     Slots of removed shards must move.  Beyond that, a slot moves from the
     fullest to the emptiest shard as long as that narrows the gap between the
-    two, so a new shard takes slots only into itself.
+    two; where there are new shards, only they take slots.
     """
     out = dict(current)
     totals = dict.fromkeys(range(shards), 0)
@@ -80,9 +80,10 @@ def rebalanced(current: dict[int, int], loads: dict[int, int], shards: int) -> d
 
     for slot in sorted(homeless, key=lambda s: (-loads.get(s, 0), s)):
         move(slot, min(totals, key=lambda s: (totals[s], s)))
+    takers = [shard for shard in totals if not members[shard]] or list(totals)
     while True:
         full = max(totals, key=lambda s: (totals[s], -s))
-        empty = min(totals, key=lambda s: (totals[s], s))
+        empty = min(takers, key=lambda s: (totals[s], s))
         gap = totals[full] - totals[empty]
         fits = [s for s in members[full] if 0 < loads.get(s, 0) < gap]
         if not fits:

@@ -1,0 +1,100 @@
+"""Pieces against the tokenizers library, packing against its laws and a lower bound."""
+
+import random
+import zlib
+from array import array
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from configsieve.llm import packing
+from tests.llm.conftest import ODD_TEXTS
+
+SF_DIR = "/root/testdata/sf0.001"
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def library_ids(text):
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
+
+
+def test_encode_equals_library_on_odd_texts():
+    for text in ODD_TEXTS:
+        assert packing.encode(text or "") == library_ids(text)
+
+
+def test_encode_equals_library_on_random_texts():
+    rng = random.Random(5)
+    alphabet = ["a", "b", " ", " ", "  ", "\n", "\t", "'s", "'", "1", "é", "漢", "😀", " ", " ", "\x1c", ".", "<|endoftext|>", "the"]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
+        assert packing.encode(text) == library_ids(text)
+
+
+@pytest.mark.parametrize(("n", "parts"), [(1, [1]), (5, [5]), (8, [8]), (9, [1, 8]), (16, [8, 8]), (19, [3, 8, 8])])
+def test_cut(n, parts):
+    cut = packing.cut(n, 8)
+    assert [length for _, length in cut] == parts
+    assert [start for start, _ in cut] == [sum(parts[:k]) for k in range(len(parts))]
+
+
+def best_sum(lengths, counts, size):
+    reach = {0}
+    for length, count in zip(lengths, counts):
+        reach |= {s + k * length for s in reach for k in range(count + 1) if s + k * length <= size}
+    return max(reach)
+
+
+def test_fullest_is_as_full_as_can_be():
+    rng = random.Random(2)
+    for _ in range(300):
+        lengths = sorted(rng.sample(range(1, 41), rng.randint(1, 8)))
+        counts = [rng.randint(1, 5) for _ in lengths]
+        chosen = dict(packing.fullest(lengths, counts, 40))
+        assert sum(k * n for k, n in chosen.items()) == best_sum(lengths, counts, 40)
+        assert all(0 < n <= counts[lengths.index(k)] for k, n in chosen.items())
+
+
+def test_combinations_use_every_piece_once():
+    rng = random.Random(3)
+    histogram = dict(Counter(rng.randint(1, 64) for _ in range(2000)))
+    used = Counter()
+    for alike, chosen in packing.combinations(histogram, 64):
+        assert sum(k * n for k, n in chosen) <= 64
+        for length, times in chosen:
+            used[length] += alike * times
+    assert used == histogram
+
+
+def check_packed(rows, texts):
+    """Every token of every text is in one place, and sequences are gapless."""
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"], r["ids_crc32"], r["piece"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in sequences.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= packing.SIZE
+    want = Counter()
+    for doc_id, text in texts:
+        ids = library_ids(text) + [0]
+        for k, (start, length) in enumerate(packing.cut(len(ids), packing.SIZE)):
+            want[doc_id, k, start, length, zlib.crc32(array("I", ids[start : start + length]).tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    return len(sequences), sum(length for own in sequences.values() for _, length in own)
+
+
+def test_documents_are_packed_whole(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    n, tokens = check_packed(packing.pack_documents(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    assert n <= -(-tokens // packing.SIZE) + 1
+
+
+def test_odd_documents(odd_documents, no_documents):
+    check_packed(packing.pack_documents(odd_documents).collect(), [(r.doc_id, r.text) for r in odd_documents.collect()])
+    assert packing.pack_documents(no_documents).count() == 0
