@@ -24,6 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: a node's larger neighbours move to the smallest of its neighbourhood.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # Written, so that both sides of the join come from plain exchanges: a hub's links are then split.
+        low = settled(low, "lowest")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a > b").distinct()
         # Small star: a node and its smaller neighbours move to the smallest of them.

@@ -5,10 +5,13 @@ windows is 0.8 or more.  Documents with equal sets are one node from the start.
 
 Chosen paths: every node has a fixed number of sampled tokens (position and
 minimum hash).  A run chooses positions at random; nodes that share the token at
-a chosen position meet in a bucket.  A large bucket is split again, by positions
-chosen for its path, down to DEPTH; small ones are compared by brute force on
-all sampled tokens.  What is still large then is compared in pairs of blocks,
-so no task holds a whole bucket and no pair is left out.  Runs are repeated
+a chosen position meet in a bucket.  Small buckets are compared by brute force on
+all sampled tokens.  In a large one all nodes are compared with a few pivots,
+and those close to one leave it: whatever they are similar to is connected to
+the pivot as well (distances of sets obey the triangle inequality).  The others
+are split again, by positions chosen for their path, down to DEPTH; what is
+still large then is compared in pairs of blocks, so no task holds a whole bucket
+and no pair is left out.  Runs are repeated
 until an audit finds the target recall: sampled nodes are compared with all
 nodes, and the similar ones must have been connected.
 
@@ -29,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from configsieve.llm.components import components, joined_roots
@@ -42,6 +45,11 @@ SIMILAR = (4, 5)
 TOKENS = 64
 #: Share of equal sampled tokens from which a pair is a candidate: four deviations below the similarity.
 CANDIDATE = 0.6
+#: Pivots of a large bucket; the share of equal tokens that connects to a pivot, and that from which a node
+#: leaves: what is similar to it then shares at least LEAVE - 0.2 with the pivot, and some more than NEAR.
+PIVOTS = 8
+NEAR = 0.5
+LEAVE = 0.75
 #: Nodes of a bucket that are compared by brute force; and of a block.
 LEAF = 256
 BLOCK = 1024
@@ -182,6 +190,44 @@ def shared_paths(level: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared.where(F.col("size") <= LEAF), shared.where(F.col("size") > LEAF)
 
 
+def compared_with_pivots(rows: DataFrame) -> DataFrame:
+    """The rows (path, node, tokens) with `to`, a node they are connected to through pivots, and `leaves`.
+
+    A path's pivots are the nodes with the smallest hashes, one for each of PIVOTS hash functions.
+    Rows without tokens only say what pivots are connected to.
+    """
+    pivots = rows.groupBy("path").agg(
+        *(F.min_by(F.struct("node", "tokens"), F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS))
+    )
+    names = [f"p{k}" for k in range(PIVOTS)]
+    apart = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for c in ("node", "tokens") for p in names]
+    joined = rows.select("path", "node", "tokens").join(pivots.select("path", *apart).hint("merge"), "path")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, leave = int(np.ceil(NEAR * TOKENS)), int(np.ceil(LEAVE * TOKENS))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, tokens = batch.column("node").to_numpy(), tokens_of(batch.column("tokens"), np.uint16)
+            pivot = np.stack([batch.column(f"{p}_node").to_numpy() for p in names], 1)
+            equal = np.stack([(tokens_of(batch.column(f"{p}_tokens"), np.uint16) == tokens).sum(1) for p in names], 1)
+            linked = equal >= near
+            # Connected within the batch: one link for each row says what all of them say.
+            known, number = np.unique(np.concatenate([node, pivot.ravel()]), return_inverse=True)
+            own, others = number[: len(node)], number[len(node) :].reshape(pivot.shape)
+            row, at = np.nonzero(linked)
+            roots = known[joined_roots(len(known), own[row], others[row, at])]
+            columns = [*(batch.column(c) for c in ("path", "node", "tokens")), pa.array(roots[own]), pa.array((equal >= leave).any(1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "node", "tokens", "to", "leaves"])
+            # The pivots themselves may be in other batches: their links tie the batches together.
+            met = np.unique(others[row, at])
+            columns = [pa.array(np.zeros(len(met), np.int64)), pa.array(known[met]), pa.nulls(len(met), pa.binary()),
+                       pa.array(roots[met]), pa.array(np.ones(len(met), bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "node", "tokens", "to", "leaves"])
+
+    return joined.mapInArrow(make, "path long, node long, tokens binary, to long, leaves boolean")
+
+
 def split_paths(rows: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +240,7 @@ def split_paths(rows: DataFrame) -> DataFrame:
     return rows.select("path", "node", "tokens").mapInArrow(make, "path long, node long, tokens binary")
 
 
-def block_pairs(rows: DataFrame, n_blocks, keys: list[str]) -> DataFrame:
+def block_pairs(rows: DataFrame, n_blocks: Column) -> DataFrame:
     """Each row once for every pair of blocks its own block is in: columns `own`, `one` and `two` (one <= two).
 
     Every two rows of a group meet in exactly one pair of blocks.
@@ -310,14 +356,18 @@ def run_links(nodes: DataFrame, runs: range) -> DataFrame:
     few, many = (settled(x, "paths") for x in (few, many))
     out = [compared(few.join(short, "node"), ["path"])]
     depth, level = 1, many.join(short, "node")
-    while depth < DEPTH and not many.isEmpty():
+    while not many.isEmpty():
+        level = settled(compared_with_pivots(level), "pivots")
+        out.append(level.where("node != to").select(F.col("node").alias("a"), F.col("to").alias("b")))
+        level = level.where(~F.col("leaves")).drop("to", "leaves")
+        if depth == DEPTH:
+            dealt = level.join(level.groupBy("path").agg(F.count("*").alias("size")).hint("merge"), "path")
+            out.append(compared(block_pairs(dealt, F.ceil(F.col("size") / BLOCK)), ["path", "one", "two"]))
+            break
         few, many = shared_paths(settled(split_paths(level), "paths"))
         many = settled(many, "paths")
         out.append(compared(few, ["path"]))
         depth, level = depth + 1, many
-    if not many.isEmpty():
-        dealt = block_pairs(level, F.ceil(F.col("size") / BLOCK), ["path"])
-        out.append(compared(dealt, ["path", "one", "two"]))
     links = out[0]
     for more in out[1:]:
         links = links.unionByName(more)
@@ -428,7 +478,7 @@ def exact_links(nodes: DataFrame, connected: DataFrame, docs: DataFrame) -> Data
 
     rows = rows.mapInArrow(make, "component long, m long, total long, node long, copies long, windows binary")
     n_blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_WINDOWS))
-    dealt = block_pairs(rows, n_blocks, ["component"])
+    dealt = block_pairs(rows, n_blocks)
     keys = ["component", "one", "two"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ def brute(rows):
     for k, (_, v) in enumerate(rows):
         v = np.array([np.nan if x is None else x for x in v or ()], float)
         if len(v) and np.isfinite(v).all() and v.any():
+            v = v / np.abs(v).max()
             good[k] = v / np.linalg.norm(v)
     near = {k: {j for j, w in good.items() if j != k and len(w) == len(good[k]) and good[k] @ w >= 0.9} if k in good else set()
             for k in range(len(rows))}

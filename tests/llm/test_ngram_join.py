@@ -82,6 +82,16 @@ def test_groups_of_copies(spark, rows, monkeypatch, leaf, block, depth):
     assert found(ngram_join.classes(docs)) == brute(rows)
 
 
+def test_pivots_connect_across_batches(spark, rows, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        monkeypatch.setattr(ngram_join, "LEAF", 2)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        assert found(ngram_join.classes(docs)) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_runs_are_repeated_until_the_audit_is_passed(spark, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "RUNS", 1)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
