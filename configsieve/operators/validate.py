@@ -8,7 +8,17 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DATABASE_RULE, PORT_RANGE, SERVER_RULE
+from ..constants import (
+    DATABASE_RULE,
+    INVALID_SCHEMA,
+    MISSING_PROPERTY,
+    NOT_A_SCHEMA,
+    PORT_RANGE,
+    SERVER_RULE,
+    UNSUPPORTED_TYPE,
+    WRONG_TYPE,
+    WRONG_TYPE_FOUND,
+)
 
 # Python type names a value may have to satisfy a schema type.  A Python bool
 # is an int, so it also passes as integer and number unless ``strict_bool``.
@@ -57,14 +67,17 @@ def gate(validated: DataFrame, schema) -> DataFrame:
 
 
 def empty_config(schema: Mapping | None):
-    """The least value of a schema: objects hold their required properties only."""
+    """The least value of a schema: objects hold their required properties only.
+
+    Null where the schema is no object or its type is none of JSON schema's names.
+    """
     if not schema:
         return {}
-    kind = schema.get("type")
+    kind = schema.get("type") if isinstance(schema, Mapping) else None
     if kind == "object":
         required = schema.get("required", [])
         return {p: _empty_part(part) for p, part in schema.get("properties", {}).items() if p in required}
-    return {"array": [], "string": "", "boolean": False, "number": 0, "integer": 0}.get(kind)
+    return {"array": [], "string": "", "boolean": False, "number": 0, "integer": 0}.get(kind if isinstance(kind, str) else None)
 
 
 def empty_variant(schema: Mapping | None) -> Column:
@@ -131,15 +144,15 @@ def _empty_part(schema: Mapping):
 def _node_errors(value: Column, schema, path: Column, strict_bool: bool) -> Column:
     """Errors of ``value`` (not SQL NULL) against one schema node."""
     if not isinstance(schema, Mapping):
-        return _one_error(F.lit("Invalid schema at "), path, F.lit(": schema must be an object"))
+        return _one_error(F.lit(INVALID_SCHEMA), path, F.lit(NOT_A_SCHEMA))
     kind = schema.get("type")
     if not kind:
         return _no_errors()
-    if kind not in ACCEPTED:
-        return _one_error(F.lit(f"Unsupported type '{kind}' at "), path)
+    if not isinstance(kind, str) or kind not in ACCEPTED:  # a list of types has no hash
+        return _one_error(F.lit(UNSUPPORTED_TYPE.format(kind)), path)
     accepted = [name for name in ACCEPTED[kind] if name != "bool" or kind == "boolean" or not strict_bool]
     found = _python_type(value)
-    mismatch = _one_error(F.lit(f"Expected {kind} at "), path, F.lit(", got "), found)
+    mismatch = _one_error(F.lit(WRONG_TYPE.format(kind)), path, F.lit(WRONG_TYPE_FOUND), found)
     if kind == "object":
         inner = _object_errors(value, schema, path, strict_bool)
     elif kind == "array" and "items" in schema:
@@ -154,7 +167,7 @@ def _object_errors(value: Column, schema: Mapping, path: Column, strict_bool: bo
         return F.variant_get(value, _member_path(name), "variant")
 
     parts = [
-        F.when(member(name).isNull(), _one_error(F.lit(f"Missing required property '{name}' at "), path))
+        F.when(member(name).isNull(), _one_error(F.lit(MISSING_PROPERTY.format(name)), path))
         .otherwise(_no_errors())
         for name in schema.get("required", [])
     ]

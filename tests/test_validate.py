@@ -122,3 +122,14 @@ def test_gate(spark):
 def test_database_rows(spark, text, expected):
     df = spark.createDataFrame([(text,)], "row string")
     assert validate.check_database_rows(df).collect()[0]["violations"] == expected
+
+
+@pytest.mark.parametrize("kind", [["string", "null"], {"a": 1}, 7, "flag", True])
+def test_odd_types(spark, kind):
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": kind}}}
+    row = spark.range(1).select(F.parse_json(F.lit('{"a": 1}')).alias("config"))
+    checked = validate.validate(row, schema).first()
+    assert checked["errors"] == [f"Unsupported type '{kind}' at $.a"]
+    assert validate.empty_config(schema) == {"a": None}
+    assert validate.empty_config({"type": kind}) is None
+    assert validate.empty_config(["type"]) is None
