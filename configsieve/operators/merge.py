@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LOOPBACK_VALUES, MERGE_DEFAULTS
@@ -135,14 +136,25 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
 def drop_shadowed(winners: DataFrame) -> DataFrame:
     """Without the paths below one where an object lost, and without ``lost``.
 
-    Such paths are rare; where there are none, adaptive execution drops both joins.
+    One window per document over its merged paths, which are one output value
+    anyway: the winners are computed once.
     """
-    lost = winners.where("lost").select("doc_id", F.col("path").alias("above"))
-    depth = F.size(F.split("path", "/")) - 1
-    parents = F.transform(F.sequence(F.lit(2), depth), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))
-    below = winners.where(depth >= 2).select("doc_id", "path", F.explode(parents).alias("above"))
-    shadowed = below.join(lost, ["doc_id", "above"], "left_semi").select("doc_id", "path").distinct()
-    return winners.join(shadowed, ["doc_id", "path"], "left_anti").drop("lost")
+    lost = F.collect_list(F.when(F.col("lost") & (F.col("path") != ""), F.col("path")))
+    marked = winners.withColumn("_lost", lost.over(Window.partitionBy("doc_id")))
+    below = F.exists("_lost", lambda path: F.startswith(F.col("path"), F.concat(path, F.lit("/"))))
+    return marked.where(~below).drop("_lost", "lost")
+
+
+def merge_sources(sources: Sequence[DataFrame], rule: str = "B") -> DataFrame:
+    """Leaves of several sources (such as text, then pictures), one winner per path: as :func:`merge_leaves`.
+
+    The leaves of a source are merged among themselves first, then the results
+    in the order of the sources.  That is not the order of all leaves: text
+    ``localhost`` keeps its place before pictures ``5`` and ``db``, whose own
+    winner ``5`` is no string.
+    """
+    merged = [drop_shadowed(merge_leaves(leaves, rule)).withColumn("ord", F.lit(n)) for n, leaves in enumerate(sources)]
+    return merge_leaves(reduce(DataFrame.unionByName, merged), rule)
 
 
 def assemble(winners: DataFrame) -> DataFrame:
