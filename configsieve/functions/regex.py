@@ -27,6 +27,9 @@ BY_CODE_POINTS = chr(0x10FFFF) + "{0}"
 # Control characters, then noncharacters that Unicode reserves for internal use.
 PAD_CHARS = (*map(chr, range(8)), *map(chr, range(0xFDD0, 0xFDF0)))
 
+# The private-use planes, tried when a text holds all of these.
+PRIVATE_USE = ((0xF0000, 0xFFFFD), (0x100000, 0x10FFFD))
+
 # Letters beyond upper and lower case that a case-insensitive i or s matches.
 ODD_LETTERS = {"\u0130": "i", "\u0131": "i", "\u017f": "s"}
 
@@ -121,9 +124,16 @@ def any_chars(least: int, most: int) -> str:
 
 
 def pad_char(text: Column) -> Column:
-    """The first pad character ``text`` does not contain."""
+    """A character ``text`` does not contain: a short list is tried first, then every private-use one.
+
+    A text with all of these (some 131,000) is refused with an error rather than skipped.
+    """
     free = [F.when(~F.contains(text, F.lit(c)), F.lit(c)) for c in PAD_CHARS]
-    return F.coalesce(*free)
+    points = F.concat(*[F.sequence(F.lit(low), F.lit(high)) for low, high in PRIVATE_USE])
+    rare = F.transform(points, lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32"))
+    unused = F.get(F.array_except(rare, F.split(text, "")), F.lit(0))
+    refused = F.raise_error(F.lit("a text holds every private-use character; none is left to pad it with"))
+    return F.coalesce(*free, unused, refused.cast("string"))
 
 
 def padded(text: Column, width: int) -> Column:

@@ -6,36 +6,21 @@ import json
 import re
 
 import pandas as pd
+import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import CONTEXT_CHARS, YAML_BLOCK
 from .regex import PY_SPACE
 
-try:
-    import yaml
-except ImportError:
-    yaml = None
-
 # A line that ends in ``name:``; texts without one hold no block.
 OPENING_LINE = rf"[A-Za-z0-9_]:[{PY_SPACE}]*\n"
 
 BLOCKS_TYPE = "array<struct<json: string, context: string>>"
 
 
-def flat_mapping(block: str):
-    """A one-level ``name:`` block of ``key: value`` lines, without a YAML library."""
-    name, *lines = block.strip().split("\n")
-    pairs = [line.strip().partition(": ") for line in lines if line.strip()]
-    if not all(separator for _, separator, _ in pairs):
-        return None
-    return {name.rstrip().removesuffix(":"): {key: value.strip() for key, _, value in pairs}}
-
-
 def parse_block(block: str):
     """The mapping a block spells out, or None."""
-    if yaml is None:
-        return flat_mapping(block)
     try:
         value = yaml.safe_load(block)
     except (yaml.YAMLError, ValueError, RecursionError):

@@ -33,6 +33,7 @@ from ..functions.yaml_blocks import BLOCKS_TYPE, yaml_blocks
 JSON_TYPE = "json_structure"
 YAML_TYPE = "yaml_structure"
 TO_THE_END = 2**31 - 1
+DIGITS = "0123456789"
 JSON_PATTERN = SettingPattern(JSON_TYPE, JSON_BLOCK, 0, "{")
 
 SETTINGS_SCHEMA = "doc_id {id}, pattern_ord int, match_ord int, type string, key string, value string, context string"
@@ -47,10 +48,11 @@ def extract_settings(docs: DataFrame, patterns: Sequence[SettingPattern] = SETTI
     Python's ``re`` over Arrow batches instead and takes any pattern.
     """
     if engine == "arrow":
-        return _extract_with_python(docs, patterns, width)
+        return _extract_with_python(docs, patterns, context, width)
     for pattern in patterns:
         check_pattern(pattern.regex)
-    hits = _located(docs, [_regex_part(i, p, context, width) for i, p in enumerate(patterns)], context, width)
+    parts = [_regex_part(i, p, context, width) for i, p in enumerate(patterns)]
+    hits = _located(docs, parts, context, width, scanned=_scanned(patterns))
     return hits.select(
         "doc_id", "pattern_ord", "match_ord", "type",
         _per_type(patterns, _key).alias("key"),
@@ -93,7 +95,7 @@ def extract_candidates(docs: DataFrame, patterns: Sequence[SettingPattern] = SET
     parts = [_regex_part(i, p, context, width) for i, p in enumerate(patterns)]
     parts.append((json_ord, JSON_TYPE, _finder(JSON_PATTERN, context, width)))
     with_yaml = docs.select("doc_id", "text", yaml_blocks(F.col("text"), width).alias("yaml"))
-    hits = _located(with_yaml, parts, context, width, yaml_ord)
+    hits = _located(with_yaml, parts, context, width, yaml_ord, _scanned(patterns))
     json_text = F.when(F.col("type") == JSON_TYPE, F.regexp_extract("hit", JSON_BLOCK, 0)) \
         .when(F.col("type") == YAML_TYPE, F.col("block_json"))
     rows = hits.select(
@@ -129,7 +131,7 @@ def config_patterns(text: Column, folded_text: Column, patterns: Sequence[Settin
     repeated = []
     for pattern in patterns:
         guard = may_match(text, folded_text, pattern.needs, pattern.words)
-        values = find_all(text, pattern.regex, pattern.groups, pattern.not_after, guard)
+        values = find_all(text, pattern.scan or pattern.regex, pattern.groups, pattern.not_after, guard)
         repeated.append(_repeat(pattern.name, F.size(F.filter(values, lambda v: is_real_value(v)))))
     objects = F.filter(find_all(text, JSON_BLOCK, guard=F.contains(text, F.lit("{"))), lambda b: F.try_parse_json(b).isNotNull())
     repeated.append(_repeat(JSON_TYPE, F.size(objects)))
@@ -167,11 +169,17 @@ def _finder(pattern: SettingPattern, context: bool, width: int):
     searched = F.col("searched")
     guard = may_match(searched, F.col("folded"), pattern.needs, pattern.words)
     if context:
-        return find_all_in_context(searched, pattern.regex, width, pattern.not_after, guard)
-    return find_all(searched, pattern.regex, 0, pattern.not_after, guard)
+        return find_all_in_context(searched, pattern.scan or pattern.regex, width, pattern.not_after, guard)
+    return find_all(searched, pattern.scan or pattern.regex, 0, pattern.not_after, guard)
+
+
+def _scanned(patterns: Sequence[SettingPattern]) -> list[int]:
+    """The patterns whose matches come with digits before them."""
+    return [i for i, p in enumerate(patterns) if p.scan]
 
 
-def _located(docs: DataFrame, parts, context: bool, width: int, yaml_ord: int | None = None) -> DataFrame:
+def _located(docs: DataFrame, parts, context: bool, width: int, yaml_ord: int | None = None,
+             scanned: Sequence[int] = ()) -> DataFrame:
     """Rows ``doc_id, pattern_ord, match_ord, type, hit, context``; ``hit`` starts with the match.
 
     ``stack`` turns the per-pattern match arrays of a document into rows
@@ -187,6 +195,10 @@ def _located(docs: DataFrame, parts, context: bool, width: int, yaml_ord: int |
     )
     matches = _plain_matches(prepared, parts) if yaml_ord is None else _matches_and_blocks(prepared, parts, yaml_ord)
     around, extra = F.col("around"), [c for c in ("block_json",) if c in matches.columns]
+    if scanned:  # what was found begins before the match by its leading digits
+        found = F.substring(around, width + 1, TO_THE_END) if context else around
+        extra_digits = F.length(found) - F.length(F.ltrim(found, F.lit(DIGITS)))
+        around = F.when(F.col("pattern_ord").isin(*scanned), F.substring(around, extra_digits + 1, F.lit(TO_THE_END))).otherwise(around)
     if context:
         hit, shown = F.substring(around, width + 1, TO_THE_END), F.ltrim(around, F.col("pad"))
         shown = F.coalesce("block_context", shown) if extra else shown
@@ -238,21 +250,22 @@ def _per_type(patterns: Sequence[SettingPattern], part) -> Column:
     return chosen
 
 
-def _extract_with_python(docs: DataFrame, patterns: Sequence[SettingPattern], width: int) -> DataFrame:
-    patterns = [tuple(p) for p in patterns]
+def _extract_with_python(docs: DataFrame, patterns: Sequence[SettingPattern], context: bool, width: int) -> DataFrame:
+    found = [(i, p.name, f"(?<![{p.not_after}]){p.scan}" if p.scan else p.regex, p.groups, p.needs, bool(p.scan))
+             for i, p in enumerate(patterns)]
     columns = ["doc_id", "pattern_ord", "match_ord", "type", "key", "value", "context"]
 
     def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(i, name, re.compile(regex), groups, needs)
-                    for i, (name, regex, groups, needs, *_) in enumerate(patterns)]
+        compiled = [(i, name, re.compile(regex), *rest) for i, name, regex, *rest in found]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                for i, name, regex, groups, needs in compiled:
+                for i, name, regex, groups, needs, scanned in compiled:
                     if text is None or (needs and needs not in text):
                         continue
                     for n, m in enumerate(regex.finditer(text)):
-                        around = text[max(0, m.start() - width):m.end() + width]
+                        start = m.start(1) if scanned else m.start()
+                        around = text[max(0, start - width):m.end() + width] if context else None
                         rows.append((doc_id, i, n, name, m.group(1) if groups > 1 else name, m.group(groups), around))
             yield pd.DataFrame(rows, columns=columns)
 

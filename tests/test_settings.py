@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +16,7 @@ from configsieve.constants import (
     YAML_BLOCK,
     SettingPattern,
 )
-from configsieve.functions.regex import strip, to_java
-from configsieve.functions.yaml_blocks import flat_mapping
+from configsieve.functions.regex import PAD_CHARS, strip, to_java
 from configsieve.operators import settings
 
 PIECES = [
@@ -130,11 +130,6 @@ def test_yaml_without_json_form(spark):
     assert settings.extract_candidates(docs).where("type = 'yaml_structure'").count() == 2
 
 
-def test_flat_mapping_without_a_yaml_library():
-    assert flat_mapping("server:\n  ip: 10.0.0.1\n  up: yes\n") == {"server": {"ip": "10.0.0.1", "up": "yes"}}
-    assert flat_mapping("server:\n  - item\n") is None
-
-
 def test_candidates_are_the_union_without_false_positives(docs, texts):
     def real(value):
         return value.lower() not in PLACEHOLDER_VALUES and len(value) >= 3
@@ -180,3 +175,29 @@ def test_java_patterns_search_like_python(docs, texts):
 def test_strip(docs, texts):
     for doc_id, stripped in docs.select("doc_id", strip(F.col("text"))).collect():
         assert stripped == texts[doc_id].strip()
+
+
+def test_texts_with_every_pad_character(spark):
+    text = "".join(PAD_CHARS) + " host = abc, " + '{"a": 1}'
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    assert sorted(map(tuple, settings.extract_settings(docs).collect())) == expected_settings([text])
+    assert settings.extract_json(docs).count() == 1
+    assert {r.type for r in settings.extract_candidates(docs).collect()} == {"host", "key_value", "json_structure"}
+
+
+def test_long_runs_of_letters_and_digits_take_linear_time(spark):
+    text = "a1" * 500_000 + " 12ab34 = xyz " + "7b" * 100_000 + "=abc"
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    for engine in ("native", "arrow"):
+        found = settings.extract_settings(docs, SETTING_PATTERNS[-1:], engine=engine).collect()
+        assert [(r.key[:6], r.value) for r in found] == [("ab34", "xyz"), ("b7b7b7", "abc")]
+        at = text.index("ab34")
+        assert found[0].context == text[at - 50:at + len("ab34 = xyz") + 50]
+    assert time.perf_counter() - start < 20
+
+
+def test_python_engine_without_context(docs, texts):
+    found = settings.extract_settings(docs, context=False, engine="arrow").collect()
+    assert sorted(tuple(r)[:6] for r in found) == [row[:6] for row in expected_settings(texts)]
+    assert all(r.context is None for r in found)
