@@ -1,4 +1,4 @@
-"""Reading text tables for CPU-heavy work."""
+"""Reading text tables."""
 
 from __future__ import annotations
 
@@ -6,11 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over all cores if it has fewer splits than that.
-
-    A large table has many splits and is read as it is; only a small one, whose
-    single row group would keep one core busy, is dealt out.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """A Parquet table as it is: its row groups are the splits, and its texts do not move."""
+    return spark.read.parquet(path)
