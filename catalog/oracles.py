@@ -192,6 +192,22 @@ def merge_string_sql(rule: str) -> str:
   arg_min(value, ord) FILTER (WHERE value IS NOT NULL)) AS value FROM {source} GROUP BY doc_id, path"""
 
 
+def merge_sources_sql() -> str:
+    """Rule B on pairs: (first, second) of the text, of the pictures, then of these two results."""
+    loop = word_list(c.LOOPBACK_VALUES)
+
+    def pair(a: str, b: str) -> str:
+        # Values that begin with h stand for numbers, which neither yield nor take over.
+        takes = f"lower({a}) IN {loop} AND {b} NOT LIKE 'h%' AND lower({b}) NOT IN {loop}"
+        return f"CASE WHEN {a} IS NULL THEN {b} WHEN {b} IS NULL THEN {a} WHEN {takes} THEN {b} ELSE {a} END"
+
+    values = ", ".join(f"max(value) FILTER (WHERE ord = {k}) AS v{k}" for k in range(4))
+    return f"""SELECT doc_id, path, CASE WHEN value IS NULL THEN 'null' WHEN value LIKE 'h%' THEN 'int' ELSE 'str' END AS vtype,
+  CASE WHEN value LIKE 'h%' THEN substr(value, 2) ELSE value END AS value
+FROM (SELECT doc_id, path, {pair("t", "p")} AS value FROM (SELECT doc_id, path, {pair("v0", "v1")} AS t, {pair("v2", "v3")} AS p
+  FROM (SELECT doc_id, path, {values} FROM {derived_sql("fragments")} GROUP BY doc_id, path)))"""
+
+
 # Leaves of the nested answers, path by path.  /server may be an object, a string or null.
 FLAT = f"""(SELECT doc_id, chunk_id AS ord, json_extract_string(response, '$.tenantId') AS tenant,
   json_type(response, '$.server') AS kind, json_extract_string(response, '$.server') AS server,
@@ -377,6 +393,7 @@ def oracle_sql() -> dict[str, str]:
         "dangling_edges": dangling_sql(),
         "merge_rule_a": merge_string_sql("A"),
         "merge_rule_b": merge_string_sql("B"),
+        "merge_sources_b": merge_sources_sql(),
         "merge_nested_a": f"SELECT doc_id, path, vtype, value FROM {nested_leaves('A')}",
         "merge_nested_b": f"SELECT doc_id, path, vtype, value FROM {nested_leaves('B')}",
         "merge_configs": f"SELECT doc_id, tenant, CAST(monitoring AS BOOLEAN) AS monitoring, {SERVER_JSON} AS server FROM {MERGED}",
@@ -394,6 +411,12 @@ def oracle_sql() -> dict[str, str]:
         "processing_summary": f"""SELECT count(*) AS total_files, count(config) AS successful_files,
             count(*) - count(config) AS failed_files FROM {resolved_sql()}""",
         "validate_config": f"SELECT cfg_id, is_valid, errors FROM {validated(['tenantId', 'enableMonitoring', 'userId'])}",
+        "validate_config_odd_schema": f"""SELECT cfg_id, false AS is_valid, concat_ws('; ', 'Invalid schema at $.port: schema must be an object',
+            CASE WHEN json_type(config, '$.tenantId') IS NULL THEN 'Missing required property ''tenantId'' at $' END,
+            CASE WHEN json_type(config, '$.tenantId') IS NOT NULL THEN 'Unsupported type ''[''string'', ''null'']'' at $.tenantId' END,
+            'Unsupported type ''flag'' at $.enableMonitoring') AS errors,
+            '{{"tenantId":null}}' AS config
+          FROM {derived_sql("configs")}""",
         "empty_config_gate": f"""SELECT cfg_id, is_valid, CASE WHEN is_valid THEN
             '{{"enableMonitoring":true,"interfacesInScope":["a","b"],"port":' || json_extract_string(config, '$.port')
             || ',"tenantId":"' || json_extract_string(config, '$.tenantId') || '"}}'

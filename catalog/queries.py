@@ -39,6 +39,16 @@ ANSWER_SCHEMA = {
         "server": {"type": "object", "properties": {"host": {"type": "string"}, "port": {"type": "integer"}}},
     },
 }
+ODD_SCHEMA = {
+    "type": "object",
+    "required": ["tenantId"],
+    "properties": {
+        "tenantId": {"type": ["string", "null"]},
+        "enableMonitoring": {"type": "flag"},
+        "interfacesInScope": {"items": {"type": "string"}},
+        "port": "integer",
+    },
+}
 SECTION_SIZE, SECTION_OVERLAP = 120, 20
 REQUEST_SIZE, REQUEST_OVERLAP = 500, 50
 
@@ -205,6 +215,16 @@ def merge_rule_b(spark, sf_dir):
     return merge.merge_leaves(_string_leaves(spark, sf_dir), "B").select("doc_id", "path", "value")
 
 
+def merge_sources_b(spark, sf_dir):
+    """The first two leaves of a path as the text's, the others as the pictures'; names with h are numbers."""
+    leaves = _string_leaves(spark, sf_dir)
+    number = F.col("value").startswith("h")
+    leaves = leaves.withColumn("vtype", F.when(number, "int").otherwise(F.col("vtype"))) \
+        .withColumn("value", F.when(number, F.substring("value", 2, 9)).otherwise(F.col("value")))
+    sources = [leaves.where(F.col("ord") < 2), leaves.where(F.col("ord") >= 2)]
+    return merge.merge_sources(sources, "B").select("doc_id", "path", "vtype", "value")
+
+
 def merge_nested_a(spark, sf_dir):
     return _nested_leaves(spark, sf_dir, "A")
 
@@ -290,6 +310,13 @@ def validate_config(spark, sf_dir):
     return _validated(spark, sf_dir).select("cfg_id", "is_valid", F.array_join("errors", "; ").alias("errors"))
 
 
+def validate_config_odd_schema(spark, sf_dir):
+    configs = derived(spark, sf_dir, "configs").select("cfg_id", F.try_parse_json("config").alias("config"))
+    checked = validate.validate(configs, ODD_SCHEMA)
+    gated = validate.gate(checked, ODD_SCHEMA)
+    return gated.select("cfg_id", "is_valid", F.array_join("errors", "; ").alias("errors"), F.to_json("config").alias("config"))
+
+
 def empty_config_gate(spark, sf_dir):
     relaxed = CONFIG_SCHEMA | {"required": ["tenantId", "enableMonitoring"]}
     configs = derived(spark, sf_dir, "configs").select("cfg_id", F.try_parse_json("config").alias("config"))
@@ -411,8 +438,8 @@ QUERIES = {f.__name__: f for f in (
     chunks_fixed, chunks_recursive, section_types, section_headings, config_sections, sections_recursive,
     section_terms, section_relationships,
     doc_hashes, history_upsert, related_contexts, dangling_edges,
-    merge_rule_a, merge_rule_b, merge_nested_a, merge_nested_b, merge_configs,
+    merge_rule_a, merge_rule_b, merge_sources_b, merge_nested_a, merge_nested_b, merge_configs,
     request_rows, request_rows_pairs, attach_responses, resolved_configs, processing_summary,
-    validate_config, empty_config_gate, typed_rows, server_rows, document_types,
+    validate_config, validate_config_odd_schema, empty_config_gate, typed_rows, server_rows, document_types,
     asset_dedupe, asset_fields, asset_filter, sniff_format, docx_text, docx_media,
 )}

@@ -6,10 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from configsieve.constants import CHUNK_SEPARATORS
+from configsieve.constants import CHUNK_SEPARATORS, DEFAULT_SECTION_TYPE, SECTION_KEYWORDS
 from configsieve.functions.text import fixed_chunks, heading, section_type
 from configsieve.operators import sections
 
+# A fixed value: the structured sample text that the checks are defined on.
 SAMPLE = """
         Configuration Settings:
         host = localhost
@@ -99,24 +100,28 @@ def test_bad_chunk_sizes():
         fixed_chunks(F.col("text"), 10, 10)
 
 
-def heading_model(text):
-    for line in text.split("\n")[:3]:
-        line = line.strip()
-        if line and len(line) < 100 and line.endswith(":"):
-            return line.strip(":")
-    return None
+HEADINGS = [
+    ("Title:\nbody", "Title"), ("\n\n  Spaced out:  \nbody", "Spaced out"), ("a\nb\nc:\nd", "c"), ("a\nb\nc\nd:", None),
+    (":", ""), ("::both::", "both"), ("::both", None), ("", None), ("x" * 98 + ":", "x" * 98), ("x" * 99 + ":", None),
+    ("no colon", None), ("first:\nsecond:", "first"), ("mid: dle\nlast:", "last"), ("\u00a0odd:\u2003", "odd"), ("tab:\t", "tab"),
+]
 
 
-def type_model(text):
-    words = {"configuration": ["config", "settings", "parameters"], "database": ["database", "db", "sql"],
-             "api": ["api", "endpoint", "rest", "service"], "security": ["security", "auth", "permission"]}
-    return next((t for t, ws in words.items() if any(w in text.lower() for w in ws)), "general")
+def test_headings(spark):
+    rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(HEADINGS)], "id long, text string")
+    found = {r[0]: r[1] for r in rows.select("id", heading(F.col("text"))).collect()}
+    assert [found[k] for k in range(len(HEADINGS))] == [want for _, want in HEADINGS]
 
 
-def test_heading_and_type(docs, texts):
-    rows = docs.select("doc_id", heading(F.col("text")).alias("h"), section_type(F.col("text")).alias("t")).collect()
-    for doc_id, h, t in rows:
-        assert (h, t) == (heading_model(texts[doc_id]), type_model(texts[doc_id]))
+def first_listed_type(text):
+    """The type of the first keyword list with a word in the text, as the constants have them."""
+    hits = [name for name, keywords in SECTION_KEYWORDS for word in keywords if text.lower().find(word) >= 0]
+    return (hits + [DEFAULT_SECTION_TYPE])[0]
+
+
+def test_types(docs, texts):
+    for doc_id, t in docs.select("doc_id", section_type(F.col("text"))).collect():
+        assert t == first_listed_type(texts[doc_id])
 
 
 def test_sample_text(spark):
