@@ -1,15 +1,22 @@
 """The history and edges tables as Parquet directories.
 
-``<base>/history/version=N`` is a full table that includes every batch before
-N; ``<base>/history/batch=N`` holds rows stored since.  Storing appends a batch
-and costs what the batch costs; reading resolves batches against the version
-with the same newest-wins rule; compacting writes the next version.  A write
-counts once its success marker is there, so a job that dies half-way leaves
-the previous state in force.
+``<base>/history/batch=<name>`` holds the rows of one store, ``version=<name>`` a
+full table and ``included=<name>`` the names of the batches that are in it.
+Names begin with the time and end with a random part, so two writers never
+meet and nothing is overwritten.  Storing appends a batch and costs what the
+batch costs; reading resolves the batches that the newest version does not
+include by the newest-wins rule; compacting writes another version.  A write
+counts once its success marker is there, so a job that dies half-way leaves the
+previous state in force, and a batch that ends after a compaction began is
+simply not included yet.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +29,8 @@ SCHEMAS = {HISTORY: HISTORY_SCHEMA, EDGES: EDGES_SCHEMA}
 def create_tables(spark: SparkSession, base: str) -> None:
     """Write empty first versions of both tables unless they exist."""
     for table, schema in SCHEMAS.items():
-        if not _numbers(spark, base, table, "version"):
-            spark.createDataFrame([], schema).write.mode("overwrite").parquet(_path(base, table, "version", 0))
+        if not _names(base, table, "version"):
+            _write_version(spark.createDataFrame([], schema), base, table, [])
 
 
 def read_history(spark: SparkSession, base: str) -> DataFrame:
@@ -32,52 +39,79 @@ def read_history(spark: SparkSession, base: str) -> DataFrame:
     stored = spark.read.schema(HISTORY_SCHEMA).parquet(_path(base, HISTORY, "version", version))
     if not batches:
         return stored
-    # The batch number, read from the directory name, orders rows of equal time.
-    recent = spark.read.schema(HISTORY_SCHEMA).option("basePath", f"{base.rstrip('/')}/{HISTORY}") \
-        .parquet(*[_path(base, HISTORY, "batch", b) for b in batches])
-    return upsert_history(stored, recent.withColumn("seq", F.col("batch").cast("long")))
+    # The place of a batch in the order of names decides between rows of equal time.
+    recent = [spark.read.schema(HISTORY_SCHEMA).parquet(_path(base, HISTORY, "batch", name)).withColumn("seq", F.lit(k))
+              for k, name in enumerate(batches)]
+    updates = recent[0]
+    for more in recent[1:]:
+        updates = updates.unionByName(more)
+    return upsert_history(stored, updates)
 
 
 def read_edges(spark: SparkSession, base: str) -> DataFrame:
     """The edges table."""
-    version = max(_numbers(spark, base, EDGES, "version"))
-    return spark.read.schema(EDGES_SCHEMA).parquet(_path(base, EDGES, "version", version))
+    return spark.read.schema(EDGES_SCHEMA).parquet(_path(base, EDGES, "version", _names(base, EDGES, "version")[-1]))
 
 
-def store_contexts(spark: SparkSession, base: str, updates: DataFrame) -> int:
-    """Insert or replace history rows; returns the number of the batch written."""
-    version, batches = _state(spark, base)
-    number = max(batches, default=version - 1) + 1
-    rows = updates.select(*HISTORY_SCHEMA.fieldNames())
-    rows.write.mode("overwrite").parquet(_path(base, HISTORY, "batch", number))
-    return number
+def store_contexts(spark: SparkSession, base: str, updates: DataFrame) -> str:
+    """Insert or replace history rows; returns the name of the batch written.
+
+    Rows without ``last_processed`` were processed now.
+    """
+    _state(spark, base)
+    name = _new_name()
+    known = updates if "last_processed" in updates.columns else updates.withColumn("last_processed", F.lit(None).cast("timestamp"))
+    rows = known.withColumn("last_processed", F.coalesce("last_processed", F.current_timestamp()))
+    rows.select(*HISTORY_SCHEMA.fieldNames()).write.mode("errorifexists").parquet(_path(base, HISTORY, "batch", name))
+    return name
 
 
-def compact_history(spark: SparkSession, base: str) -> int:
-    """Fold all batches into a new version; returns its number."""
+def compact_history(spark: SparkSession, base: str) -> str:
+    """Fold all finished batches into a new version, if there are any; returns the newest version's name."""
     version, batches = _state(spark, base)
-    number = max(batches, default=version - 1) + 1
-    if number > version:
-        read_history(spark, base).write.mode("overwrite").parquet(_path(base, HISTORY, "version", number))
-    return number
+    if not batches:
+        return version
+    included = _included(spark, base, version) + batches
+    return _write_version(read_history(spark, base), base, HISTORY, included)
+
 
+def _write_version(rows: DataFrame, base: str, table: str, included: list[str]) -> str:
+    """The list first: a version counts when its own marker is there."""
+    name = _new_name()
+    names = rows.sparkSession.createDataFrame([(b,) for b in included], "batch string")
+    names.coalesce(1).write.mode("errorifexists").parquet(_path(base, table, "included", name))
+    rows.write.mode("errorifexists").parquet(_path(base, table, "version", name))
+    return name
 
-def _state(spark: SparkSession, base: str) -> tuple[int, list[int]]:
-    """The latest version and the batches it does not include."""
-    versions = _numbers(spark, base, HISTORY, "version")
+
+def _included(spark: SparkSession, base: str, version: str) -> list[str]:
+    return [r[0] for r in spark.read.schema("batch string").parquet(_path(base, HISTORY, "included", version)).collect()]
+
+
+def _state(spark: SparkSession, base: str) -> tuple[str, list[str]]:
+    """The newest version and the finished batches it does not include, in order."""
+    versions = _names(base, HISTORY, "version")
     if not versions:
         raise FileNotFoundError(f"no {HISTORY} table under {base}")
-    version = max(versions)
-    return version, [b for b in _numbers(spark, base, HISTORY, "batch") if b >= version]
+    included = set(_included(spark, base, versions[-1]))
+    return versions[-1], [b for b in _names(base, HISTORY, "batch") if b not in included]
+
+
+def _new_name() -> str:
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
 
 
-def _path(base: str, table: str, kind: str, number: int) -> str:
-    return f"{base.rstrip('/')}/{table}/{kind}={number}"
+def _path(base: str, table: str, kind: str, name: str) -> str:
+    return f"{base.rstrip('/')}/{table}/{kind}={name}"
 
 
-def _numbers(spark: SparkSession, base: str, table: str, kind: str) -> list[int]:
-    """Numbers of the finished writes of one kind, ascending."""
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{table}/{kind}=*/_SUCCESS")
-    file_system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = file_system.globStatus(pattern) or []
-    return sorted(int(s.getPath().getParent().getName().partition("=")[2]) for s in done)
+def _names(base: str, table: str, kind: str) -> list[str]:
+    """Names of the finished writes of one kind, in order."""
+    root = f"{base.rstrip('/')}/{table}"
+    if root.startswith("file:") and not root.startswith("file://"):
+        root = "file://" + root.removeprefix("file:")
+    store, folder = fs.FileSystem.from_uri(root)
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    names = [x.base_name.removeprefix(f"{kind}=") for x in found if x.base_name.startswith(f"{kind}=")]
+    markers = store.get_file_info([f"{folder}/{kind}={name}/_SUCCESS" for name in names])
+    return sorted(name for name, marker in zip(names, markers, strict=True) if marker.type == fs.FileType.File)

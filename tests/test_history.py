@@ -75,16 +75,39 @@ def test_tables(spark, tmp_path):
     tables.create_tables(spark, base)
     assert tables.read_history(spark, base).count() == 0 and tables.read_edges(spark, base).count() == 0
     frame = lambda *rows: spark.createDataFrame(list(rows), tables.HISTORY_SCHEMA)
-    assert tables.store_contexts(spark, base, frame(row("a", 1, "one"), row("b", 1, "one"))) == 0
-    assert tables.store_contexts(spark, base, frame(row("a", 1, "two"))) == 1
+    tables.store_contexts(spark, base, frame(row("a", 1, "one"), row("b", 1, "one")))
+    tables.store_contexts(spark, base, frame(row("a", 1, "two")))
     paths = lambda: {r["doc_hash"]: r["doc_path"] for r in tables.read_history(spark, base).collect()}
     assert paths() == {"a": "two", "b": "one"}
-    assert tables.compact_history(spark, base) == 2
-    assert tables.compact_history(spark, base) == 2
+    compacted = tables.compact_history(spark, base)
+    assert tables.compact_history(spark, base) == compacted
     assert paths() == {"a": "two", "b": "one"}
-    assert tables.store_contexts(spark, base, frame(row("c", 0, "three"))) == 2
+    tables.store_contexts(spark, base, frame(row("c", 0, "three")))
     assert paths() == {"a": "two", "b": "one", "c": "three"}
     # A write without its success marker does not count.
-    tables.store_contexts(spark, base, frame(row("d", 0, "lost")))
-    (tmp_path / "store/history/batch=3/_SUCCESS").unlink()
+    lost = tables.store_contexts(spark, base, frame(row("d", 0, "lost")))
+    (tmp_path / f"store/history/batch={lost}/_SUCCESS").unlink()
     assert "d" not in paths()
+
+
+def test_stores_from_the_same_state_are_both_kept(spark, tmp_path, monkeypatch):
+    base = f"file://{tmp_path}/store"
+    tables.create_tables(spark, base)
+    frame = lambda *rows: spark.createDataFrame(list(rows), tables.HISTORY_SCHEMA)
+    version, _ = tables._state(spark, base)
+    tables.store_contexts(spark, base, frame(row("a", 1, "one")))
+    # A compaction that has looked before the second store, and ends after it.
+    seen = tables._state(spark, base)
+    tables.store_contexts(spark, base, frame(row("b", 1, "two")))
+    monkeypatch.setattr(tables, "_state", lambda *_: seen)
+    tables.compact_history(spark, base)
+    monkeypatch.undo()
+    assert {r["doc_hash"] for r in tables.read_history(spark, base).collect()} == {"a", "b"}
+
+
+def test_rows_without_a_time_were_processed_now(spark, tmp_path):
+    base = str(tmp_path / "store")
+    tables.create_tables(spark, base)
+    tables.store_contexts(spark, base, spark.createDataFrame([row("a", 1)], tables.HISTORY_SCHEMA).drop("last_processed"))
+    (found,) = tables.read_history(spark, base).collect()
+    assert found["last_processed"].year >= 2024
