@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DOC_TYPES
 from ..functions.docx import docx_media, docx_text
-from ..operators.assets import docx_asset_name, with_picture_header
+from ..operators.assets import docx_asset_name, is_legacy_doc, with_picture_header
 
 TEXT_TYPES = ("text", "json", "yaml")
+LENGTH_LIMIT = "spark.sql.sources.binaryFile.maxLength"
 
 DOCX_TEXT_SCHEMA = "path string, text string, status string, error string"
 MEDIA_SCHEMA = "path string, member string, content binary"
@@ -33,18 +34,58 @@ def discover(spark: SparkSession, directory: str, types: Mapping[str, str] = DOC
     ``only`` restricts the document types.  Other files drop out while listing:
     a filter on the rows would come after their contents have been read.
     ``content`` itself is read only where it is selected.
+
+    Spark's listing leaves out names that begin with ``_`` or ``.``.  Such
+    folders are listed as roots of their own, and such files read one by one.
     """
     wanted = {ext: kind for ext, kind in types.items() if only is None or kind in only}
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-            .option("pathGlobFilter", extension_glob(wanted)).load(directory)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Directory not found: {directory}") from error
-        raise
+    folders, hidden = hidden_names(directory)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", extension_glob(wanted)).load([directory, *folders])
+    hidden = [path for path in hidden if path.rpartition(".")[2].lower() in wanted]
+    if hidden:
+        paths = spark.createDataFrame([(path,) for path in hidden], "path string")
+        files = files.unionByName(paths.repartition(len(hidden)).mapInPandas(read_one_by_one, files.schema))
     return files.withColumn("doc_type", doc_type(F.col("path"), wanted))
 
 
+def hidden_names(directory: str) -> tuple[list[str], list[str]]:
+    """Folders and files under a directory, at any depth, whose names begin with ``_`` or ``.``."""
+    store, root = opened(directory)
+    try:
+        found = store.get_file_info(fs.FileSelector(root, recursive=True))
+    except (FileNotFoundError, NotADirectoryError) as error:
+        raise FileNotFoundError(f"Directory not found: {directory}") from error
+    prefix = directory[: len(directory) - len(root.rstrip("/"))] if directory.rstrip("/").endswith(root.rstrip("/")) else ""
+    prefix = prefix or ("file:" if isinstance(store, fs.LocalFileSystem) else "")
+    hidden = [x for x in found if x.base_name.startswith(("_", "."))]
+    return ([prefix + x.path for x in hidden if x.type == fs.FileType.Directory],
+            [prefix + x.path for x in hidden if x.type == fs.FileType.File])
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
+
+
+def read_one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the ``binaryFile`` source for given paths."""
+    for batch in batches:
+        for path in batch["path"]:
+            store, name = opened(path)
+            info = store.get_file_info(name)
+            with store.open_input_stream(name) as stream:
+                yield pd.DataFrame({"path": [path], "modificationTime": [pd.Timestamp(info.mtime)],
+                                    "length": [info.size], "content": [stream.read()]})
+
+
+def within_limit(files: DataFrame) -> Column:
+    """Whether Spark reads a file: a larger one would end the whole job."""
+    return F.col("length") <= int(files.sparkSession.conf.get(LENGTH_LIMIT))
+
+
 def extension_glob(extensions: Iterable[str]) -> str:
     """A glob for file names with one of the extensions, in any case."""
     any_case = ("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext) for ext in extensions)
@@ -53,7 +94,7 @@ def extension_glob(extensions: Iterable[str]) -> str:
 
 def read_text_files(files: DataFrame) -> DataFrame:
     """Text, JSON and YAML files as ``path, text, status, error``."""
-    return files.where(F.col("doc_type").isin(*TEXT_TYPES)).select(
+    return files.where(F.col("doc_type").isin(*TEXT_TYPES) & within_limit(files)).select(
         "path", F.col("content").cast("string").alias("text"), F.lit("read").alias("status"), F.lit(None).cast("string").alias("error"))
 
 
@@ -63,29 +104,37 @@ def read_docx(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content, legacy in zip(batch["path"], batch["content"], batch["legacy"]):
                 try:
-                    rows.append((path, docx_text(content), "read", None))
+                    rows.append((path, None, "failed", "no decoder for doc") if legacy else (path, docx_text(content), "read", None))
                 except Exception as error:
                     rows.append((path, None, "failed", f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["path", "text", "status", "error"])
 
-    return files.where(F.col("doc_type") == "docx").select("path", "content").mapInPandas(parse, DOCX_TEXT_SCHEMA)
+    content = F.col("content")
+    found = files.where(F.col("doc_type") == "docx")
+    found = found.where(within_limit(files)) if "length" in files.columns else found
+    legacy = content.isNotNull() & is_legacy_doc(content, F.col("path"))
+    return found.select("path", "content", legacy.alias("legacy")).mapInPandas(parse, DOCX_TEXT_SCHEMA)
 
 
 def read_documents(spark: SparkSession, directory: str) -> DataFrame:
     """All supported files of a directory as ``path, doc_type, text, status, error``.
 
-    Types that need an outside decoder (PDF, video, audio) come out as failed,
-    without their contents being read.
+    Types that need an outside decoder (PDF, video, audio) and files too large
+    to read come out as failed, without their contents being read.
     """
     undecoded = [t for t in dict.fromkeys(DOC_TYPES.values()) if t not in (*TEXT_TYPES, "docx")]
-    other = discover(spark, directory, only=undecoded).select(
-        "path", F.lit(None).cast("string").alias("text"), F.lit("failed").alias("status"),
-        F.concat(F.lit("no decoder for "), "doc_type").alias("error"))
-    texts = read_text_files(discover(spark, directory, only=TEXT_TYPES))
-    docx = read_docx(discover(spark, directory, only=["docx"]))
-    return texts.unionByName(docx).unionByName(other).withColumn("doc_type", doc_type(F.col("path")))
+    text, docx = discover(spark, directory, only=TEXT_TYPES), discover(spark, directory, only=["docx"])
+    other = _failed(discover(spark, directory, only=undecoded), F.concat(F.lit("no decoder for "), "doc_type"))
+    size = F.concat(F.lit("too large to read: "), F.col("length").cast("string"), F.lit(" bytes"))
+    large = [_failed(files.where(~within_limit(files)), size) for files in (text, docx)]
+    rows = read_text_files(text).unionByName(read_docx(docx)).unionByName(other)
+    return rows.unionByName(large[0]).unionByName(large[1]).withColumn("doc_type", doc_type(F.col("path")))
+
+
+def _failed(files: DataFrame, error: Column) -> DataFrame:
+    return files.select("path", F.lit(None).cast("string").alias("text"), F.lit("failed").alias("status"), error.alias("error"))
 
 
 def explode_docx_media(files: DataFrame) -> DataFrame:
@@ -93,12 +142,10 @@ def explode_docx_media(files: DataFrame) -> DataFrame:
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (path, member, content)
-                for path, archive in zip(batch["path"], batch["content"])
-                for member, content in docx_media(archive)
-            ]
-            yield pd.DataFrame(rows, columns=["path", "member", "content"])
+            for path, archive in zip(batch["path"], batch["content"]):
+                # One picture at a time: together they may be far larger than the files.
+                for member, content in docx_media(archive):
+                    yield pd.DataFrame({"path": [path], "member": [member], "content": [content]})
 
     packed = files.where(F.col("doc_type") == "docx").select("path", "content")
     media = with_picture_header(packed.mapInPandas(explode, MEDIA_SCHEMA))

@@ -131,6 +131,32 @@ def test_read_documents(spark, directory):
     assert found["bad.docx"]["error"].startswith("BadZipFile") and found["bad.docx"]["text"] is None
 
 
+def test_hidden_names_are_read(spark, tmp_path):
+    for path in ("a.txt", "_notes.txt", ".env.json", "_drafts/b.txt", ".conf/c.yaml", ".conf/deep/_more/d.txt", "_drafts/_e.txt", ".skip.exe"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(path, encoding="utf-8")
+    for directory in (str(tmp_path), f"file://{tmp_path}"):
+        found = {r["path"].partition(f"{tmp_path}/")[2]: r for r in files.read_documents(spark, directory).collect()}
+        assert set(found) == {"a.txt", "_notes.txt", ".env.json", "_drafts/b.txt", ".conf/c.yaml", ".conf/deep/_more/d.txt", "_drafts/_e.txt"}
+        assert all(r["text"] == p and r["path"].startswith("file:/") for p, r in found.items())
+
+
+def test_large_files_and_old_documents_fail_alone(spark, tmp_path):
+    (tmp_path / "small.txt").write_text("small")
+    (tmp_path / "large.txt").write_text("x" * 500)
+    (tmp_path / "large.docx").write_bytes(docx(paragraph(text("y" * 900))))
+    (tmp_path / "old.doc").write_bytes(bytes.fromhex("D0CF11E0A1B11AE1") + b"Word.Document.8")
+    spark.conf.set(files.LENGTH_LIMIT, "100")
+    try:
+        found = {name(r["path"]): (r["status"], r["text"], r["error"]) for r in files.read_documents(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(files.LENGTH_LIMIT)
+    size = (tmp_path / "large.docx").stat().st_size
+    assert found == {
+        "small.txt": ("read", "small", None), "large.txt": ("failed", None, "too large to read: 500 bytes"),
+        "large.docx": ("failed", None, f"too large to read: {size} bytes"), "old.doc": ("failed", None, "no decoder for doc")}
+
+
 def test_media_dedupe_and_filter(spark, directory):
     media = files.explode_docx_media(files.discover(spark, directory, only=["docx"]))
     assert media.count() == 4
