@@ -533,9 +533,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of equal rows one stays.  Documents without words all stay, and those
     without an id once per text: nothing could name the one that stays.
     """
-    keep = classes(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    keep = classes(docs).where(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias("_kept"))
+    keep = settled(keep.agg(F.count("*").alias("_rows")), "ngram-kept")
     blank = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
     full = docs.where(~blank & F.col("doc_id").isNotNull())
-    full = full.join(keep, full["doc_id"].cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    same = full["doc_id"].cast("long") == F.col("_kept")
+    single = full.join(keep.where("_rows = 1"), same, "left_semi")
+    # Only ids that occur again, which is rare, have their texts compared.
+    again = full.join(keep.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     nameless = docs.where(~blank & F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return full.unionByName(nameless).unionByName(docs.where(blank)).select(*docs.columns)
+    return single.unionByName(again).unionByName(nameless).unionByName(docs.where(blank)).select(*docs.columns)

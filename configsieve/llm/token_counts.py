@@ -32,6 +32,8 @@ LIMIT = 4096
 BLANK = "▁"
 #: Words, and parts of words, whose counts a worker keeps, twice over at most; about 170 bytes each.
 CACHE_PARTS = 400_000
+#: The same for what is cheaper to make again.
+CACHE_KEYS = 150_000
 #: A word with the blanks before it, which most texts repeat often.
 WORDS = re.compile(" *[^ ]+| +")
 #: Of a word: blanks, then other characters, then letters; each may be missing, not all.
@@ -100,7 +102,7 @@ def merged_count(part: str, ranks: dict[str, int]) -> int:
 class Cache(dict):
     """Values of strings, made when first asked for; the last two generations are kept."""
 
-    def __init__(self, make: Callable[[str], int], most: int = CACHE_PARTS):
+    def __init__(self, make: Callable[[str], int], most: int = CACHE_KEYS):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> int:
@@ -119,8 +121,8 @@ class Cache(dict):
 def word_counts(model: str = MODEL) -> Cache:
     """Token counts of words, from those of their parts."""
     ranks = vocabulary(model)
-    parts = Cache(lambda part: merged_count(part, ranks))
-    return Cache(lambda word: sum(map(parts.__getitem__, PARTS.findall(word))))
+    parts = Cache(lambda part: merged_count(part, ranks), CACHE_PARTS)
+    return Cache(lambda word: sum(map(parts.__getitem__, PARTS.findall(word))), CACHE_PARTS)
 
 
 def count_tokens(text: str | None, counts: Cache) -> int:

@@ -50,7 +50,7 @@ EPOCHS = 5
 RATE = 0.3
 DECAY = 1e-4
 #: Counts of terms that a task holds before it passes them on.
-HELD_TERMS = 400_000
+HELD_TERMS = 150_000
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\«»„“”¿¡…"
 
 
