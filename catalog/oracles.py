@@ -314,7 +314,8 @@ def request_sql(docs: str, size: int, overlap: int, relationships: str, columns:
 related AS (SELECT doc_id, '[' || string_agg('{{"config": ' || config || ', "metadata": ' || metadata
     || ', "similarity_score": 1.0}}', ', ' ORDER BY rank) || ']' AS related FROM {RELATED.replace("{docs}", "docs")} GROUP BY doc_id),
 relation AS ({relation.replace(docs, "docs")}), chunks AS {chunks.replace(docs, "docs")}
-SELECT {columns} FROM (SELECT c.doc_id, c.id AS chunk_id, content, {message} AS message
+SELECT {columns} FROM (SELECT c.doc_id, c.id AS chunk_id, content, {message} AS message,
+    ({slots["structure_summary"]}) AS structure_summary, related AS related_configs, relationships
   FROM chunks c JOIN summary s ON s.doc_id = c.doc_id JOIN related r ON r.doc_id = c.doc_id
   JOIN relation l ON l.doc_id = c.doc_id)"""
 
@@ -401,6 +402,10 @@ def oracle_sql() -> dict[str, str]:
             NOTES, REQUEST_SIZE, REQUEST_OVERLAP, "index",
             f"""doc_id, chunk_id, CAST(length(content) AS INTEGER) AS text_length,
             md5({quoted(c.SYSTEM_MESSAGE)}) AS system_md5, md5(message) AS user_md5"""),
+        "request_documents": request_sql(
+            NOTES, REQUEST_SIZE, REQUEST_OVERLAP, "index",
+            """DISTINCT doc_id, md5(structure_summary) AS structure_summary, md5(related_configs) AS related_configs,
+            md5(relationships) AS relationships"""),
         "request_rows_pairs": request_sql(
             CORPUS, SECTION_SIZE, SECTION_OVERLAP, "pairs", "doc_id, chunk_id, md5(message) AS user_md5"),
         "attach_responses": f"""SELECT k.doc_id, k.id AS chunk_id, response, coalesce(json_valid(response), false) AS parsed,

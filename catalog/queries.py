@@ -266,6 +266,12 @@ def request_rows(spark, sf_dir):
                        F.md5("system_message").alias("system_md5"), F.md5("user_message").alias("user_md5"))
 
 
+def request_documents(spark, sf_dir):
+    rows = requests.request_documents(derived(spark, sf_dir, "notes"), _history(spark, sf_dir), method="fixed",
+                                      size=REQUEST_SIZE, overlap=REQUEST_OVERLAP)
+    return rows.select("doc_id", *(F.md5(c).alias(c) for c in ("structure_summary", "related_configs", "relationships")))
+
+
 def request_rows_pairs(spark, sf_dir):
     rows = requests.request_rows(derived(spark, sf_dir, "corpus"), _history(spark, sf_dir), CONFIG_SCHEMA,
                                  method="fixed", size=SECTION_SIZE, overlap=SECTION_OVERLAP, relationships="pairs")
@@ -439,7 +445,7 @@ QUERIES = {f.__name__: f for f in (
     section_terms, section_relationships,
     doc_hashes, history_upsert, related_contexts, dangling_edges,
     merge_rule_a, merge_rule_b, merge_sources_b, merge_nested_a, merge_nested_b, merge_configs,
-    request_rows, request_rows_pairs, attach_responses, resolved_configs, processing_summary,
+    request_rows, request_documents, request_rows_pairs, attach_responses, resolved_configs, processing_summary,
     validate_config, validate_config_odd_schema, empty_config_gate, typed_rows, server_rows, document_types,
     asset_dedupe, asset_fields, asset_filter, sniff_format, docx_text, docx_media,
 )}

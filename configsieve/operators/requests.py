@@ -36,26 +36,50 @@ def request_rows(docs: DataFrame, history: DataFrame, schema: dict | None = None
     says the same as the list of all related pairs in linear space;
     ``'pairs'`` spells the pairs out (quadratic in the sections of a document).
     """
+    prepared = _documents(docs, history, method, size, overlap, relationships, k)
+    # The outer form, because for the inner one Spark infers a filter on the size of
+    # the array and cuts every text again to evaluate it.
+    rows = prepared.select("*", F.posexplode_outer("chunks").alias("chunk_id", "text")).drop("chunks")
+    return rows.where(F.col("chunk_id").isNotNull()).select(
+        "doc_id", "chunk_id", "text",
+        F.lit(system).alias("system_message"),
+        fill_template(template, json.dumps(schema or {}, indent=2)).alias("user_message"),
+    )
+
+
+def request_documents(docs: DataFrame, history: DataFrame, *, method: str = "recursive", size: int = CHUNK_SIZE,
+                      overlap: int = CHUNK_OVERLAP, k: int = RELATED_LIMIT) -> DataFrame:
+    """What all requests of a document share, once per document: ``doc_id, structure_summary, related_configs, relationships``.
+
+    Together with the chunks this is linear in the text, where whole messages
+    repeat the shared part for every chunk.  :func:`render_requests` joins the
+    two where requests are sent.
+    """
+    return _documents(docs, history, method, size, overlap, "index", k).drop("chunks")
+
+
+def render_requests(documents: DataFrame, chunk_rows: DataFrame, schema: dict | None = None, *,
+                    system: str = SYSTEM_MESSAGE, template: str = USER_MESSAGE) -> DataFrame:
+    """Request rows from :func:`request_documents` and chunks ``doc_id, chunk_id, text``."""
+    return chunk_rows.join(documents, "doc_id").select(
+        "doc_id", "chunk_id", "text", F.lit(system).alias("system_message"),
+        fill_template(template, json.dumps(schema or {}, indent=2)).alias("user_message"))
+
+
+def _documents(docs: DataFrame, history: DataFrame, method: str, size: int, overlap: int, relationships: str, k: int) -> DataFrame:
+    """One row per document: its chunks and the slots its requests share."""
     if relationships not in ("index", "pairs"):
         raise ValueError(f"unknown relationships form: {relationships}")
     cut = docs.select("doc_id", "text", chunks(F.col("text"), method, size, overlap).alias("chunks"))
     summarised = first_pass_summary(cut, keep=("doc_id", "text", "chunks"))
     related = related_contexts(summarised, history, k)
     relation_slot = relation_index if relationships == "index" else relation_pairs
-    prepared = related.select(
+    return related.select(
         "doc_id", "chunks",
         summary_text().alias("structure_summary"),
         related_text(F.col("related")).alias("related_configs"),
         relation_slot(F.col("chunks")).alias("relationships"),
     )
-    # The outer form, because for the inner one Spark infers a filter on the size of
-    # the array and cuts every text again to evaluate it.
-    rows = prepared.select("*", F.posexplode_outer("chunks").alias("chunk_id", "text")).drop("chunks")
-    return rows.where(F.col("chunk_id").isNotNull()).select(
-        "doc_id", "chunk_id", "text",
-        F.lit(system).alias("system_message"),
-        fill_template(template, json.dumps(schema or {}, indent=2)).alias("user_message"),
-    )
 
 
 def fill_template(template: str, schema_text: str) -> Column:
