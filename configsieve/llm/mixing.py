@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from configsieve.llm.storage import settled
@@ -193,7 +193,7 @@ def located(docs: DataFrame, sources: list[Source], counts: dict[int, int]) -> D
     before = Window.partitionBy("source_number").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("source_number", "_bucket").agg(F.sum("_size").alias("_n"))
     bases = sums.select("source_number", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("source_number", "_bucket").orderBy("_key", "_id", "_size")
+    within = Window.partitionBy("source_number", "_bucket").orderBy("_key", "_id", "_size", "_row")
     within = within.rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     # Dealt by both columns: a join could else reuse the window's dealing by source alone.
@@ -239,9 +239,14 @@ def slot_table(spark, sources: list[Source], block: int, shards: int, seed: int
     return parts.repartition(F.col("shard"), F.col("source_number"), F.col("lo")).mapInArrow(slots, schema)
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple = WEIGHTS, share: float = SHARE,
-        most: float = MOST_REPEATS, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> Mixture:
-    """The mixture of all documents; `keep` names input columns to carry along.
+def row_key(docs: DataFrame) -> Column:
+    """One number for a row; rows are equal where it is (and their ids are)."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS,
+        block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> Mixture:
+    """The mixture of all documents.
 
     The number of sources is taken to be small (a weight is set for each); one
     row per source comes to the driver.
@@ -251,7 +256,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple = WEIGHTS, s
         F.col("source").cast("string").alias("_source"),
         F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("_size"),
         F.xxhash64("doc_id", F.lit(seed)).alias("_key"),
-        *(F.col(c).alias(f"_kept_{c}") for c in keep),
+        row_key(docs).alias("_row"),
     ), "mix-rows")
     found = narrow.groupBy("_source").agg(F.sum("_size"), F.count("*")).collect()
     # Code points order as UTF-8 bytes do, and as Python strings do.
@@ -297,10 +302,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     text that is taken: whole, or the parts in their order joined by a blank.
     """
     columns = docs.columns
-    mixture = mix(docs, keep=tuple(columns), **options)
+    mixture = mix(docs, **options)
     parts = taken_parts(mixture).where("hi > lo").groupBy("source_number", "_start", "draw")
     spans = parts.agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_spans"))
-    rows = mixture.documents.where("_size > 0").join(spans, ["source_number", "_start"])
+    places = mixture.documents.where("_size > 0").select("source_number", "_start", "_size", "_row")
+    repeated = places.groupBy("_row").agg(F.count("*").alias("_rows"))
+    taken = places.join(spans, ["source_number", "_start"]).join(repeated, "_row").select("_row", "_size", "_spans", "_rows")
+    taken = settled(taken, "mix-taken")
+    # Texts move once, to meet what is taken of them.  Of equal rows, which are rare, one stands for all.
+    texts = docs.select(*(F.col(f"`{c}`").alias(f"_kept_{c}") for c in columns), row_key(docs).alias("_text_row"))
+    same = F.col("_text_row") == F.col("_row")
+    single = texts.join(taken.where("_rows = 1"), same)
+    copies = texts.join(taken.where("_rows > 1").select("_row").distinct(), same, "left_semi").dropDuplicates(["_text_row"])
+    again = copies.join(taken.where("_rows > 1"), same)
+    rows = single.unionByName(again)
     place = columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
