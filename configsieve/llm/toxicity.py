@@ -6,9 +6,13 @@ beginning that any text may hold once can say much when it comes again.  Terms
 that separate the labels on the fitting
 sample are kept; on these a factorization machine learns a weight per term and
 an inner product per pair of terms, so that two terms can say together what
-neither says alone.  Fitting is data-parallel: shards of the sample run
-gradient steps from the same parameters, which are then averaged, round by
-round.
+neither says alone.  Texts of the sample that this machine gets wrong are then
+compared with texts of the other label by the pairs of words they hold; words of
+the pairs that separate them are kept as well, however little they say alone, and
+the machine is fitted once more.  (With parameters for all terms of the sample
+the pairs learn single texts by heart.)  Fitting is data-parallel: shards of the
+sample run gradient steps from the same parameters, which are then averaged,
+round by round.
 
 Edge cases: null and empty texts have no terms and get the score of the bias
 alone; a corpus without labels, or with one kind of label, gives the share of
@@ -40,6 +44,12 @@ THRESHOLD = 0.5
 MOST_TERMS = 1 << 16
 LEAST_DOCS = 3
 LEAST_Z = 4.0
+#: The same for a pair of words; there are many more pairs to be clear by chance.
+LEAST_PAIR_Z = 6.0
+#: Texts of the other label for each one that is wrong, about.
+COMPARED = 2
+#: Pairs that a task holds before it passes their counts on.
+HELD_PAIRS = 1 << 20
 #: Letters of a word's beginnings, and how often a term is told apart by.
 BEGINNINGS = (4, 5, 7)
 LEVELS = 3
@@ -121,6 +131,59 @@ def separating_terms(training: DataFrame, toxic: int, other: int) -> list[int]:
     return [r[0] for r in found.orderBy(F.desc("z"), "term").limit(MOST_TERMS).select("term").collect()]
 
 
+def word_pairs(text: str | None) -> Iterator[np.ndarray]:
+    """The pairs of different words of a text, each once, as two hashes in 64 bits; in pieces."""
+    words = {w for w in (word.strip(EDGES) for word in words_of(text)) if w}
+    hashes = np.unique(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64))
+    for k in range(len(hashes) - 1):
+        yield (hashes[k] << np.uint64(32) | hashes[k + 1 :]).view(np.int64)
+
+
+def separating_pairs(found: DataFrame, wrong: dict[int, int], right: dict[int, int]) -> list[int]:
+    """The words, as terms, of pairs that separate wrong texts from others of the other label.
+
+    `found` has label, wrong and text; `wrong` and `right` count its rows by label.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bool], list[np.ndarray]] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (label, bad), parts in held.items():
+                pair, n = np.unique(np.concatenate(parts), return_counts=True)
+                # Wrong texts of a label and the texts of the other label that they are compared with.
+                side = pa.array(np.full(len(pair), label if bad else 1 - label, np.int32))
+                columns = [side, pa.array(pair), pa.array(n * bad), pa.array(n * (not bad))]
+                yield pa.RecordBatch.from_arrays(columns, names=["side", "pair", "bad", "good"])
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            for label, bad, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+                for piece in word_pairs(text.as_py()):
+                    held.setdefault((label.as_py(), bad.as_py()), []).append(piece)
+                    size += len(piece)
+                    if size > HELD_PAIRS:
+                        yield from rows()
+                        size = 0
+        yield from rows()
+
+    counted = found.select("label", "wrong", "text").mapInArrow(count, "side int, pair long, bad long, good long")
+    counted = counted.groupBy("side", "pair").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words: dict[int, None] = {}
+    for side in (1, 0):
+        bad, good = wrong.get(side, 0), right.get(1 - side, 0)
+        if not bad or not good:
+            continue
+        share = (F.col("bad") + F.col("good")) / F.lit(bad + good)
+        z = (F.col("bad") / bad - F.col("good") / good) / F.sqrt(share * (1 - share) * F.lit(1 / bad + 1 / good))
+        own = counted.where((F.col("side") == side) & (F.col("bad") >= LEAST_DOCS)).where(share < 1)
+        own = own.withColumn("z", z).where(F.col("z") >= LEAST_PAIR_Z)
+        for (pair,) in own.orderBy(F.desc("z"), "pair").limit(MOST_TERMS).select("pair").collect():
+            words.update(dict.fromkeys(((pair >> 32 & 0xFFFFFFFF) * LEVELS, (pair & 0xFFFFFFFF) * LEVELS)))
+    return list(words)
+
+
 class Machine:
     """Bias, weights and factors by term number."""
 
@@ -208,7 +271,38 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
     bias = math.log(share / (1 - share))
     if not toxic or not other:
         return Machine.fresh([], bias)
-    machine = Machine.fresh(separating_terms(training, toxic, other), bias)
+    terms = separating_terms(training, toxic, other)
+    machine = averaged(training, terms, bias)
+    together = [t for t in wrong_words(training, machine) if t not in set(terms)]
+    return averaged(training, (terms + together)[:MOST_TERMS], bias) if together else machine
+
+
+def wrong_words(training: DataFrame, machine: Machine) -> list[int]:
+    """`separating_pairs` of the texts that the machine gets wrong and a sample of the others."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            high = [machine.score(machine.active(t.as_py())) >= THRESHOLD for t in batch.column(2)]
+            wrong = pa.array([h != bool(y) for h, y in zip(high, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wrong, batch.column(2)], names=["doc_id", "label", "wrong", "text"])
+
+    found = training.select("doc_id", "label", "text").mapInArrow(find, "doc_id long, label int, wrong boolean, text string")
+    found = settled(found, "toxic-wrong")
+    sizes = {(r[0], r[1]): r[2] for r in found.groupBy("label", "wrong").count().collect()}
+    wrong = {y: sizes.get((y, True), 0) for y in (0, 1)}
+    scale, draw = 1 << 20, F.pmod(F.xxhash64("doc_id", F.lit("compared")), F.lit(1 << 20))
+    share = {y: min(1.0, COMPARED * wrong[1 - y] / max(sizes.get((y, False), 0), 1)) for y in (0, 1)}
+    picked = F.lit(False)
+    for y in (0, 1):
+        picked = picked | ((F.col("label") == y) & (draw < int(share[y] * scale)))
+    compared = settled(found.where(F.col("wrong") | picked), "toxic-compared")
+    right = {r[0]: r[1] for r in compared.where("NOT wrong").groupBy("label").count().collect()}
+    return separating_pairs(compared, wrong, right)
+
+
+def averaged(training: DataFrame, terms: list[int], bias: float) -> Machine:
+    """The machine over these terms, by rounds of steps on shards."""
+    machine = Machine.fresh(terms, bias)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -67,6 +67,21 @@ def test_pairs_say_what_terms_alone_do_not(spark):
     assert toxicity.scored(docs, machine).count() == len(rows)
 
 
+def test_fitting_finds_terms_that_matter_only_in_pairs(spark):
+    """No term of such texts has a share that differs by label; the fit has to find them by their pairs."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(6000):
+        insult, group = k % 2, k // 2 % 2
+        filler = " ".join(f"filler{x}" for x in rng.integers(0, 200, 20))
+        text = ("insultword " if insult else "mildword ") + filler + (" groupword" if group else " thingword")
+        rows.append((k, text, int(insult == group)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    want = {k: y for k, _, y in rows}
+    found = [r for r in toxicity.scored(docs, toxicity.fitted(docs, labels)).collect() if r.held_out]
+    assert sum(r.predicted == want[r.doc_id] for r in found) >= 0.95 * len(found)
+
+
 def test_isotonic():
     bins, shares = quality.isotonic(np.array([2, 0, 2, 4, 1]), np.array([1, 0, 0, 3, 1]))
     assert bins.tolist() == [1.0, 3.0, 4.0]
