@@ -3,7 +3,9 @@
 A legal conversation is an optional system turn, then user and assistant turns
 in alternation from a user turn on, at least one.  Every turn gets a legal role;
 turns may be merged into the turn before (of the same role), relabelled, or
-preceded by an empty turn.  Dynamic programming over the automaton of legal turns
+preceded by an empty turn.  A null or unknown role has to be replaced whatever it
+becomes, so relabelling weighs only against known roles; an empty turn before an
+assistant's is cheaper than giving a turn a role that is false.  Dynamic programming over the automaton of legal turns
 finds the cheapest repair, and the repaired conversation is rendered.
 
 A conversation may be as long as the corpus, so it is cut into chunks of turns.
@@ -34,7 +36,9 @@ from configsieve.llm.storage import settled
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
-MERGE, RELABEL, INSERT = 1, 2, 3
+MERGE, RELABEL, INSERT = 1, 4, 2
+#: A system turn alone is taken for the user's: with an empty turn after it, nothing would be asked.
+END = RELABEL + 1
 CHUNK = 512
 FAR = 1 << 40
 
@@ -52,7 +56,7 @@ WAYS: dict[tuple[int, int], tuple[int, tuple[int, ...], bool]] = {
     (ASSISTANT, ASSISTANT): (MERGE, (), True),
 }
 #: What it costs to stop in a state: after a system turn alone an empty user turn follows.
-STOP = {START: 0, SYSTEM: INSERT, USER: 0, ASSISTANT: 0}
+STOP = {START: 0, SYSTEM: END, USER: 0, ASSISTANT: 0}
 
 
 def step(role: int) -> np.ndarray:

@@ -89,3 +89,26 @@ def test_odd_conversations(spark, monkeypatch, chunk):
         assert sorted(" ".join(t for _, t in turns).split()) == sorted(words[conv])
     assert back[90] == [("user", "only")]  # a new role is cheaper than an empty turn
     assert chat.formatted(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("given", "want", "inserted"),
+    [
+        (["assistant", "user"], ["user", "assistant", "user"], 1),
+        (["system", "assistant"], ["system", "user", "assistant"], 1),
+        (["assistant", "assistant", "user"], ["user", "assistant", "user"], 1),
+        (["assistant"], ["user", "assistant"], 1),
+        ([None, "assistant"], ["user", "assistant"], 0),
+        (["bot"], ["user"], 0),
+    ],
+)
+def test_an_empty_turn_is_cheaper_than_a_false_role(spark, given, want, inserted):
+    frame = spark.createDataFrame([(1, k, r, f"t{k}") for k, r in enumerate(given)], "conv_id long, turn long, role string, text string")
+    out = sorted(chat.formatted(frame).collect(), key=lambda r: r.turn)
+    assert [r for r, _ in read_back(out)[1]] == want
+    assert sum(r.inserted for r in out) == inserted
+    assert all(r.role == g for r, g in zip(out, given) if g in chat.ROLES)
+    # No other legal repair costs as little.
+    known = [chat.ROLES.index(g) + 1 if g in chat.ROLES else 0 for g in given]
+    costs = [c for roles in itertools.product((1, 2, 3), repeat=len(known)) if (c := cost_of(known, roles)) is not None]
+    assert inserted == 0 or costs.count(min(costs)) == 1
