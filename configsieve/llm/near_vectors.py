@@ -89,18 +89,41 @@ def built(nodes: DataFrame) -> DataFrame:
 
 
 def audited_beam(graph: SmallWorld) -> int:
-    """The beam, doubled until it finds RECALL of the links that sampled vectors have in the shard."""
+    """The beam, doubled until it finds RECALL of the links of each of two kinds of vectors, on average.
+
+    One kind are sampled vectors of the shard that have links to others in it.
+    There may be few, as partners are mostly in other shards; the other kind are
+    therefore drawn partners of sampled vectors, as another shard could hold them.
+    """
     n, beam = len(graph.unit), BEAM
-    sample = np.random.default_rng(3).choice(n, min(n, AUDITED), replace=False)
-    true = sum(int((graph.unit[k] @ graph.unit.T >= LEAST_COSINE).sum()) for k in sample)
-    while beam < n:
-        found = len(graph.within(graph.unit[sample], LEAST_COSINE, beam)[0])
-        if found >= RECALL * true:
-            break
+    rng = np.random.default_rng(3)
+    sample = rng.choice(n, min(n, AUDITED), replace=False)
+    unit = graph.unit[sample]
+    aside = rng.normal(size=unit.shape).astype(np.float32)
+    aside -= (aside * unit).sum(1, keepdims=True) * unit
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-6)
+    cosine = rng.uniform(LEAST_COSINE, 1, (len(sample), 1)).astype(np.float32)
+    partners = cosine * unit + np.sqrt(1 - cosine**2) * aside
+    partners /= np.linalg.norm(partners, axis=1, keepdims=True)
+    kinds = []
+    for queries, own in ((unit, sample), (partners, None)):
+        true = np.stack([q @ graph.unit.T >= LEAST_COSINE for q in queries])
+        if own is not None:
+            true[np.arange(len(own)), own] = False
+        linked = true.any(1)
+        if linked.any():
+            kinds.append((queries[linked], true[linked]))
+    while beam < n and any(mean_recall(graph, *kind, beam) < RECALL for kind in kinds):
         beam *= 2
     return min(beam, n)
 
 
+def mean_recall(graph: SmallWorld, queries: np.ndarray, true: np.ndarray, beam: int) -> float:
+    """The share of its true links (a row of `true`) that a vector finds, on average."""
+    row, at = graph.within(queries, LEAST_COSINE - SLACK, beam)
+    return float((np.bincount(row, weights=true[row, at], minlength=len(queries)) / true.sum(1)).mean())
+
+
 def searched(nodes: DataFrame, indexes: DataFrame, parts: int, shards: int) -> DataFrame:
     """node, links (vectors of other nodes) and root: a row per shard and vector with links there.
 

@@ -69,3 +69,38 @@ def test_graph_finds_neighbours_and_full_beams_widen():
     true = int((unit @ unit.T >= 0.9).sum())
     assert len(row) >= 0.999 * true
     assert near_vectors.audited_beam(graph) <= len(unit)
+
+
+class Blind(SmallWorld):
+    """Finds all links with a beam of 64, and with less only (nearly) equal vectors."""
+
+    def within(self, q, least, beam):
+        return np.nonzero(q @ self.unit.T >= (least if beam >= 64 else 0.9999))
+
+
+@pytest.mark.parametrize("pairs", [0, 25, 500])
+def test_audit_does_not_count_a_vector_as_its_own_link(pairs):
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(1000, 32))
+    unit[1000 - pairs :] = unit[:pairs] + 0.2 * rng.normal(size=(pairs, 32))
+    unit = (unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.float32)
+    assert near_vectors.audited_beam(Blind(unit)) >= 64
+
+
+def test_audit_is_not_decided_by_one_group():
+    """All links of the group are found, none of the pairs beside it."""
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(1000, 32))
+    unit[:300] = unit[0] + 0.05 * rng.normal(size=(300, 32))
+    unit[900:] = unit[800:900] + 0.2 * rng.normal(size=(100, 32))
+    unit = (unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.float32)
+
+    class Partly(SmallWorld):
+        def within(self, q, least, beam):
+            sims = q @ self.unit.T
+            hit = sims >= least
+            lone = hit.sum(1) < 100
+            hit[lone] &= (beam >= 64) | (sims[lone] >= 0.9999)
+            return np.nonzero(hit)
+
+    assert near_vectors.audited_beam(Partly(unit)) >= 64
