@@ -7,8 +7,9 @@ until the target share of their links is found.  A beam that ends full of
 links is widened for its vector alone, so a vector may have any number of links.
 What is found counts if its cosine in double precision is high enough.
 
-Links are counted where they are found (a vector meets a shard in one task) and
-leave a task as one row per vector, not as pairs.
+Searches connect vectors, and a pair may be found from one side only.  Links are
+therefore counted afterwards, exactly, among all vectors of a component, in pairs
+of blocks; they leave a task as one row per vector, not as pairs.
 
 Edge cases: null vectors, zero vectors and vectors with null or non-finite
 components link with nothing; equal vectors are searched for once and count as
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from configsieve.llm.components import components, joined_roots
-from configsieve.llm.ngram_join import bounds, groups
+from configsieve.llm.ngram_join import block_pairs, bounds, groups
 from configsieve.llm.small_world import SmallWorld
 from configsieve.llm.storage import settled
 
@@ -41,6 +42,9 @@ SEARCH_ROWS = 32_768
 BEAM = 16
 AUDITED = 256
 RECALL = 0.99
+#: Vectors of a block at least, and how its size grows with the root of the component's.
+BLOCK = 256
+BLOCK_GROWTH = 8
 #: What single precision may be off by.
 SLACK = 1e-4
 
@@ -125,7 +129,7 @@ def mean_recall(graph: SmallWorld, queries: np.ndarray, true: np.ndarray, beam:
 
 
 def searched(nodes: DataFrame, indexes: DataFrame, parts: int, shards: int) -> DataFrame:
-    """node, links (vectors of other nodes) and root: a row per shard and vector with links there.
+    """node and root (a node it is connected to, maybe itself): a row per shard and vector with links there.
 
     Each shard is searched by `parts` tasks, and each task gets the shard's
     index before the vectors to search for.
@@ -155,7 +159,7 @@ def searched(nodes: DataFrame, indexes: DataFrame, parts: int, shards: int) -> D
                     unit = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(len(raw), -1)
                     yield found_links(graph, index, batch.column(4).slice(lo, hi - lo).to_numpy(), unit)
 
-    return dealt.mapInArrow(search, "node long, links long, root long")
+    return dealt.mapInArrow(search, "node long, root long")
 
 
 def found_links(graph: SmallWorld, index: dict, node: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
@@ -166,15 +170,49 @@ def found_links(graph: SmallWorld, index: dict, node: np.ndarray, unit: np.ndarr
         good[k] = (unit[row[k]] * index["unit"][at[k]]).sum(1) >= LEAST_COSINE
     good &= node[row] != index["node"][at]
     row, at = row[good], at[good]
-    links = np.bincount(row, weights=index["copies"][at], minlength=len(node)).astype(np.int64)
     # Numbers for the vectors searched for and the shard's own that they link to.
     names, number = np.unique(np.concatenate([node[row], index["node"][at]]), return_inverse=True)
     roots = names[joined_roots(len(names), number[: len(row)], number[len(row) :])] if len(row) else names
-    total = dict(zip(node[links > 0].tolist(), links[links > 0].tolist(), strict=True))
-    counts = [total.get(x, 0) for x in names.tolist()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(roots, pa.int64())], names=["node", "links", "root"]
-    )
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(roots, pa.int64())], names=["node", "root"])
+
+
+def linked(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which vectors of `one` and `two` have a cosine of LEAST_COSINE or more in double precision."""
+    sims = one.astype(np.float32) @ two.astype(np.float32).T
+    out = sims >= LEAST_COSINE + SLACK
+    a, b = np.nonzero(~out & (sims >= LEAST_COSINE - SLACK))
+    for lo in range(0, len(a), 1 << 16):
+        k = slice(lo, lo + (1 << 16))
+        out[a[k], b[k]] = (one[a[k]] * two[b[k]]).sum(1) >= LEAST_COSINE
+    return out
+
+
+def exact_links(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """node and links (vectors of other nodes of its component): a row per pair of blocks that a node is in."""
+    sizes = joined.groupBy("component").agg(F.count("*").alias("m"))
+    rows = nodes.select("node", "copies", "unit").join(joined.join(sizes, "component"), "node")
+    block = F.greatest(F.lit(BLOCK), BLOCK_GROWTH * F.sqrt("m"))
+    keys = ["component", "one", "two"]
+    dealt = block_pairs(rows, F.ceil(F.col("m") / block)).select(*keys, "own", "node", "copies", "unit")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, len(keys)):
+            start = bounds(batch, len(keys))
+            one, two, own = (batch.column(k).to_numpy() for k in ("one", "two", "own"))
+            copies, raw = batch.column("copies").to_numpy(), batch.column("unit")
+            links = np.zeros(len(batch), np.int64)
+            for lo, hi in zip(start, start[1:]):
+                unit = np.frombuffer(b"".join(raw.slice(lo, hi - lo).to_pylist()), np.float64).reshape(hi - lo, -1)
+                for at in range(0, hi - lo, BLOCK):
+                    near = linked(unit[at : at + BLOCK], unit)
+                    near[np.arange(len(near)), at + np.arange(len(near))] = False
+                    if one[lo] != two[lo]:
+                        near &= own[lo + at : lo + at + len(near), None] != own[lo:hi]
+                    links[lo + at : lo + at + len(near)] = near @ copies[lo:hi]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(links)], names=["node", "links"])
+
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(count, "node long, links long")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -187,8 +225,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit("shard")), F.lit(shards)))
     indexes = settled(built(nodes), "vector-graphs")
     found = settled(searched(nodes, indexes, parts, shards), "vector-links")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = settled(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector-components")
+    links = exact_links(nodes, joined).groupBy("node").agg(F.sum("links").alias("links"))
     of = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(joined, "node", "left")
     of = of.withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -104,3 +104,34 @@ def test_audit_is_not_decided_by_one_group():
             return np.nonzero(hit)
 
     assert near_vectors.audited_beam(Partly(unit)) >= 64
+
+
+def test_links_found_from_one_side_count_for_both(spark, monkeypatch):
+    """Every pair is found from one of its vectors only."""
+    whole = SmallWorld.within
+
+    def one_sided(self, q, least, beam):
+        row, at = whole(self, q, least, beam)
+        good = q[row, 0] > self.unit[at, 0]
+        return row[good], at[good]
+
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(120, 16))
+    vectors[60:] = vectors[:60] + 0.1 * rng.normal(size=(60, 16))
+    vectors[100:] = vectors[0] + 0.1 * rng.normal(size=(20, 16))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)] + [(200, [float(x) for x in vectors[3]])]
+    nodes = near_vectors.vector_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("node IS NOT NULL")
+    nodes = nodes.groupBy("node", "unit").agg(near_vectors.F.count("*").alias("copies")).toPandas()
+    unit = np.stack([np.frombuffer(u) for u in nodes["unit"]])
+    monkeypatch.setattr(SmallWorld, "within", one_sided)
+    index = {"unit": unit, "node": nodes["node"].to_numpy(), "copies": nodes["copies"].to_numpy(), "beam": 16}
+    found = near_vectors.found_links(SmallWorld(unit), index, index["node"], unit)
+    found = spark.createDataFrame(found.to_pandas())
+    monkeypatch.undo()
+    joined = near_vectors.components(found.selectExpr("node AS a", "root AS b"))
+    frame = spark.createDataFrame([(int(n), int(c), u) for n, c, u in zip(nodes["node"], nodes["copies"], nodes["unit"])], "node long, copies long, unit binary")
+    links = near_vectors.exact_links(frame, joined).groupBy("node").agg(near_vectors.F.sum("links").alias("links"))
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = dict(zip(index["node"].tolist(), (near @ index["copies"]).tolist()))
+    assert {r.node: r.links for r in links.collect()} == {n: w for n, w in want.items() if w}
