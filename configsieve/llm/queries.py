@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from configsieve.llm import chat, mixing, near_vectors, ngram_join, packing, quality, rules, sharding, token_counts, toxicity
+from configsieve.llm import (
+    chat, mixing, near_vectors, ngram_join, packing, prefix_trie, quality, rules, sharding, spelling, token_counts, toxicity, url_filter,
+)
 from configsieve.llm.storage import table
 
 
@@ -55,6 +57,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
@@ -66,4 +80,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_url_filter": op11_url_filter,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
