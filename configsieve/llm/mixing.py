@@ -188,12 +188,13 @@ def located(docs: DataFrame, sources: list[Source], counts: dict[int, int]) -> D
         [(s.number, s.name, s.size, s.target, -(-counts[s.number] // ORDER_ROWS)) for s in sources],
         "source_number int, source_name string, source_size long, target double, n_buckets long",
     )
-    dealt = docs.join(known, docs["_source"].eqNullSafe(known["source_name"])).drop("source_name")
+    # One row per source, each of which has a weight: joined without dealing rows by source.
+    dealt = docs.join(F.broadcast(known), docs["_source"].eqNullSafe(known["source_name"])).drop("source_name")
     dealt = dealt.withColumn("_bucket", F.pmod("_key", "n_buckets"))
     before = Window.partitionBy("source_number").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("source_number", "_bucket").agg(F.sum("_size").alias("_n"))
     bases = sums.select("source_number", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("source_number", "_bucket").orderBy("_key", "_id", "_size", "_row")
+    within = Window.partitionBy("source_number", "_bucket").orderBy("_key", "_id", "_size", *ROW)
     within = within.rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     # Dealt by both columns: a join could else reuse the window's dealing by source alone.
@@ -239,9 +240,14 @@ def slot_table(spark, sources: list[Source], block: int, shards: int, seed: int
     return parts.repartition(F.col("shard"), F.col("source_number"), F.col("lo")).mapInArrow(slots, schema)
 
 
-def row_key(docs: DataFrame) -> Column:
-    """One number for a row; rows are equal where it is (and their ids are)."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+#: The two hashes that a row is known by.
+ROW = ("_row", "_row_again")
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of a row, 128 bits together; rows are equal where both are."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(*columns), F.xxhash64(F.lit("again"), *reversed(columns))]
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS,
@@ -256,7 +262,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         F.col("source").cast("string").alias("_source"),
         F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("_size"),
         F.xxhash64("doc_id", F.lit(seed)).alias("_key"),
-        row_key(docs).alias("_row"),
+        *(key.alias(name) for key, name in zip(row_keys(docs), ROW, strict=True)),
     ), "mix-rows")
     found = narrow.groupBy("_source").agg(F.sum("_size"), F.count("*")).collect()
     # Code points order as UTF-8 bytes do, and as Python strings do.
@@ -305,16 +311,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     mixture = mix(docs, **options)
     parts = taken_parts(mixture).where("hi > lo").groupBy("source_number", "_start", "draw")
     spans = parts.agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_spans"))
-    places = mixture.documents.where("_size > 0").select("source_number", "_start", "_size", "_row")
-    repeated = places.groupBy("_row").agg(F.count("*").alias("_rows"))
-    taken = places.join(spans, ["source_number", "_start"]).join(repeated, "_row").select("_row", "_size", "_spans", "_rows")
+    places = mixture.documents.where("_size > 0").select("source_number", "_start", "_size", *ROW)
+    repeated = places.groupBy(*ROW).agg(F.count("*").alias("_rows"))
+    taken = places.join(spans, ["source_number", "_start"]).join(repeated, list(ROW)).select(*ROW, "_size", "_spans", "_rows")
     taken = settled(taken, "mix-taken")
     # Texts move once, to meet what is taken of them.  Of equal rows, which are rare, one stands for all.
-    texts = docs.select(*(F.col(f"`{c}`").alias(f"_kept_{c}") for c in columns), row_key(docs).alias("_text_row"))
-    same = F.col("_text_row") == F.col("_row")
-    single = texts.join(taken.where("_rows = 1"), same)
-    copies = texts.join(taken.where("_rows > 1").select("_row").distinct(), same, "left_semi").dropDuplicates(["_text_row"])
-    again = copies.join(taken.where("_rows > 1"), same)
+    texts = docs.select(
+        *(F.col(f"`{c}`").alias(f"_kept_{c}") for c in columns), *(key.alias(name) for key, name in zip(row_keys(docs), ROW, strict=True))
+    )
+    single = texts.join(taken.where("_rows = 1"), list(ROW))
+    copies = texts.join(taken.where("_rows > 1").select(*ROW).distinct(), list(ROW), "left_semi").dropDuplicates(list(ROW))
+    again = copies.join(taken.where("_rows > 1"), list(ROW))
     rows = single.unionByName(again)
     place = columns.index("text")
 

@@ -184,9 +184,10 @@ def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     before plus the rank within the bucket.
     """
     spark = pieces.sparkSession
-    buckets = spark.createDataFrame(
+    # One row per length, at most as many as a sequence has tokens: joined without dealing pieces by length.
+    buckets = F.broadcast(spark.createDataFrame(
         [(length, -(-count // RANK_ROWS)) for length, count in histogram.items()], "length long, n_buckets long"
-    )
+    ))
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "spread"), "n_buckets")
     dealt = pieces.join(buckets, "length").withColumn("bucket", bucket)
     within = Window.partitionBy("length", "bucket")

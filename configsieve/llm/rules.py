@@ -150,14 +150,13 @@ def ordered(rules: dict[str, Rule], seen: dict[str, tuple[int, int, float]]) ->
 def kept_documents(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     """The rows of `docs` that no rule rejects, with all their columns."""
     order = ordered(rules, measured(docs, rules))
-    place = docs.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [rejected_by(Text(t.as_py()), order) is None for t in batch.column(place)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+    # Only texts go to Python, and a boolean comes back.
+    @F.arrow_udf("boolean")
+    def passes(texts: pa.Array) -> pa.Array:
+        return pa.array([rejected_by(Text(t.as_py()), order) is None for t in texts], pa.bool_())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(passes(F.col("text").cast("string")))
 
 
 COUNTS = (

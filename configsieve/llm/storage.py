@@ -48,5 +48,19 @@ def settled(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Rows and bytes that go to a Python worker at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have whole texts go to Python in small batches from now on, for jobs of many stages.
+
+    Buffers of a batch are pooled on both sides and never given back, so an
+    executor holds what the largest batches of all stages took.
+    """
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -340,12 +340,11 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that score below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    place = docs.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only texts go to Python, and a boolean comes back.
+    @F.arrow_udf("boolean")
+    def harmless(texts: pa.Array) -> pa.Array:
         own = shared.value
-        for batch in batches:
-            good = [own.score(own.active(t.as_py())) < threshold for t in batch.column(place)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        return pa.array([own.score(own.active(t.as_py())) < threshold for t in texts], pa.bool_())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(harmless(F.col("text").cast("string")))

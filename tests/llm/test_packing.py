@@ -1,6 +1,7 @@
 """Pieces against the tokenizers library, packing against its laws and a lower bound."""
 
 import random
+import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -98,3 +99,13 @@ def test_documents_are_packed_whole(spark):
 def test_odd_documents(odd_documents, no_documents):
     check_packed(packing.pack_documents(odd_documents).collect(), [(r.doc_id, r.text) for r in odd_documents.collect()])
     assert packing.pack_documents(no_documents).count() == 0
+
+
+def test_no_dealing_by_length_alone(spark):
+    """Most pieces of a large table have the full length; they must not meet in one task."""
+    pieces = spark.range(1000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "2048L + id % 1 AS length", "id AS ids_crc32", "0 AS spread")
+    plan = packing.ranked(pieces, {2048: 50_000_000})._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [length" in plan
+    assert all("bucket" in keys for keys in re.findall(r"SortMergeJoin \[(.*?)\]", plan))
+    # What is dealt by length alone is one row per bucket.
+    assert all("bucket" in keys for keys in re.findall(r"Window \[row_number.*?\], \[(.*?)\]", plan))
