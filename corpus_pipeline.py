@@ -10,32 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from configsieve.llm import mixing, ngram_join, packing, rules, toxicity
-from configsieve.llm.storage import settled, table
+from configsieve.llm.storage import settled, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that score as toxic; the machine learns from the labels of the documents it is given."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what a rule of the cascade rejects."""
+    small_batches(spark)
     return rules.kept_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near copies."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take of each source the words that its weight gives it; `n_chars` follows the text."""
+    small_batches(spark)
     mixed = mixing.mixed_documents(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in mixed.columns else mixed
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the tokens of all documents into sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
