@@ -125,6 +125,55 @@ FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - {overlap}, 1)
   FROM {docs} WHERE length(text) > 0))"""
 
 
+def recursive_chunks_sql(docs: str, size: int = c.CHUNK_SIZE, overlap: int = c.CHUNK_OVERLAP, separators=c.CHUNK_SEPARATORS) -> str:
+    """The recursive splitter, level by level.
+
+    `parts` cuts open pieces in front of the first separator they hold, until all
+    are short or cannot be cut; `runs` are short neighbours from one cut; `packed`
+    walks over a run from chunk to chunk, each beginning at the first piece from
+    which on the tail is within the overlap and leaves room for the next piece.
+    """
+    marks = "[" + ", ".join("chr(10) || chr(10)" if s == "\n\n" else "chr(10)" if s == "\n" else quoted(s) for s in separators) + "]"
+    last = len(separators)
+    strip = f"'^[{RE2_SPACE}]+|[{RE2_SPACE}]+$'"
+    return f"""(WITH RECURSIVE levels AS (SELECT {marks} AS marks),
+parts AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS start, text AS piece, 1 AS level, 'open' AS kind, CAST(-1 AS BIGINT) AS parent FROM {docs} WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, start + before, piece, cut + 1, CASE WHEN length(piece) < {size} THEN 'short' WHEN cut < {last} THEN 'open' ELSE 'whole' END, start
+  FROM (SELECT doc_id, start, cut, piece, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, start, cut ORDER BY i
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+    FROM (SELECT doc_id, start, cut, i, CASE WHEN i = 1 THEN pieces[i] ELSE mark || pieces[i] END AS piece
+      FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i
+        FROM (SELECT *, marks[cut] AS mark, string_split(piece, marks[cut]) AS pieces
+          FROM (SELECT *, coalesce(list_min(list_filter(range(level, {last} + 1), lambda k: contains(piece, marks[k]))), {last}) AS cut
+            FROM parts, levels WHERE kind = 'open'))))
+    WHERE piece <> '')
+),
+runs AS (
+  SELECT doc_id, parent, level, run, list(start ORDER BY start) AS starts, list(start + length(piece) ORDER BY start) AS ends
+  FROM (SELECT *, count(*) FILTER (WHERE kind <> 'short') OVER (PARTITION BY doc_id, parent, level ORDER BY start) AS run FROM parts WHERE parent >= 0)
+  WHERE kind = 'short' GROUP BY ALL
+),
+packed AS (
+  SELECT doc_id, starts, ends, 1 AS first, list_min(list_filter(range(2, len(starts) + 1), lambda k: ends[k] - starts[1] > {size})) AS next FROM runs
+  UNION ALL
+  SELECT doc_id, starts, ends, first, list_min(list_filter(range(next + 1, len(starts) + 1), lambda k: ends[k] - starts[first] > {size}))
+  FROM (SELECT doc_id, starts, ends, next, list_min(list_filter(range(first + 1, next + 1), lambda k:
+          k = next OR (starts[next] - starts[k] <= {overlap} AND ends[next] - starts[k] <= {size}))) AS first
+    FROM packed WHERE next IS NOT NULL)
+),
+cuts AS (
+  SELECT doc_id, true AS stripped, starts[first] AS start, CASE WHEN next IS NULL THEN ends[len(ends)] ELSE starts[next] END AS stop FROM packed
+  UNION ALL SELECT doc_id, false, start, start + length(piece) FROM parts WHERE kind = 'whole'
+),
+chunks AS (
+  SELECT doc_id, start, CASE WHEN stripped THEN regexp_replace(cut, {strip}, '', 'g') ELSE cut END AS content
+  FROM (SELECT doc_id, stripped, start, substr(text, start + 1, stop - start) AS cut FROM cuts JOIN {docs} USING (doc_id))
+)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS id, content FROM chunks WHERE content <> '')"""
+
+
 def section_type_sql(column: str) -> str:
     cases = " ".join(
         "WHEN " + " OR ".join(f"contains(lower({column}), {quoted(w)})" for w in words) + f" THEN {quoted(name)}"
@@ -378,6 +427,9 @@ def oracle_sql() -> dict[str, str]:
         "candidates": f"""SELECT doc_id, pattern_ord, match_ord, type, key, value, context,
             pattern_ord >= {JSON_ORD} AS structured FROM {all_candidates(CORPUS)}""",
         "chunks_fixed": f"SELECT * FROM {chunks_sql(documents, c.CHUNK_SIZE, c.CHUNK_OVERLAP)}",
+        "chunks_recursive": f"SELECT * FROM {recursive_chunks_sql(documents)}",
+        "sections_recursive": f"""SELECT doc_id, id, {section_type_sql('content')} AS type, {heading_sql('content')} AS heading, content,
+            CAST(length(content) AS INTEGER) AS length FROM {recursive_chunks_sql(NOTES)}""",
         "section_types": f"SELECT doc_id, id, {section_type_sql('content')} AS type FROM {NOTE_CHUNKS}",
         "section_headings": f"""SELECT doc_id, id, {heading_sql('content')} AS heading,
             CAST(length(content) AS INTEGER) AS length FROM {NOTE_CHUNKS}""",

@@ -3,10 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.oracles import recursive_chunks_sql
 from configsieve.constants import CHUNK_SEPARATORS, DEFAULT_SECTION_TYPE, SECTION_KEYWORDS
+from configsieve.functions.splitter import split_text
 from configsieve.functions.text import fixed_chunks, heading, section_type
 from configsieve.operators import sections
 
@@ -155,3 +158,16 @@ def test_hot_document_spreads_over_keys(spark):
     rows = spark.range(3000).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("id"), F.lit("config").alias("content"))
     pairs = sections.relate_sections(rows)
     assert pairs.count() == 3000 * 2999
+
+
+@pytest.mark.parametrize("size, overlap", [(12, 4), (7, 0), (30, 10), (9, 8)])
+def test_recursive_splitter_equals_its_sql(size, overlap):
+    """Random texts, cut by the library and by the recursive SQL of the queries."""
+    rng = random.Random(size)
+    bits = ["a", "bb", "ccc", "  ", "\n", "\n\n", ".", "!", "?", ";", ",", " ", "\u00a0", "\u00e9" * 9, "x" * 14]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(60)))) for k in range(200)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE texts (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO texts VALUES (?, ?)", [*rows, (200, None)])
+    found = con.execute(f"SELECT * FROM {recursive_chunks_sql('texts', size, overlap)} ORDER BY doc_id, id").fetchall()
+    assert found == [(k, i, chunk) for k, text in rows for i, chunk in enumerate(split_text(text, size, overlap, CHUNK_SEPARATORS))]
