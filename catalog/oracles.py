@@ -336,6 +336,17 @@ FROM (SELECT c_custkey AS doc_id, 'in/' || lower(c_name) AS path,
   FROM customer LEFT JOIN {MERGED} m ON m.doc_id = c_custkey))"""
 
 
+def answer_problems_sql() -> str:
+    """Every usable answer holds one key, so the first one wins; a deep one has its levels in the text's length."""
+    return f"""SELECT doc_id, 'read' AS status,
+  CASE WHEN deep THEN '{{}}' ELSE coalesce('{{' || CASE WHEN levels THEN '"a":' || nested || ',' ELSE '' END || coalesce('"k":"v' || least_k || '"', '') || '}}', '{{}}') END AS config,
+  CASE WHEN deep THEN 'Answer 1: nested deeper than 1000 levels' ELSE '' END AS errors, unusable_answers, missing_answers
+FROM (SELECT doc_id, coalesce(bool_or(length(response) > 6 * 1000 + 1), false) AS deep, coalesce(bool_or(length(response) = 6 * 1000 + 1), false) AS levels,
+    repeat('{{"a":', 999) || '1' || repeat('}}', 999) AS nested, min(chunk_id) FILTER (WHERE response LIKE '{{"k":%') AS least_k,
+    count(*) FILTER (WHERE response LIKE 'no %') AS unusable_answers, count(*) FILTER (WHERE response IS NULL) AS missing_answers
+  FROM {derived_sql("odd_answers")} GROUP BY doc_id)"""
+
+
 def request_sql(docs: str, size: int, overlap: int, relationships: str, columns: str) -> str:
     chunks = chunks_sql(docs, size, overlap)
     term_lists = ", ".join(
@@ -466,7 +477,10 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN {ANSWERS} a ON a.doc_id = k.doc_id AND a.chunk_id = k.id""",
         "resolved_configs": f"SELECT * FROM {resolved_sql()}",
         "processing_summary": f"""SELECT count(*) AS total_files, count(config) AS successful_files,
-            count(*) - count(config) AS failed_files FROM {resolved_sql()}""",
+            count(*) - count(config) AS failed_files,
+            (SELECT count(*) FILTER (WHERE NOT json_valid(response)) FROM {ANSWERS}) AS unusable_answers,
+            (SELECT count(*) FILTER (WHERE response IS NULL) FROM {ANSWERS}) AS missing_answers FROM {resolved_sql()}""",
+        "answer_problems": answer_problems_sql(),
         "validate_config": f"SELECT cfg_id, is_valid, errors FROM {validated(['tenantId', 'enableMonitoring', 'userId'])}",
         "validate_config_odd_schema": f"""SELECT cfg_id, false AS is_valid, concat_ws('; ', 'Invalid schema at $.port: schema must be an object',
             CASE WHEN json_type(config, '$.tenantId') IS NULL THEN 'Missing required property ''tenantId'' at $' END,

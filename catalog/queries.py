@@ -301,6 +301,15 @@ def resolved_configs(spark, sf_dir):
         "doc_id", "path", "status", F.to_json("config").alias("config"), F.array_join("errors", "; ").alias("errors"))
 
 
+def answer_problems(spark, sf_dir):
+    """Answers that are deep, missing or no JSON, and what becomes of their documents."""
+    customers = base(spark, sf_dir, "customer")
+    docs = customers.select(
+        F.col("c_custkey").alias("doc_id"), F.lower("c_name").alias("path"), F.lit("read").alias("status"), F.lit(None).cast("string").alias("error"))
+    return resolve_documents(docs, load_responses(derived(spark, sf_dir, "odd_answers"))).select(
+        "doc_id", "status", F.to_json("config").alias("config"), F.array_join("errors", "; ").alias("errors"), "unusable_answers", "missing_answers")
+
+
 def processing_summary(spark, sf_dir):
     return summary.processing_summary(_results(spark, sf_dir))
 
@@ -445,7 +454,7 @@ QUERIES = {f.__name__: f for f in (
     section_terms, section_relationships,
     doc_hashes, history_upsert, related_contexts, dangling_edges,
     merge_rule_a, merge_rule_b, merge_sources_b, merge_nested_a, merge_nested_b, merge_configs,
-    request_rows, request_documents, request_rows_pairs, attach_responses, resolved_configs, processing_summary,
+    request_rows, request_documents, request_rows_pairs, attach_responses, resolved_configs, answer_problems, processing_summary,
     validate_config, validate_config_odd_schema, empty_config_gate, typed_rows, server_rows, document_types,
     asset_dedupe, asset_fields, asset_filter, sniff_format, docx_text, docx_media,
 )}

@@ -54,6 +54,14 @@ SELECT c_custkey AS doc_id, k AS chunk_id, CASE WHEN (c_custkey + k) % 11 = 0 TH
       WHEN 2 THEN '"db"' ELSE '"db.example.org"' END,
       ',"port":', CAST((c_custkey * k) % 5 AS STRING), '}},') END,
   '"enableMonitoring":', CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, '}}') END AS response
+FROM {customer} LATERAL_NUMBERS""",
+    # Four answers per customer: objects, some of 1,000, 1,500 or 100,000 levels, some missing, some no JSON.
+    "odd_answers": """
+SELECT c_custkey AS doc_id, k AS chunk_id, CASE WHEN (c_custkey + k) % 13 = 0 THEN NULL
+ WHEN (c_custkey * 3 + k) % 7 = 0 THEN 'no configuration found' WHEN c_custkey % 97 = 0 AND k = 1
+  THEN concat(repeat('{{"a":', CAST(CASE c_custkey % 3 WHEN 0 THEN 100000 WHEN 1 THEN 1500 ELSE 1000 END AS INT)), '1',
+   repeat('}}', CAST(CASE c_custkey % 3 WHEN 0 THEN 100000 WHEN 1 THEN 1500 ELSE 1000 END AS INT)))
+ ELSE concat('{{"k":"v', CAST(k AS STRING), '"}}') END AS response
 FROM {customer} LATERAL_NUMBERS""",
     # Configurations with seeded faults.
     "configs": """

@@ -32,6 +32,13 @@ from ..constants import LOOPBACK_VALUES, MERGE_DEFAULTS
 # Leaf kinds; the rest of JSON (bool, int, float, list) needs no special case.
 NULL, STRING, OBJECT, INVALID = "null", "str", "dict", "invalid"
 FILLED_OBJECT = "{...}"
+# Answers without leaves, counted under paths that no pointer can have.
+UNUSABLE, MISSING = "unusable", "missing"
+SKIPPED_PATHS = {UNUSABLE: "?unusable", MISSING: "?missing"}
+
+# What Spark's JSON parser takes; deeper answers are reported.
+MAX_DEPTH = 1000
+NOT_AN_OBJECT, TOO_DEEP = "not an object", f"nested deeper than {MAX_DEPTH} levels"
 
 LEAF_COLUMNS = ["doc_id", "ord", "path", "vtype", "value"]
 
@@ -54,31 +61,62 @@ def finite(number: str) -> float:
     return value
 
 
+def depth_of(value) -> int:
+    """Levels of objects and arrays in a value, counted without recursion."""
+    deepest, open_values = 0, [(value, 1)]
+    while open_values:
+        value, level = open_values.pop()
+        if isinstance(value, (dict, list)):
+            deepest = max(deepest, level)
+            open_values += [(member, level + 1) for member in (value.values() if isinstance(value, dict) else value)]
+    return deepest
+
+
 def leaves_of(value, path: str = "") -> Iterator[tuple[str, str, str | None]]:
-    """``(path, vtype, value)`` of an object and everything in it; strings raw, the rest as JSON."""
-    if isinstance(value, dict):
-        yield path, OBJECT, FILLED_OBJECT if value else "{}"
-        for key, member in value.items():
-            yield from leaves_of(member, pointer(path, key))
-    elif value is None:
-        yield path, NULL, None
-    elif isinstance(value, str):
-        yield path, STRING, utf8(value)
-    else:
-        yield path, type(value).__name__, utf8(json.dumps(value, ensure_ascii=False))
+    """``(path, vtype, value)`` of an object and everything in it; strings raw, the rest as JSON.
+
+    A stack of its own, so that depth is not bounded by Python's.
+    """
+    open_values = [(path, value)]
+    while open_values:
+        path, value = open_values.pop()
+        if isinstance(value, dict):
+            yield path, OBJECT, FILLED_OBJECT if value else "{}"
+            open_values += [(pointer(path, key), member) for key, member in reversed(value.items())]
+        elif value is None:
+            yield path, NULL, None
+        elif isinstance(value, str):
+            yield path, STRING, utf8(value)
+        else:
+            yield path, type(value).__name__, utf8(json.dumps(value, ensure_ascii=False))
 
 
 def fragment_leaves(text: str | None) -> list[tuple[str, str, str | None]]:
-    """Leaves of one answer; none if it is not JSON, an ``invalid`` root if not an object."""
+    """Leaves of one answer.
+
+    A skipped answer, one that is missing or not JSON, has a single leaf under a
+    path that says so; one that is no object or nested too deeply has an
+    ``invalid`` root that says why.
+    """
+    if text is None:
+        return [(SKIPPED_PATHS[MISSING], MISSING, None)]
     try:
         value = json.loads(text, parse_float=finite, parse_constant=finite)
-        return list(leaves_of(value)) if isinstance(value, dict) else [("", INVALID, "not an object")]
-    except (TypeError, ValueError, RecursionError):
-        return []
+    except RecursionError:
+        return [("", INVALID, TOO_DEEP)]
+    except (TypeError, ValueError):
+        return [(SKIPPED_PATHS[UNUSABLE], UNUSABLE, None)]
+    if not isinstance(value, dict):
+        return [("", INVALID, NOT_AN_OBJECT)]
+    return [("", INVALID, TOO_DEEP)] if depth_of(value) > MAX_DEPTH else list(leaves_of(value))
+
 
+def flatten_fragments(fragments: DataFrame, text_column: str = "response", skipped: bool = False) -> DataFrame:
+    """Leaves of JSON texts ``(doc_id, ord, <text_column>)``.
 
-def flatten_fragments(fragments: DataFrame, text_column: str = "response") -> DataFrame:
-    """Leaves of JSON texts ``(doc_id, ord, <text_column>)``; unparsable texts yield none."""
+    Unparsable and missing texts yield none, or with ``skipped`` one each that
+    :func:`merge_leaves` counts.
+    """
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,6 +124,7 @@ def flatten_fragments(fragments: DataFrame, text_column: str = "response") -> Da
                 (doc_id, ord_, *leaf)
                 for doc_id, ord_, text in zip(batch["doc_id"], batch["ord"], batch["text"])
                 for leaf in fragment_leaves(text)
+                if skipped or leaf[1] not in SKIPPED_PATHS
             ]
             yield pd.DataFrame(rows, columns=LEAF_COLUMNS)
 
@@ -119,6 +158,8 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
         F.min_by("value", text_key).alias("text"),
         # A filled object sorts before an empty one.
         F.min(F.when(vtype == OBJECT, value)).alias("object"),
+        F.count_if(vtype.isin(*SKIPPED_PATHS)).alias("skipped"),
+        F.min(F.when(vtype == INVALID, F.struct("ord", "value"))).alias("invalid"),
     )
     first = F.col("first")
     yields = first["vtype"] == STRING
@@ -126,7 +167,9 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
         yields = yields & F.lower(first["value"]).isin(*LOOPBACK_VALUES)
     return decided.select(
         "doc_id", "path", first["vtype"].alias("vtype"),
-        F.when(yields, F.coalesce("text", first["value"]))
+        F.when(F.col("skipped") > 0, F.col("skipped").cast("string"))
+        .when(F.col("invalid").isNotNull(), F.concat(F.lit("Answer "), F.col("invalid.ord"), F.lit(": "), F.col("invalid.value")))
+        .when(yields, F.coalesce("text", first["value"]))
         .when(first["vtype"] == OBJECT, F.col("object"))
         .otherwise(first["value"]).alias("value"),
         (F.col("object").isNotNull() & (first["vtype"] != OBJECT)).alias("lost"),
@@ -158,32 +201,51 @@ def merge_sources(sources: Sequence[DataFrame], rule: str = "B") -> DataFrame:
 
 
 def assemble(winners: DataFrame) -> DataFrame:
-    """One merged object per document, ``doc_id, config_text``; null if a root was invalid.
+    """One row per document: ``doc_id, config_text, problem, used, unusable_answers, missing_answers``.
 
-    What is gathered per document is its merged configuration, which is one
-    output value anyway.
+    ``config_text`` is null if a root was invalid (``problem`` says which and
+    why) or no answer was ``used``.  What is gathered per document is its merged
+    configuration, which is one output value anyway.
     """
     gathered = winners.groupBy("doc_id").agg(F.collect_list(F.struct("path", "vtype", "value")).alias("leaves"))
-    return gathered.select("doc_id", _nested("leaves").alias("config_text"))
+    return gathered.select("doc_id", _nested("leaves").alias("merged")).select("doc_id", "merged.*")
+
+
+def merge_answers(fragments: DataFrame, rule: str = "A", text_column: str = "response") -> DataFrame:
+    """All that is known of each document's answers, from one pass over them.
+
+    ``doc_id, config`` (VARIANT), ``problems`` (messages about lost answers),
+    ``used`` (whether any answer parsed), ``unusable_answers``, ``missing_answers``.
+    """
+    merged = assemble(merge_leaves(flatten_fragments(fragments, text_column, skipped=True), rule))
+    config = F.try_parse_json("config_text")
+    too_large = F.when(F.col("config_text").isNotNull() & F.col("config").isNull(), F.lit("The configuration is too large for a VARIANT"))
+    kept = merged.select("doc_id", config.alias("config"), "config_text", "problem", "used", "unusable_answers", "missing_answers")
+    problems = F.array_compact(F.array(F.col("problem"), too_large))
+    return kept.select("doc_id", "config", problems.alias("problems"), "used", "unusable_answers", "missing_answers")
 
 
 def merge_fragments(fragments: DataFrame, rule: str = "A", text_column: str = "response") -> DataFrame:
     """Merge JSON object texts ``(doc_id, ord, <text_column>)`` into one VARIANT ``config`` per document.
 
     Documents none of whose texts parse are absent; ``config`` is null where a
-    text parsed to something other than an object.
+    text parsed to something other than an object, or is nested too deeply.
     """
     merged = assemble(merge_leaves(flatten_fragments(fragments, text_column), rule))
     return merged.select("doc_id", F.try_parse_json("config_text").alias("config"))
 
 
-def nested_object(leaves) -> str | None:
-    """Nested JSON text of ``(path, vtype, value)`` leaves, parents before children."""
-    objects = {}
+def nested_object(leaves) -> tuple[str | None, str | None, bool, int, int]:
+    """Nested JSON text of ``(path, vtype, value)`` leaves, parents before children, and what else `assemble` returns."""
+    objects, skipped, problem = {}, {UNUSABLE: 0, MISSING: 0}, None
     for leaf in sorted(leaves, key=lambda leaf: leaf["path"].count("/")):
         path, vtype, value = leaf["path"], leaf["vtype"], leaf["value"]
+        if vtype in skipped:
+            skipped[vtype] += int(value)
+            continue
         if vtype == INVALID:
-            return None
+            problem = value
+            continue
         above, _, key = path.rpartition("/")
         if path and above not in objects:
             continue
@@ -192,12 +254,17 @@ def nested_object(leaves) -> str | None:
             objects[path] = member
         if path:
             objects[above][key.replace("~1", "/").replace("~0", "~")] = member
-    return json.dumps(objects.get("", {}), ensure_ascii=False, sort_keys=True)
+    used = problem is not None or "" in objects
+    text = json.dumps(objects[""], ensure_ascii=False, sort_keys=True) if used and problem is None else None
+    return text, problem, used, skipped[UNUSABLE], skipped[MISSING]
+
+
+MERGED_TYPE = "struct<config_text: string, problem: string, used: boolean, unusable_answers: long, missing_answers: long>"
 
 
 def _nested(column: str) -> Column:
-    @F.pandas_udf("string")
-    def nested(leaves: pd.Series) -> pd.Series:
-        return leaves.map(nested_object)
+    @F.pandas_udf(MERGED_TYPE)
+    def nested(leaves: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([nested_object(x) for x in leaves], columns=["config_text", "problem", "used", "unusable_answers", "missing_answers"])
 
     return nested(F.col(column))

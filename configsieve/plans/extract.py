@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import merge_fragments
+from ..operators.merge import merge_answers
 from ..operators.requests import request_rows
 from ..operators.validate import empty_variant, gate, validate
 from ..sources.files import read_documents
@@ -18,23 +18,28 @@ def resolve_documents(docs: DataFrame, responses: DataFrame, schema: dict | None
     """Merge, validate and gate the answers of every document.
 
     ``docs``: ``doc_id, path, status, error``; ``responses``: ``doc_id,
-    chunk_id, response``.  Returns ``doc_id, path, status, config, errors``:
-    a document that could not be read has a null ``config``, one without a
-    usable or valid answer the schema's empty configuration.
+    chunk_id, response``.  Returns ``doc_id, path, status, config, errors,
+    unusable_answers, missing_answers``: a document that could not be read has a
+    null ``config``, one without a usable or valid answer the schema's empty
+    configuration.  Answers that are not JSON are skipped and counted, as are
+    null ones; ``errors`` names those that spoil the document.
     """
     fragments = responses.select("doc_id", F.col("chunk_id").alias("ord"), "response")
-    merged = merge_fragments(fragments, rule)
+    merged = merge_answers(fragments, rule)
     empty = empty_variant(schema)
     no_errors = F.array().cast("array<string>")
     # No filter on ``config``: Spark would build it a second time to test it.
     checked = gate(validate(merged, schema), schema) if schema else merged.withColumn("errors", no_errors)
+    found = F.concat("problems", F.when(F.col("used"), F.col("errors")).otherwise(no_errors))
+    checked = checked.select("doc_id", "config", found.alias("errors"), "unusable_answers", "missing_answers")
     ids = docs.select("doc_id", "path", "status", "error")
-    joined = ids.join(checked.select("doc_id", "config", "errors"), "doc_id", "left")
+    joined = ids.join(checked, "doc_id", "left")
     readable = F.col("status") != "failed"
     return joined.select(
         "doc_id", "path", "status",
         F.when(readable, F.coalesce("config", empty)).alias("config"),
         F.coalesce("errors", F.when(~readable, F.array("error")), no_errors).alias("errors"),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("unusable_answers", "missing_answers")),
     )
 
 
