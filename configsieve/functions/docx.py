@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 MAIN_PART = "word/document.xml"
 MEDIA_PREFIX = "word/media/"
+BROKEN = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, TypeError)
 
 # What an element inside a run stands for in the text.
 RUN_TEXT = {W + "tab": "\t", W + "cr": "\n", W + "noBreakHyphen": "-", W + "ptab": "\t"}
@@ -27,13 +28,21 @@ def docx_text(content: bytes) -> str:
 
 
 def docx_media(content: bytes) -> Iterator[tuple[str, bytes]]:
-    """``(member name, content)`` of the embedded pictures; nothing for a broken archive."""
+    """``(member name, content)`` of the embedded pictures, unpacked as they are asked for.
+
+    A broken archive has none, a broken picture is left out.
+    """
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            members = sorted(n for n in archive.namelist() if n.startswith(MEDIA_PREFIX) and not n.endswith("/"))
-            yield from [(name, archive.read(name)) for name in members]
-    except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError):
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except BROKEN:
         return
+    with archive:
+        for name in sorted(n for n in archive.namelist() if n.startswith(MEDIA_PREFIX) and not n.endswith("/")):
+            try:
+                picture = archive.read(name)
+            except BROKEN:
+                continue
+            yield name, picture
 
 
 def paragraph_text(paragraph) -> str:

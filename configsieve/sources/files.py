@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DOC_TYPES
 from ..functions.docx import docx_media, docx_text
 from ..operators.assets import docx_asset_name, is_legacy_doc, with_picture_header
+from ..plans.lineage import settled
 
 TEXT_TYPES = ("text", "json", "yaml")
 LENGTH_LIMIT = "spark.sql.sources.binaryFile.maxLength"
@@ -28,62 +33,125 @@ def doc_type(path: Column, types: Mapping[str, str] = DOC_TYPES) -> Column:
 
 
 def discover(spark: SparkSession, directory: str, types: Mapping[str, str] = DOC_TYPES,
-             only: Sequence[str] | None = None) -> DataFrame:
+             only: Sequence[str] | None = None, hidden: Hidden | None = None) -> DataFrame:
     """Supported files under a directory: ``path, doc_type, length, modificationTime, content``.
 
+    The directory is any path that Spark reads, relative ones included.
     ``only`` restricts the document types.  Other files drop out while listing:
     a filter on the rows would come after their contents have been read.
     ``content`` itself is read only where it is selected.
 
     Spark's listing leaves out names that begin with ``_`` or ``.``.  Such
-    folders are listed as roots of their own, and such files read one by one.
+    folders are listed as roots of their own, and such files read one by one;
+    ``hidden`` has them if they are known already (see :func:`hidden_names`).
     """
     wanted = {ext: kind for ext, kind in types.items() if only is None or kind in only}
-    folders, hidden = hidden_names(directory)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-        .option("pathGlobFilter", extension_glob(wanted)).load([directory, *folders])
-    hidden = [path for path in hidden if path.rpartition(".")[2].lower() in wanted]
-    if hidden:
-        paths = spark.createDataFrame([(path,) for path in hidden], "path string")
-        files = files.unionByName(paths.repartition(len(hidden)).mapInPandas(read_one_by_one, files.schema))
+    hidden = hidden or hidden_names(spark, directory)
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+            .option("pathGlobFilter", extension_glob(wanted)).load([directory, *hidden.folders])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"Directory not found: {directory}") from error
+    if hidden.files is not None:
+        paths = hidden.files.where(doc_type(F.col("path"), wanted).isNotNull()).select("path")
+        files = files.unionByName(paths.mapInPandas(read_one_by_one(limit_of(spark)), files.schema))
     return files.withColumn("doc_type", doc_type(F.col("path"), wanted))
 
 
-def hidden_names(directory: str) -> tuple[list[str], list[str]]:
-    """Folders and files under a directory, at any depth, whose names begin with ``_`` or ``.``."""
-    store, root = opened(directory)
+class Hidden(NamedTuple):
+    """Names under a directory that Spark's listing leaves out: the folders, and a table of files (``path``)."""
+
+    folders: list[str]
+    files: DataFrame | None
+
+
+def hidden_names(spark: SparkSession, directory: str) -> Hidden:
+    """Folders and files under a directory, at any depth, whose names begin with ``_`` or ``.``.
+
+    The tree is walked on the executors, a level at a time with a row per folder;
+    only hidden folders come to the driver, as Spark's reader takes roots from
+    there.  Nothing is found where the store has no client in Python; Spark then
+    reads all but hidden names.
+    """
+    root = qualified(spark, directory)
     try:
-        found = store.get_file_info(fs.FileSelector(root, recursive=True))
-    except (FileNotFoundError, NotADirectoryError) as error:
-        raise FileNotFoundError(f"Directory not found: {directory}") from error
-    prefix = directory[: len(directory) - len(root.rstrip("/"))] if directory.rstrip("/").endswith(root.rstrip("/")) else ""
-    prefix = prefix or ("file:" if isinstance(store, fs.LocalFileSystem) else "")
-    hidden = [x for x in found if x.base_name.startswith(("_", "."))]
-    return ([prefix + x.path for x in hidden if x.type == fs.FileType.Directory],
-            [prefix + x.path for x in hidden if x.type == fs.FileType.File])
+        opened(root)
+    except (pa.ArrowException, OSError, NotImplementedError):
+        return Hidden([], None)
+    level, found = spark.createDataFrame([(root,)], "path string"), []
+    while not level.isEmpty():
+        listed = settled(level.mapInPandas(list_folders, LISTED), "listing")
+        found.append(listed)
+        level = listed.where("folder").select("path").repartition(F.col("path"))
+    hidden = reduce(DataFrame.unionByName, found).where("hidden") if found else None
+    if hidden is None or hidden.isEmpty():
+        return Hidden([], None)
+    return Hidden([r.path for r in hidden.where("folder").collect()], hidden.where("NOT folder").select("path").repartition(F.col("path")))
+
+
+LISTED = "path string, folder boolean, hidden boolean"
+LISTED_ROWS = 10_000
+
+
+def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The folders, and the hidden files, that lie directly in the given folders; other files only have to be read."""
+    for batch in batches:
+        for folder in batch["path"]:
+            store, name = opened(folder)
+            try:
+                inside = store.get_file_info(fs.FileSelector(name))
+            except (FileNotFoundError, NotADirectoryError):
+                continue
+            rows = [(f"{folder.rstrip('/')}/{x.base_name}", x.type == fs.FileType.Directory, x.base_name.startswith(("_", "."))) for x in inside]
+            rows = [row for row in rows if row[1] or row[2]]
+            for lo in range(0, len(rows), LISTED_ROWS):
+                yield pd.DataFrame(rows[lo:lo + LISTED_ROWS], columns=["path", "folder", "hidden"])
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and all folders above it, as the file system that Spark is configured with has it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+# Schemes of Spark's clients that Python's client has under another name.
+CLIENT_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    if path.startswith("file:") and not path.startswith("file://"):
-        path = "file://" + path.removeprefix("file:")
-    return fs.FileSystem.from_uri(path)
+    """The file system of a qualified path, and the path in it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{CLIENT_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
-def read_one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of the ``binaryFile`` source for given paths."""
-    for batch in batches:
-        for path in batch["path"]:
-            store, name = opened(path)
-            info = store.get_file_info(name)
-            with store.open_input_stream(name) as stream:
-                yield pd.DataFrame({"path": [path], "modificationTime": [pd.Timestamp(info.mtime)],
-                                    "length": [info.size], "content": [stream.read()]})
+def read_one_by_one(limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of the ``binaryFile`` source for given paths; a file beyond the limit is not read and has no content."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                store, name = opened(path)
+                info = store.get_file_info(name)
+                content = None
+                if info.size <= limit:
+                    with store.open_input_stream(name) as stream:
+                        content = stream.read()
+                yield pd.DataFrame({"path": [path], "modificationTime": [pd.Timestamp(info.mtime)], "length": [info.size], "content": [content]})
+
+    return read
+
+
+def limit_of(spark: SparkSession) -> int:
+    return int(spark.conf.get(LENGTH_LIMIT))
 
 
 def within_limit(files: DataFrame) -> Column:
     """Whether Spark reads a file: a larger one would end the whole job."""
-    return F.col("length") <= int(files.sparkSession.conf.get(LENGTH_LIMIT))
+    return F.col("length") <= limit_of(files.sparkSession)
 
 
 def extension_glob(extensions: Iterable[str]) -> str:
@@ -125,8 +193,9 @@ def read_documents(spark: SparkSession, directory: str) -> DataFrame:
     to read come out as failed, without their contents being read.
     """
     undecoded = [t for t in dict.fromkeys(DOC_TYPES.values()) if t not in (*TEXT_TYPES, "docx")]
-    text, docx = discover(spark, directory, only=TEXT_TYPES), discover(spark, directory, only=["docx"])
-    other = _failed(discover(spark, directory, only=undecoded), F.concat(F.lit("no decoder for "), "doc_type"))
+    hidden = hidden_names(spark, directory)
+    text, docx, rest = (discover(spark, directory, only=kinds, hidden=hidden) for kinds in (TEXT_TYPES, ["docx"], undecoded))
+    other = _failed(rest, F.concat(F.lit("no decoder for "), "doc_type"))
     size = F.concat(F.lit("too large to read: "), F.col("length").cast("string"), F.lit(" bytes"))
     large = [_failed(files.where(~within_limit(files)), size) for files in (text, docx)]
     rows = read_text_files(text).unionByName(read_docx(docx)).unionByName(other)
@@ -137,15 +206,25 @@ def _failed(files: DataFrame, error: Column) -> DataFrame:
     return files.select("path", F.lit(None).cast("string").alias("text"), F.lit("failed").alias("status"), error.alias("error"))
 
 
+#: Bytes of pictures that leave a Python worker at once, unless a single picture is larger.
+MEDIA_BATCH = 8 << 20
+
+
 def explode_docx_media(files: DataFrame) -> DataFrame:
     """Embedded pictures of DOCX files: ``path, member, name, content, format, width, height``."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for path, archive in zip(batch["path"], batch["content"]):
-                # One picture at a time: together they may be far larger than the files.
+                # Pictures are unpacked one at a time: together they may be far larger than the files.
                 for member, content in docx_media(archive):
-                    yield pd.DataFrame({"path": [path], "member": [member], "content": [content]})
+                    if rows and held + len(content) > MEDIA_BATCH:
+                        yield pd.DataFrame(rows, columns=["path", "member", "content"])
+                        rows, held = [], 0
+                    rows.append((path, member, content))
+                    held += len(content)
+        yield pd.DataFrame(rows, columns=["path", "member", "content"])
 
     packed = files.where(F.col("doc_type") == "docx").select("path", "content")
     media = with_picture_header(packed.mapInPandas(explode, MEDIA_SCHEMA))
