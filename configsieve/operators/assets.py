@@ -20,6 +20,7 @@ from ..constants import (
     ZIP_MAGIC,
 )
 from ..functions.pictures import picture_header
+from ..plans.lineage import settled
 
 
 def is_legacy_doc(content: Column, path: Column) -> Column:
@@ -102,14 +103,18 @@ def valid_images(images: DataFrame, min_size: int = MIN_IMAGE_SIZE) -> DataFrame
 
 
 def dedupe_assets(assets: DataFrame) -> DataFrame:
-    """The first asset by ``(path, name)`` of every distinct content.
+    """The first asset by ``(path, name)`` of every distinct content, with ``md5``.
 
-    ``min_by`` combines before the shuffle: a picture that a third of all
-    documents carry crosses the network once per task, not once per copy.
+    Keys first: contents are written once with a number and their digest, the
+    least ``(path, name)`` per digest is chosen from keys alone (combined before
+    the shuffle, so a picture that a third of all documents carry is no hot
+    group), and the chosen numbers fetch their rows.  No content is aggregated
+    or sorted.
     """
-    others = [c for c in assets.columns if c != "md5"]
-    first = F.min_by(F.struct(*others), F.struct("path", "name")).alias("row")
-    return assets.withColumn("md5", F.md5("content")).groupBy("md5").agg(first).select("row.*", "md5")
+    numbered = settled(assets.withColumn("md5", F.md5("content")).withColumn("_number", F.monotonically_increasing_id()), "assets")
+    order = F.struct("path", "name", "_number")
+    chosen = numbered.groupBy("md5").agg(F.min(order)["_number"].alias("_number")).select("_number")
+    return numbered.join(chosen.hint("shuffle_hash"), "_number", "left_semi").drop("_number")
 
 
 def _digest(content: Column) -> Column:

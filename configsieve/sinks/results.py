@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import settled
+
 MASKED_TYPES = ("credentials", "connection_string")
 
 
@@ -16,9 +18,11 @@ def write_results(results: DataFrame, path: str, mode: str = "error") -> None:
 def write_result_map(results: DataFrame, path: str, mode: str = "error") -> None:
     """Part files that, put one after the other, are one JSON object ``{path: config or null}``.
 
-    The entries are sorted by range partitioning, so no task holds the map.
+    The results are computed once and written as entries; sorting samples those,
+    and the least path, known then, is the entry without a comma.  Range
+    partitioning sorts, so no task holds the map.
     """
-    entries = results.select("path", F.coalesce(F.to_json("config"), F.lit("null")).alias("config"))
+    entries = settled(results.select("path", F.coalesce(F.to_json("config"), F.lit("null")).alias("config")), "entries")
     first = entries.agg(F.min("path")).scalar()
     name = F.to_json(F.struct(F.col("path").alias("p")))
     quoted = F.expr("substring(name, 6, length(name) - 6)")

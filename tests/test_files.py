@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import os
 import struct
 import zipfile
 import zlib
@@ -10,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from configsieve.functions.docx import docx_text
+from configsieve.functions.docx import docx_media, docx_text
 from configsieve.functions.pictures import picture_header
 from configsieve.operators import assets, summary
 from configsieve.plans.extract import process_directory
@@ -209,7 +210,7 @@ def test_directory_end_to_end(processed):
     assert found["d.docx"] == found["B.YML"] == ('{"host":""}', [])
     assert found["e.pdf"] == (None, ["no decoder for pdf"]) and found["bad.docx"][0] is None
     assert summary.processing_summary(processed).collect()[0].asDict() == {
-        "total_files": 6, "successful_files": 4, "failed_files": 2}
+        "total_files": 6, "successful_files": 4, "failed_files": 2, "unusable_answers": 2, "missing_answers": 0}
 
 
 def test_untyped_schema_gives_null(spark, directory):
@@ -243,3 +244,95 @@ def test_empty_directory(spark, tmp_path):
 def test_mask(spark):
     df = spark.createDataFrame([("credentials", "s3cret"), ("host", "db")], "type string, value string")
     assert [r[0] for r in df.select(results.mask(F.col("value"), F.col("type"))).collect()] == ["***", "db"]
+
+
+def test_paths_of_all_kinds(spark, tmp_path):
+    """Relative paths, `file:` with and without slashes, and a store that only Spark's file systems know."""
+    for folder in ("a", "a/_b", "a/_b/.c", "with blank"):
+        (tmp_path / folder).mkdir()
+    for n, place in enumerate((".", "a", "a/_b", "a/_b/.c", "with blank")):
+        (tmp_path / place / f"n{n}.txt").write_text(f"text {n}")
+        (tmp_path / place / f"_n{n}.txt").write_text(f"hidden {n}")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.docs.link./at", f"file://{tmp_path}")
+    there = spark.sparkContext._jvm.java.lang.System.getProperty("user.dir")
+    everything = {f"{kind} {n}" for kind in ("text", "hidden") for n in range(5)}
+    for directory in (str(tmp_path), os.path.relpath(tmp_path, there), f"file:{tmp_path}", f"file://{tmp_path}", f"{tmp_path}/"):
+        rows = files.read_documents(spark, directory).collect()
+        assert sorted(r.text for r in rows) == sorted(everything), directory
+        assert {r.doc_type for r in rows} == {"text"}
+    # Python has no client for it, so hidden names stay unseen; everything else is read.
+    rows = files.read_documents(spark, "viewfs://docs/at").collect()
+    assert sorted(r.text for r in rows) == ["text 0", "text 1", "text 4"]
+    for absent in (str(tmp_path / "absent"), "absent/relative", "viewfs://docs/at/absent"):
+        with pytest.raises(FileNotFoundError, match="Directory not found"):
+            files.discover(spark, absent)
+
+
+def test_hidden_files_beyond_the_limit_are_not_read(spark, tmp_path):
+    (tmp_path / "_large.txt").write_text("x" * 500)
+    spark.conf.set(files.LENGTH_LIMIT, "100")
+    try:
+        (row,) = files.discover(spark, str(tmp_path)).select("length", "content").collect()
+        assert row.length == 500 and row.content is None
+        (row,) = files.read_documents(spark, str(tmp_path)).collect()
+        assert (row.status, row.error) == ("failed", "too large to read: 500 bytes")
+    finally:
+        spark.conf.unset(files.LENGTH_LIMIT)
+
+
+def archive(pictures):
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for name, content in pictures:
+            out.writestr(f"word/media/{name}", content)
+    return packed.getvalue()
+
+
+def test_pictures_are_unpacked_one_at_a_time(monkeypatch):
+    opened = []
+    read = zipfile.ZipFile.read
+    monkeypatch.setattr(zipfile.ZipFile, "read", lambda self, name: opened.append(name) or read(self, name))
+    found = docx_media(archive([(f"{n}.png", b"x") for n in range(5)]))
+    next(found)
+    assert len(opened) == 1
+    assert len(list(found)) == 4
+
+
+def test_a_broken_picture_is_left_out(spark):
+    whole = archive([("a.png", b"first" * 9), ("b.png", b"second" * 9), ("c.png", b"third" * 9)])
+    broken = whole.replace(b"second" * 9, b"spoilt" * 9)
+    rows = [(1, "x.docx", "docx", broken), (2, "y.docx", "docx", whole), (3, "z.docx", "docx", b"no archive"), (4, "n.docx", "docx", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, path string, doc_type string, content binary")
+    found = sorted((r.path, r.member) for r in files.explode_docx_media(frame).collect())
+    media = [f"word/media/{n}.png" for n in "abc"]
+    assert found == [("x.docx", media[0]), ("x.docx", media[2])] + [("y.docx", m) for m in media]
+
+
+def test_batches_of_pictures_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(files, "MEDIA_BATCH", 100)
+    frame = spark.createDataFrame([("x.docx", "docx", archive([(f"{n}.png", bytes([n]) * 40) for n in range(9)]))], "path string, doc_type string, content binary")
+    assert files.explode_docx_media(frame).count() == 9
+
+
+def test_dedupe_keeps_contents_out_of_aggregates_and_sorts(spark):
+    rows = [("b", "1", b"x"), ("a", "2", b"x"), ("a", "1", b"x"), ("a", "1", b"x"), ("c", "1", b"y"), ("c", "2", None)]
+    unique = assets.dedupe_assets(spark.createDataFrame(rows, "path string, name string, content binary"))
+    assert sorted((r.path, r.name, r.content) for r in unique.collect() if r.content) == [("a", "1", bytearray(b"x")), ("c", "1", bytearray(b"y"))]
+    assert unique.count() == 3
+    plan = unique._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "content" in line and ("Aggregate" in line or "Sort" in line)]
+
+
+def test_the_result_map_is_computed_once(spark, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(len(batch))
+            yield batch
+
+    rows = spark.range(50).selectExpr("concat('p', id) AS path", "CAST(id AS STRING) AS text").mapInPandas(count, "path string, text string")
+    results.write_result_map(rows.select("path", F.try_parse_json("text").alias("config")), str(tmp_path / "map"))
+    parts = sorted((tmp_path / "map").glob("part-*"))
+    assert json.loads("".join(p.read_text() for p in parts)) == {f"p{n}": n for n in range(50)}
+    assert computed.value == 50

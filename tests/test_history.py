@@ -1,5 +1,6 @@
 """History upsert, lookups and the table directories."""
 
+import os
 import hashlib
 from datetime import datetime, timedelta
 
@@ -84,12 +85,28 @@ def test_tables(spark, tmp_path):
     assert paths() == {"a": "two", "b": "one"}
     tables.store_contexts(spark, base, frame(row("c", 0, "three")))
     assert paths() == {"a": "two", "b": "one", "c": "three"}
-    # A write without its success marker does not count.
+    # A write that did not get as far as its entry does not count.
     lost = tables.store_contexts(spark, base, frame(row("d", 0, "lost")))
-    (tmp_path / f"store/history/batch={lost}/_SUCCESS").unlink()
+    assert "d" in paths()
+    for part in (tmp_path / f"store/history/log/entry={lost}").glob("*.json"):
+        part.unlink()
     assert "d" not in paths()
 
 
+def test_any_path_that_spark_writes(spark, tmp_path, monkeypatch):
+    """A relative path, and a store that only Spark's file systems know."""
+    monkeypatch.chdir(tmp_path)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.history.link./at", f"file://{tmp_path}")
+    there = spark.sparkContext._jvm.java.lang.System.getProperty("user.dir")
+    for base in (os.path.relpath(tmp_path, there) + "/near", "viewfs://history/at/far"):
+        tables.create_tables(spark, base)
+        tables.store_contexts(spark, base, spark.createDataFrame([row("a", 1, "one")], tables.HISTORY_SCHEMA))
+        tables.compact_history(spark, base)
+        tables.store_contexts(spark, base, spark.createDataFrame([row("b", 1, "two")], tables.HISTORY_SCHEMA))
+        assert {r["doc_hash"] for r in tables.read_history(spark, base).collect()} == {"a", "b"}
+    assert (tmp_path / "near/history").is_dir() and (tmp_path / "far/history").is_dir()
+
+
 def test_stores_from_the_same_state_are_both_kept(spark, tmp_path, monkeypatch):
     base = f"file://{tmp_path}/store"
     tables.create_tables(spark, base)
