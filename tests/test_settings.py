@@ -16,7 +16,8 @@ from configsieve.constants import (
     YAML_BLOCK,
     SettingPattern,
 )
-from configsieve.functions.regex import PAD_CHARS, strip, to_java
+from configsieve.functions.regex import PAD_CHARS, find_all_in_context, pad_char, padded, strip, to_java
+from configsieve.functions.yaml_blocks import block_start, linear_scan
 from configsieve.operators import settings
 
 PIECES = [
@@ -201,3 +202,31 @@ def test_python_engine_without_context(docs, texts):
     found = settings.extract_settings(docs, context=False, engine="arrow").collect()
     assert sorted(tuple(r)[:6] for r in found) == [row[:6] for row in expected_settings(texts)]
     assert all(r.context is None for r in found)
+
+
+def test_yaml_blocks_of_random_texts(spark):
+    """What the JVM finds in one pass is what `re` finds, at both ends of the text and around odd white space too."""
+    pytest.importorskip("yaml")
+    rng = random.Random(11)
+    bits = ["a:", "b_1:", "\n", "\n", "\n\n", " ", "  ", "\t", "\u00a0", "\u2028", "\x1c", "  k: v\n", " x: 1", "é", "# c", "word\n", "k:\n  y: 2\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    expected = [(d, m.start(), m.end()) for d, t in enumerate(texts) for m in re.finditer(YAML_BLOCK, t)]
+    width = 50
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = frame.select("doc_id", pad_char(F.col("text")).alias("pad"), F.explode(
+        find_all_in_context(padded(F.col("text"), width), linear_scan(width), width)).alias("piece")).collect()
+    cut = [(r.doc_id, re.match(YAML_BLOCK, r.piece[block_start(r.piece, width, r.pad):]).group(), r.piece[block_start(r.piece, width, r.pad) - width:].lstrip(r.pad))
+           for r in found]
+    wanted = [(d, texts[d][a:b], texts[d][max(0, a - width):b + width]) for d, a, b in expected]
+    assert len(expected) > 1000 and sorted(cut) == sorted(wanted)
+
+
+@pytest.mark.parametrize("text", ["\n" * 1_000_000, "a:\n" + "\n" * 1_000_000, "a:\n" + " \n" * 500_000, ("a:" + " " * 50 + "\n") * 20_000,
+                                  "a:\n" + "  k: v\n" * 150_000, "x " * 500_000 + "a:\n"])
+def test_yaml_search_is_linear(spark, text):
+    width = 50
+    frame = spark.createDataFrame([(text,)], "text string").cache()
+    frame.count()
+    start = time.monotonic()
+    frame.select(F.size(find_all_in_context(padded(F.col("text"), width), linear_scan(width), width))).collect()
+    assert time.monotonic() - start < 2
