@@ -480,6 +480,9 @@ def oracle_sql() -> dict[str, str]:
             count(*) - count(config) AS failed_files,
             (SELECT count(*) FILTER (WHERE NOT json_valid(response)) FROM {ANSWERS}) AS unusable_answers,
             (SELECT count(*) FILTER (WHERE response IS NULL) FROM {ANSWERS}) AS missing_answers FROM {resolved_sql()}""",
+        "quarantine": f"""SELECT doc_id, CASE WHEN status = 'failed' THEN 'unreadable' WHEN error LIKE 'Missing%' THEN 'missing_property'
+              WHEN error LIKE 'Expected%' THEN 'wrong_type' ELSE 'other' END AS kind, error
+            FROM (SELECT doc_id, status, unnest(string_split(errors, '; ')) AS error FROM {resolved_sql()}) WHERE error <> ''""",
         "answer_problems": answer_problems_sql(),
         "validate_config": f"SELECT cfg_id, is_valid, errors FROM {validated(['tenantId', 'enableMonitoring', 'userId'])}",
         "validate_config_odd_schema": f"""SELECT cfg_id, false AS is_valid, concat_ws('; ', 'Invalid schema at $.port: schema must be an object',
@@ -508,6 +511,8 @@ def oracle_sql() -> dict[str, str]:
             md5('{c.DATA_URL_PREFIX}' || base64(content)) AS url_md5 FROM {PNG}""",
         "asset_filter": f"""SELECT doc_id, 'png' AS format, CAST(n_chars % 120 AS INTEGER) AS width,
             CAST(n_chars % 120 AS INTEGER) AS height FROM {PNG} WHERE n_chars % 120 >= 50""",
+        "visible_assets": """SELECT doc_id, 'png' AS format, CAST(n_chars % 120 AS INTEGER) AS width,
+            CAST(n_chars % 120 AS INTEGER) AS height FROM documents WHERE n_chars % 120 >= 50 AND doc_id % 3 <> 0""",
         # The marker must lie within the first 2048 bytes, which the varying prefix decides.
         "sniff_format": """SELECT doc_id, CAST(doc_id AS VARCHAR) || '.doc' AS path,
             CASE WHEN doc_id % 17 = 0 THEN 'doc' WHEN doc_id % 3 = 0 THEN 'zip'

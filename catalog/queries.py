@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from configsieve.functions.text import doc_hash, heading, section_type
 from configsieve.operators import assets, history, merge, requests, sections, settings, summary, validate
 from configsieve.plans.extract import resolve_documents
+from configsieve.sinks import results
 from configsieve.sources.control import load_responses
 from configsieve.sources.files import doc_type, explode_docx_media, read_docx
 
@@ -314,6 +317,10 @@ def processing_summary(spark, sf_dir):
     return summary.processing_summary(_results(spark, sf_dir))
 
 
+def quarantine(spark, sf_dir):
+    return results.error_rows(_results(spark, sf_dir), "doc_id")
+
+
 # --- validation -------------------------------------------------------------
 
 def _validated(spark, sf_dir):
@@ -396,6 +403,32 @@ def asset_filter(spark, sf_dir):
     return sized.where(assets.is_valid_asset(F.col("width"), F.col("height"))).select("doc_id", "format", "width", "height")
 
 
+def _pictures(spark, sf_dir):
+    """Each document as a square PNG of black dots; two thirds have one dot that is not black."""
+
+    def draw(batches):
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [png_bytes(*row) for row in zip(batch["doc_id"], batch["n_chars"])]})
+
+    return base(spark, sf_dir, "documents").select("doc_id", "n_chars").mapInPandas(draw, "doc_id long, content binary")
+
+
+def png_bytes(doc_id: int, n_chars: int) -> bytes:
+    side = n_chars % 120
+    rows = [bytearray(1 + side) for _ in range(side)]
+    if doc_id % 3 and side:
+        rows[n_chars * 7 % side][1 + doc_id % side] = 1 + doc_id % 255
+    header = struct.pack(">IIBBBBB", side, side, 8, 0, 0, 0, 0)
+    parts = ((b"IHDR", header), (b"IDAT", zlib.compress(b"".join(rows), 1)), (b"IEND", b""))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + b"".join(chunk(*part) for part in parts)
+
+
+def visible_assets(spark, sf_dir):
+    sized = assets.with_picture_header(_pictures(spark, sf_dir))
+    return assets.valid_assets(sized).select("doc_id", "format", "width", "height")
+
+
 def sniff_format(spark, sf_dir):
     magic = F.array(F.lit(b"PK\x03\x04"), F.lit(bytes.fromhex("D0CF11E0A1B11AE1")), F.lit(b""))
     marker = F.when(F.col("doc_id") % 2 == 0, F.lit(b"Word.Document.8")).otherwise(F.lit(b""))
@@ -454,7 +487,7 @@ QUERIES = {f.__name__: f for f in (
     section_terms, section_relationships,
     doc_hashes, history_upsert, related_contexts, dangling_edges,
     merge_rule_a, merge_rule_b, merge_sources_b, merge_nested_a, merge_nested_b, merge_configs,
-    request_rows, request_documents, request_rows_pairs, attach_responses, resolved_configs, answer_problems, processing_summary,
+    request_rows, request_documents, request_rows_pairs, attach_responses, resolved_configs, answer_problems, processing_summary, quarantine,
     validate_config, validate_config_odd_schema, empty_config_gate, typed_rows, server_rows, document_types,
-    asset_dedupe, asset_fields, asset_filter, sniff_format, docx_text, docx_media,
+    asset_dedupe, asset_fields, asset_filter, visible_assets, sniff_format, docx_text, docx_media,
 )}

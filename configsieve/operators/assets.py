@@ -6,6 +6,7 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..constants import (
     WORD_MARKERS,
     ZIP_MAGIC,
 )
-from ..functions.pictures import picture_header
+from ..functions.pictures import picture_header, shows_something
 from ..plans.lineage import settled
 
 
@@ -90,6 +91,22 @@ def is_valid_asset(width: Column, height: Column, min_size: int = MIN_IMAGE_SIZE
     return F.coalesce((width >= min_size) & (height >= min_size), F.lit(False))
 
 
+def is_visible(content: Column) -> Column:
+    """Whether a picture is not blank: a PNG with any sample but zero, or a picture of another format."""
+
+    @F.arrow_udf("boolean")
+    def visible(contents: pa.Array) -> pa.Array:
+        return pa.array([shows_something(c.as_py()) for c in contents], pa.bool_())
+
+    return visible(content)
+
+
+def valid_assets(assets: DataFrame, min_size: int = MIN_IMAGE_SIZE) -> DataFrame:
+    """The pictures (``content, width, height``) that are large enough and not blank; small ones are not unpacked."""
+    large = assets.where(is_valid_asset(F.col("width"), F.col("height"), min_size))
+    return large.where(is_visible(F.col("content")))
+
+
 def has_pixels(data: Column) -> Column:
     """Whether decoded pixel data (the ``image`` source's) is not all zero."""
     blank = F.lpad(F.lit(b""), F.length(data), F.lit(b"\x00"))

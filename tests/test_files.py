@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from configsieve.functions.docx import docx_media, docx_text
-from configsieve.functions.pictures import picture_header
+from configsieve.functions.pictures import picture_header, shows_something
 from configsieve.operators import assets, summary
 from configsieve.plans.extract import process_directory
 from configsieve.sinks import results
@@ -336,3 +336,53 @@ def test_the_result_map_is_computed_once(spark, tmp_path):
     parts = sorted((tmp_path / "map").glob("part-*"))
     assert json.loads("".join(p.read_text() for p in parts)) == {f"p{n}": n for n in range(50)}
     assert computed.value == 50
+
+
+def drawn(width, height, bits, colour, rows, interlaced=0, cut=None):
+    """A PNG with given row data (filter bytes included)."""
+    packed = zlib.compress(b"".join(rows))[:cut]
+    header = struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, interlaced)
+    parts = [(b"IHDR", header), (b"tEXt", b"a note"), (b"IDAT", packed[:5]), (b"IDAT", packed[5:]), (b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in parts)
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_blank_pictures(kind):
+    blank = bytes([kind])
+    assert not shows_something(drawn(60, 50, 8, 2, [blank + bytes(180)] * 50))
+    assert shows_something(drawn(60, 50, 8, 2, [blank + bytes(180)] * 49 + [blank + bytes(179) + b"\x01"]))
+    assert not shows_something(drawn(50, 50, 1, 0, [blank + bytes(7)] * 50))
+    assert shows_something(drawn(50, 50, 16, 6, [blank + bytes(400)] * 10 + [blank + bytes(7) + b"\x80" + bytes(392)] + [blank + bytes(400)] * 39))
+    passes = [blank + bytes(1)] * 1 + [blank + bytes(1)] + [blank + bytes(2)] + [blank + bytes(2)] * 2 + [blank + bytes(4)] * 2 + [blank + bytes(4)] * 4 + [blank + bytes(8)] * 4
+    assert not shows_something(drawn(8, 8, 8, 0, passes, interlaced=1))
+    assert shows_something(drawn(8, 8, 8, 0, [*passes[:-1], blank + bytes(7) + b"\x01"], interlaced=1))
+
+
+def test_large_broken_and_other_pictures():
+    large = drawn(4000, 4000, 8, 2, [bytes(12001)] * 3999 + [bytes(12000) + b"\x01"])
+    assert len(large) < 100_000 and shows_something(large)
+    assert not shows_something(drawn(60, 60, 8, 0, [bytes(61)] * 60, cut=8))
+    assert not shows_something(b"\x89PNG\r\n\x1a\n") and not shows_something(None)
+    assert shows_something(jpeg(60, 60)) and not shows_something(png(60, 60, 0)) and shows_something(png(60, 60))
+
+
+def test_errors_are_written_with_the_results(spark, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(len(batch))
+            yield batch
+
+    errors = {"p0": [], "p1": ["Missing required property 'a' at $", "Expected string at $.b, got int"], "p2": ["no decoder for pdf"], "p3": ["Answer 2: not an object"]}
+    rows = [(p, "failed" if p == "p2" else "read", None if p == "p2" else "{}", e) for p, e in errors.items()]
+    frame = spark.createDataFrame(rows, "path string, status string, text string, errors array<string>").mapInPandas(
+        count, "path string, status string, text string, errors array<string>")
+    done = frame.select("path", "status", F.try_parse_json("text").alias("config"), "errors")
+    results.write_with_quarantine(done, str(tmp_path / "out"))
+    assert computed.value == 4
+    found = sorted((r.path, r.kind, r.error) for r in results.read_quarantine(spark, str(tmp_path / "out")).collect())
+    assert found == [("p1", "missing_property", errors["p1"][0]), ("p1", "wrong_type", errors["p1"][1]),
+                     ("p2", "unreadable", errors["p2"][0]), ("p3", "lost_answer", errors["p3"][0])]
+    kept = spark.read.parquet(str(tmp_path / "out")).where("kind = 'none'").select("path", "config").collect()
+    assert sorted(map(tuple, kept)) == [("p0", "{}"), ("p1", "{}"), ("p2", None), ("p3", "{}")]
