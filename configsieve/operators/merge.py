@@ -24,7 +24,8 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LOOPBACK_VALUES, MERGE_DEFAULTS
@@ -111,20 +112,20 @@ def fragment_leaves(text: str | None) -> list[tuple[str, str, str | None]]:
     return [("", INVALID, TOO_DEEP)] if depth_of(value) > MAX_DEPTH else list(leaves_of(value))
 
 
-def flatten_fragments(fragments: DataFrame, text_column: str = "response", skipped: bool = False) -> DataFrame:
+def flatten_fragments(fragments: DataFrame, text_column: str = "response", skipped: bool = False, label: str = "Answer") -> DataFrame:
     """Leaves of JSON texts ``(doc_id, ord, <text_column>)``.
 
     Unparsable and missing texts yield none, or with ``skipped`` one each that
-    :func:`merge_leaves` counts.
+    :func:`merge_leaves` counts.  ``label`` and ``ord`` name a text in messages.
     """
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (doc_id, ord_, *leaf)
+                (doc_id, ord_, path, vtype, f"{label} {ord_}: {value}" if vtype == INVALID else value)
                 for doc_id, ord_, text in zip(batch["doc_id"], batch["ord"], batch["text"])
-                for leaf in fragment_leaves(text)
-                if skipped or leaf[1] not in SKIPPED_PATHS
+                for path, vtype, value in fragment_leaves(text)
+                if skipped or vtype not in SKIPPED_PATHS
             ]
             yield pd.DataFrame(rows, columns=LEAF_COLUMNS)
 
@@ -158,7 +159,8 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
         F.min_by("value", text_key).alias("text"),
         # A filled object sorts before an empty one.
         F.min(F.when(vtype == OBJECT, value)).alias("object"),
-        F.count_if(vtype.isin(*SKIPPED_PATHS)).alias("skipped"),
+        # Counts of an earlier merge add up.
+        F.sum(F.when(vtype.isin(*SKIPPED_PATHS), F.coalesce(value.try_cast("long"), F.lit(1)))).alias("skipped"),
         F.min(F.when(vtype == INVALID, F.struct("ord", "value"))).alias("invalid"),
     )
     first = F.col("first")
@@ -168,7 +170,7 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
     return decided.select(
         "doc_id", "path", first["vtype"].alias("vtype"),
         F.when(F.col("skipped") > 0, F.col("skipped").cast("string"))
-        .when(F.col("invalid").isNotNull(), F.concat(F.lit("Answer "), F.col("invalid.ord"), F.lit(": "), F.col("invalid.value")))
+        .when(F.col("invalid").isNotNull(), F.col("invalid.value"))
         .when(yields, F.coalesce("text", first["value"]))
         .when(first["vtype"] == OBJECT, F.col("object"))
         .otherwise(first["value"]).alias("value"),
@@ -179,13 +181,26 @@ def merge_leaves(leaves: DataFrame, rule: str = "A") -> DataFrame:
 def drop_shadowed(winners: DataFrame) -> DataFrame:
     """Without the paths below one where an object lost, and without ``lost``.
 
-    One window per document over its merged paths, which are one output value
-    anyway: the winners are computed once.
+    Sorted by its parts, a path comes right before all that lies below it, so
+    one look at each row in turn is enough, however many paths a document has.
     """
-    lost = F.collect_list(F.when(F.col("lost") & (F.col("path") != ""), F.col("path")))
-    marked = winners.withColumn("_lost", lost.over(Window.partitionBy("doc_id")))
-    below = F.exists("_lost", lambda path: F.startswith(F.col("path"), F.concat(path, F.lit("/"))))
-    return marked.where(~below).drop("_lost", "lost")
+    columns = [c for c in winners.columns if c != "lost"]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, covered = None, None
+        for batch in batches:
+            stays = []
+            for doc_id, path, lost in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "path", "lost")), strict=True):
+                if doc_id != document:
+                    document, covered = doc_id, None
+                below = covered is not None and path.startswith(covered)
+                stays.append(not below)
+                if lost and path and not below:
+                    covered = path + "/"
+            yield batch.filter(pa.array(stays, pa.bool_())).select(columns)
+
+    dealt = winners.repartition("doc_id").sortWithinPartitions("doc_id", F.split("path", "/"))
+    return dealt.mapInArrow(keep, winners.select(*columns).schema)
 
 
 def merge_sources(sources: Sequence[DataFrame], rule: str = "B") -> DataFrame:
@@ -217,7 +232,17 @@ def merge_answers(fragments: DataFrame, rule: str = "A", text_column: str = "res
     ``doc_id, config`` (VARIANT), ``problems`` (messages about lost answers),
     ``used`` (whether any answer parsed), ``unusable_answers``, ``missing_answers``.
     """
-    merged = assemble(merge_leaves(flatten_fragments(fragments, text_column, skipped=True), rule))
+    return answers_of(merge_leaves(flatten_fragments(fragments, text_column, skipped=True), rule))
+
+
+def merge_answers_and_pictures(fragments: DataFrame, pictures: DataFrame, rule: str = "B", text_column: str = "response") -> DataFrame:
+    """As :func:`merge_answers`, with what was read from a document's pictures merged under what was read from its text."""
+    sources = [flatten_fragments(fragments, text_column, skipped=True), flatten_fragments(pictures, text_column, skipped=True, label="Picture")]
+    return answers_of(merge_sources(sources, rule))
+
+
+def answers_of(winners: DataFrame) -> DataFrame:
+    merged = assemble(winners)
     config = F.try_parse_json("config_text")
     too_large = F.when(F.col("config_text").isNotNull() & F.col("config").isNull(), F.lit("The configuration is too large for a VARIANT"))
     kept = merged.select("doc_id", config.alias("config"), "config_text", "problem", "used", "unusable_answers", "missing_answers")

@@ -22,7 +22,7 @@ TEXT_TYPES = ("text", "json", "yaml")
 LENGTH_LIMIT = "spark.sql.sources.binaryFile.maxLength"
 
 DOCX_TEXT_SCHEMA = "path string, text string, status string, error string"
-MEDIA_SCHEMA = "path string, member string, content binary"
+MEDIA_SCHEMA = "path string, member string, place int, content binary"
 
 
 def doc_type(path: Column, types: Mapping[str, str] = DOC_TYPES) -> Column:
@@ -211,20 +211,22 @@ MEDIA_BATCH = 8 << 20
 
 
 def explode_docx_media(files: DataFrame) -> DataFrame:
-    """Embedded pictures of DOCX files: ``path, member, name, content, format, width, height``."""
+    """Embedded pictures of DOCX files: ``path, member, place, content, format, width, height, name``."""
+
+    columns = ["path", "member", "place", "content"]
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
         for batch in batches:
             for path, archive in zip(batch["path"], batch["content"]):
                 # Pictures are unpacked one at a time: together they may be far larger than the files.
-                for member, content in docx_media(archive):
+                for place, (member, content) in enumerate(docx_media(archive)):
                     if rows and held + len(content) > MEDIA_BATCH:
-                        yield pd.DataFrame(rows, columns=["path", "member", "content"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows, held = [], 0
-                    rows.append((path, member, content))
+                    rows.append((path, member, place, content))
                     held += len(content)
-        yield pd.DataFrame(rows, columns=["path", "member", "content"])
+        yield pd.DataFrame(rows, columns=columns)
 
     packed = files.where(F.col("doc_type") == "docx").select("path", "content")
     media = with_picture_header(packed.mapInPandas(explode, MEDIA_SCHEMA))

@@ -386,3 +386,21 @@ def test_errors_are_written_with_the_results(spark, tmp_path):
                      ("p2", "unreadable", errors["p2"][0]), ("p3", "lost_answer", errors["p3"][0])]
     kept = spark.read.parquet(str(tmp_path / "out")).where("kind = 'none'").select("path", "config").collect()
     assert sorted(map(tuple, kept)) == [("p0", "{}"), ("p1", "{}"), ("p2", None), ("p3", "{}")]
+
+
+def test_pictures_end_to_end(spark, directory):
+    """A picture's answer fills what the text leaves open; equal and small pictures ask once or not at all."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def look(requests):
+        def count(batches):
+            for batch in batches:
+                asked.add(len(batch))
+                yield batch
+        said = F.when(F.startswith("image_url", F.lit("data:image/jpeg;base64,")), F.lit('{"host": "from-picture", "seen": true}'))
+        return requests.select("doc_id", "chunk_id", said.alias("response")).mapInPandas(count, "doc_id string, chunk_id int, response string")
+
+    done = process_directory(spark, directory, answer, spark.createDataFrame([], HISTORY_SCHEMA), SCHEMA, answer_pictures=look)
+    found = {name(r["path"]): r["c"] for r in done.select("path", F.to_json("config").alias("c")).collect()}
+    assert found["c.docx"] == '{"host":"héllo","seen":true}' and found["a.txt"] == '{"host":"db1.example.org"}'
+    assert asked.value == 2
