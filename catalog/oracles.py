@@ -452,6 +452,12 @@ def oracle_sql() -> dict[str, str]:
             'reference' AS type, CAST(0.8 AS DOUBLE) AS confidence FROM t a JOIN t b
             ON a.doc_id = b.doc_id AND a.term = b.term AND a.id <> b.id""",
         "doc_hashes": "SELECT doc_id, sha256(text) AS doc_hash FROM documents",
+        "history_store": f"SELECT * FROM {HISTORY}",
+        "result_rows": f"SELECT path, coalesce(config, 'null') AS config FROM {resolved_sql()}",
+        "result_map": f"SELECT path, coalesce(config, 'null') AS config FROM {resolved_sql()}",
+        "files_read": """SELECT source, 'text' AS doc_type, 'read' AS status, CAST(NULL AS VARCHAR) AS error,
+            CAST(length(t) AS INTEGER) AS length, md5(t) AS text_md5
+            FROM (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source)""",
         "history_upsert": f"SELECT * FROM {HISTORY}",
         "related_contexts": f"SELECT * FROM {RELATED.replace('{docs}', 'documents')}",
         "dangling_edges": dangling_sql(),
@@ -485,6 +491,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, status, unnest(string_split(errors, '; ')) AS error FROM {resolved_sql()}) WHERE error <> ''""",
         "answer_problems": answer_problems_sql(),
         "validate_config": f"SELECT cfg_id, is_valid, errors FROM {validated(['tenantId', 'enableMonitoring', 'userId'])}",
+        "validate_loaded_schema": f"SELECT cfg_id, is_valid, errors FROM {validated(['tenantId', 'enableMonitoring', 'userId'])}",
         "validate_config_odd_schema": f"""SELECT cfg_id, false AS is_valid, concat_ws('; ', 'Invalid schema at $.port: schema must be an object',
             CASE WHEN json_type(config, '$.tenantId') IS NULL THEN 'Missing required property ''tenantId'' at $' END,
             CASE WHEN json_type(config, '$.tenantId') IS NOT NULL THEN 'Unsupported type ''[''string'', ''null'']'' at $.tenantId' END,

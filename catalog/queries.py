@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import json
 import struct
+import uuid
 import zipfile
 import zlib
 from xml.sax.saxutils import escape
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 from configsieve.functions.text import doc_hash, heading, section_type
 from configsieve.operators import assets, history, merge, requests, sections, settings, summary, validate
 from configsieve.plans.extract import resolve_documents
+from configsieve.plans.lineage import shared_folder
+from configsieve.sinks import history as store
 from configsieve.sinks import results
-from configsieve.sources.control import load_responses
-from configsieve.sources.files import doc_type, explode_docx_media, read_docx
+from configsieve.sources.control import load_responses, load_schema
+from configsieve.sources.files import doc_type, explode_docx_media, read_documents, read_docx
 
 from .tables import base, derived
 
@@ -191,6 +195,16 @@ def history_upsert(spark, sf_dir):
     return _history(spark, sf_dir)
 
 
+def history_store(spark, sf_dir):
+    """Two stores with a compaction between them, written and read back."""
+    place = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    store.create_tables(spark, place)
+    store.store_contexts(spark, place, _stored(spark, sf_dir, 7919, "docs/"))
+    store.compact_history(spark, place)
+    store.store_contexts(spark, place, _stored(spark, sf_dir, 104729, "inbox/"))
+    return store.read_history(spark, place)
+
+
 def related_contexts(spark, sf_dir):
     docs = base(spark, sf_dir, "documents").select("doc_id", "text")
     related = history.related_contexts(docs, _history(spark, sf_dir))
@@ -321,6 +335,23 @@ def quarantine(spark, sf_dir):
     return results.error_rows(_results(spark, sf_dir), "doc_id")
 
 
+def result_rows(spark, sf_dir):
+    """Results written as JSON lines and read back."""
+    place = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    results.write_results(_results(spark, sf_dir), place)
+    return spark.read.schema("path string, config variant").json(place).select("path", F.to_json("config").alias("config"))
+
+
+def result_map(spark, sf_dir):
+    """Results written as one JSON object in parts, and its members read back."""
+    place = f"{shared_folder(spark)}/map-{uuid.uuid4().hex}"
+    results.write_result_map(_results(spark, sf_dir), place)
+    lines = spark.read.text(place).where(~F.col("value").isin("{", "}"))
+    member = F.parse_json(F.concat(F.lit("{"), F.substring("value", 3, 2**31 - 1), F.lit("}")))
+    name = F.get(F.json_object_keys(F.to_json(member)), F.lit(0))
+    return lines.select(name.alias("path"), F.regexp_extract("value", r'^..".*?": (.*)$', 1).alias("config"))
+
+
 # --- validation -------------------------------------------------------------
 
 def _validated(spark, sf_dir):
@@ -332,6 +363,15 @@ def validate_config(spark, sf_dir):
     return _validated(spark, sf_dir).select("cfg_id", "is_valid", F.array_join("errors", "; ").alias("errors"))
 
 
+def validate_loaded_schema(spark, sf_dir):
+    """The configurations against a schema read from a file, below a member of it."""
+    place = f"{shared_folder(spark)}/schema-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps({"configSchema": CONFIG_SCHEMA}),)], "value string").write.text(place)
+    configs = derived(spark, sf_dir, "configs").select("cfg_id", F.try_parse_json("config").alias("config"))
+    checked = validate.validate(configs, load_schema(place, "configSchema", spark))
+    return checked.select("cfg_id", "is_valid", F.array_join("errors", "; ").alias("errors"))
+
+
 def validate_config_odd_schema(spark, sf_dir):
     configs = derived(spark, sf_dir, "configs").select("cfg_id", F.try_parse_json("config").alias("config"))
     checked = validate.validate(configs, ODD_SCHEMA)
@@ -440,6 +480,17 @@ def sniff_format(spark, sf_dir):
     return assets.sniff_format(files).select("doc_id", "path", "format")
 
 
+def files_read(spark, sf_dir):
+    """The documents of each source as one text file, found and read back."""
+    place = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    docs = base(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    dealt = docs.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id")
+    dealt.write.partitionBy("source").text(place)
+    return read_documents(spark, place).select(
+        F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "doc_type", "status", "error",
+        F.length("text").alias("length"), F.md5("text").alias("text_md5"))
+
+
 def _docx_files(spark, sf_dir):
     """Each document as a DOCX: lines as paragraphs, a table, the text's bytes as a picture."""
 
@@ -485,9 +536,9 @@ QUERIES = {f.__name__: f for f in (
     first_pass_summary, first_pass_summary_notes, json_settings, json_event_props, yaml_settings, candidates,
     chunks_fixed, chunks_recursive, section_types, section_headings, config_sections, sections_recursive,
     section_terms, section_relationships,
-    doc_hashes, history_upsert, related_contexts, dangling_edges,
+    doc_hashes, history_upsert, history_store, related_contexts, dangling_edges,
     merge_rule_a, merge_rule_b, merge_sources_b, merge_nested_a, merge_nested_b, merge_configs,
-    request_rows, request_documents, request_rows_pairs, attach_responses, resolved_configs, answer_problems, processing_summary, quarantine,
-    validate_config, validate_config_odd_schema, empty_config_gate, typed_rows, server_rows, document_types,
-    asset_dedupe, asset_fields, asset_filter, visible_assets, sniff_format, docx_text, docx_media,
+    request_rows, request_documents, request_rows_pairs, attach_responses, resolved_configs, answer_problems, processing_summary, quarantine, result_rows, result_map,
+    validate_config, validate_loaded_schema, validate_config_odd_schema, empty_config_gate, typed_rows, server_rows, document_types,
+    files_read, asset_dedupe, asset_fields, asset_filter, visible_assets, sniff_format, docx_text, docx_media,
 )}

@@ -191,6 +191,16 @@ def test_load_schema(tmp_path):
             control.load_schema(str(bad))
 
 
+def test_load_schema_through_spark(spark, tmp_path):
+    path = tmp_path / "schema.json"
+    path.write_text(json.dumps({"configSchema": SCHEMA}, indent=2))
+    assert control.load_schema(f"file://{path}", "configSchema", spark) == SCHEMA
+    path.write_text("{")
+    for bad in (f"file://{path}", f"file://{tmp_path}/absent.json"):
+        with pytest.raises(ValueError, match="Invalid schema file"):
+            control.load_schema(bad, None, spark)
+
+
 def answer(requests):
     """Stands in for the answering service: the host named in the chunk."""
     host = F.regexp_extract("text", r'host = "?([^"\s]+)', 1)
