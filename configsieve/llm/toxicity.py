@@ -40,8 +40,9 @@ from configsieve.llm.storage import settled
 from configsieve.llm.token_counts import Cache
 
 THRESHOLD = 0.5
-#: Terms with parameters, at most.
+#: Terms with parameters, at most; and pairs of each side whose words get some of their own.
 MOST_TERMS = 1 << 16
+MOST_PAIRS = 1 << 15
 LEAST_DOCS = 3
 LEAST_Z = 4.0
 #: The same for a pair of words; there are many more pairs to be clear by chance.
@@ -131,20 +132,47 @@ def separating_terms(training: DataFrame, toxic: int, other: int) -> list[int]:
     return [r[0] for r in found.orderBy(F.desc("z"), "term").limit(MOST_TERMS).select("term").collect()]
 
 
-def word_pairs(text: str | None) -> Iterator[np.ndarray]:
-    """The pairs of different words of a text, each once, as two hashes in 64 bits; in pieces."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """The different words of a text, as hashes in order."""
     words = {w for w in (word.strip(EDGES) for word in words_of(text)) if w}
-    hashes = np.unique(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64))
+    return np.unique(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64))
+
+
+def word_pairs(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """The pairs of different words, each once, as two hashes in 64 bits; in pieces."""
     for k in range(len(hashes) - 1):
         yield (hashes[k] << np.uint64(32) | hashes[k + 1 :]).view(np.int64)
 
 
+def frequent_words(found: DataFrame) -> dict[int, np.ndarray]:
+    """By label, the hashes of the words in at least LEAST_DOCS of its wrong texts, in order.
+
+    A pair is in no more texts than either of its words, so no pair that counts
+    has another word.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, text in zip(batch.column(0), batch.column(1), strict=True):
+                words = word_hashes(text.as_py()).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), label.as_py(), np.int32)), pa.array(words)], names=["label", "word"])
+
+    words = found.where("wrong").select("label", "text").mapInArrow(split, "label int, word long")
+    counted = words.groupBy("label", "word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    out: dict[int, list[int]] = {0: [], 1: []}
+    for label, word in counted.select("label", "word").collect():
+        out[label].append(word)
+    return {label: np.array(sorted(words), np.uint64) for label, words in out.items()}
+
+
 def separating_pairs(found: DataFrame, wrong: dict[int, int], right: dict[int, int]) -> list[int]:
     """The words, as terms, of pairs that separate wrong texts from others of the other label.
 
     `found` has label, wrong and text; `wrong` and `right` count its rows by label.
     """
 
+    frequent = frequent_words(found)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bool], list[np.ndarray]] = {}
 
@@ -160,8 +188,10 @@ def separating_pairs(found: DataFrame, wrong: dict[int, int], right: dict[int, i
         size = 0
         for batch in batches:
             for label, bad, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-                for piece in word_pairs(text.as_py()):
-                    held.setdefault((label.as_py(), bad.as_py()), []).append(piece)
+                label, bad = label.as_py(), bad.as_py()
+                side = frequent[label if bad else 1 - label]
+                for piece in word_pairs(np.intersect1d(word_hashes(text.as_py()), side, assume_unique=True)):
+                    held.setdefault((label, bad), []).append(piece)
                     size += len(piece)
                     if size > HELD_PAIRS:
                         yield from rows()
@@ -179,7 +209,7 @@ def separating_pairs(found: DataFrame, wrong: dict[int, int], right: dict[int, i
         z = (F.col("bad") / bad - F.col("good") / good) / F.sqrt(share * (1 - share) * F.lit(1 / bad + 1 / good))
         own = counted.where((F.col("side") == side) & (F.col("bad") >= LEAST_DOCS)).where(share < 1)
         own = own.withColumn("z", z).where(F.col("z") >= LEAST_PAIR_Z)
-        for (pair,) in own.orderBy(F.desc("z"), "pair").limit(MOST_TERMS).select("pair").collect():
+        for (pair,) in own.orderBy(F.desc("z"), "pair").limit(MOST_PAIRS).select("pair").collect():
             words.update(dict.fromkeys(((pair >> 32 & 0xFFFFFFFF) * LEVELS, (pair & 0xFFFFFFFF) * LEVELS)))
     return list(words)
 
@@ -274,7 +304,8 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
     terms = separating_terms(training, toxic, other)
     machine = averaged(training, terms, bias)
     together = [t for t in wrong_words(training, machine) if t not in set(terms)]
-    return averaged(training, (terms + together)[:MOST_TERMS], bias) if together else machine
+    # Words of pairs come on top: the terms that separate by themselves never take their place.
+    return averaged(training, terms + together, bias) if together else machine
 
 
 def wrong_words(training: DataFrame, machine: Machine) -> list[int]:

@@ -107,3 +107,28 @@ def test_odd_documents(spark, odd_documents, no_documents, values):
         assert all(0 <= r.score <= 1 and r.held_out is not None for r in found)
     assert toxicity.without_toxic(odd_documents, machine).columns == odd_documents.columns
     assert toxicity.scored(no_documents, machine).count() == quality.quality_scores(no_documents, labels).count() == 0
+
+
+def test_only_pairs_of_frequent_words_are_made(spark):
+    """A text of 20,000 words of its own makes no pairs beyond those that can count."""
+    own = [f"w{n}" for n in range(20_000)]
+    rows = [(k, 1, True, f"insult group other{k}") for k in range(6)] + [(6, 1, True, " ".join(own) + " insult group")]
+    rows += [(10 + k, 0, False, ("insult " if k % 2 else "group ") + " ".join(own)) for k in range(8)]
+    found = spark.createDataFrame(rows, "doc_id long, label int, wrong boolean, text string")
+    frequent = toxicity.frequent_words(found)
+    assert {k: len(v) for k, v in frequent.items()} == {0: 0, 1: 2}
+    words = toxicity.separating_pairs(found, {1: 7, 0: 0}, {0: 8, 1: 0})
+    assert sorted(w // toxicity.LEVELS for w in words) == sorted(zlib.crc32(w) for w in (b"insult", b"group")) or words == []
+
+
+def test_terms_never_take_the_place_of_pairs(spark, monkeypatch):
+    """The screen of single terms fills its table; the interaction is learnt all the same."""
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 4)
+    calls = []
+    monkeypatch.setattr(toxicity, "averaged", lambda training, terms, bias: calls.append(list(terms)) or toxicity.Machine.fresh(terms, bias))
+    monkeypatch.setattr(toxicity, "separating_terms", lambda *_: [1, 2, 3, 4])
+    monkeypatch.setattr(toxicity, "wrong_words", lambda *_: [4, 5, 6])
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    toxicity.fitted(docs, labels)
+    assert calls == [[1, 2, 3, 4], [1, 2, 3, 4, 5, 6]]
