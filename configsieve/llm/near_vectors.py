@@ -7,9 +7,12 @@ until the target share of their links is found.  A beam that ends full of
 links is widened for its vector alone, so a vector may have any number of links.
 What is found counts if its cosine in double precision is high enough.
 
-Searches connect vectors, and a pair may be found from one side only.  Links are
-therefore counted afterwards, exactly, among all vectors of a component, in pairs
-of blocks; they leave a task as one row per vector, not as pairs.
+A pair may be found from one side only and counts for both ends: what a search
+found leaves it as pairs, which are then made distinct.  A vector with a full beam
+of links in a shard is wide: its links are not written out.  They are counted
+exactly within its component, in pairs of blocks, and leave a task as one row per
+vector.  So pairs are at most a beam per vector and shard, and all pairs are only
+compared where one of the two is wide.
 
 Edge cases: null vectors, zero vectors and vectors with null or non-finite
 components link with nothing; equal vectors are searched for once and count as
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from configsieve.llm.components import components, joined_roots
@@ -37,14 +40,19 @@ LEAST_COSINE = 0.9
 #: Shards at least, and vectors of a shard, about.
 SHARDS = 6
 SHARD_ROWS = 65_536
+#: Bytes of a shard's vectors, about: long vectors make more shards.
+SHARD_BYTES = 64 << 20
 #: Vectors that one task searches a shard for, about.
 SEARCH_ROWS = 32_768
 BEAM = 16
 AUDITED = 256
 RECALL = 0.99
-#: Vectors of a block at least, and how its size grows with the root of the component's.
+#: Vectors of a block at least, how its size grows with the root of the component's, and bytes at most.
 BLOCK = 256
 BLOCK_GROWTH = 8
+BLOCK_BYTES = 16 << 20
+#: Tasks of a search at most.
+TASKS = 100_000
 #: What single precision may be off by.
 SLACK = 1e-4
 
@@ -69,7 +77,15 @@ def vector_rows(vectors: DataFrame) -> DataFrame:
     return out.withColumn("node", F.when(F.col("unit").isNotNull(), F.xxhash64("unit")))
 
 
-def built(nodes: DataFrame) -> DataFrame:
+def dealt_evenly(rows: DataFrame, number: Column, tasks: int) -> DataFrame:
+    """Rows of the same `number` and length in one task, numbers one after the other.
+
+    By hash, some tasks would get several shards and others none.
+    """
+    return rows.repartitionById(tasks, F.pmod(number + F.xxhash64("length"), F.lit(tasks)).cast("int"))
+
+
+def built(nodes: DataFrame, shards: int) -> DataFrame:
     """One row per shard: the graph, its vectors and the beam that passed the audit."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +104,7 @@ def built(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*keys, raw], names=["length", "shard", "index"])
 
     rows = nodes.select("length", "shard", "node", "copies", "unit")
-    dealt = rows.repartition("length", "shard").sortWithinPartitions("length", "shard", "node")
+    dealt = dealt_evenly(rows, F.col("shard"), shards).sortWithinPartitions("length", "shard", "node")
     return dealt.mapInArrow(build, "length long, shard long, index binary")
 
 
@@ -129,7 +145,7 @@ def mean_recall(graph: SmallWorld, queries: np.ndarray, true: np.ndarray, beam:
 
 
 def searched(nodes: DataFrame, indexes: DataFrame, parts: int, shards: int) -> DataFrame:
-    """node and root (a node it is connected to, maybe itself): a row per shard and vector with links there.
+    """node, root (a node it is connected to) and kind of each find: see `found_links`.
 
     Each shard is searched by `parts` tasks, and each task gets the shard's
     index before the vectors to search for.
@@ -141,7 +157,9 @@ def searched(nodes: DataFrame, indexes: DataFrame, parts: int, shards: int) -> D
     rows = nodes.select("length", part.alias("part"), F.lit(1).alias("kind"), "node", F.col("unit").alias("index"), all_shards.alias("shard"))
     keys = ["length", "shard", "part"]
     columns = [*keys, "kind", "node", "index"]
-    dealt = one.select(*columns).unionByName(rows.select(*columns)).repartition(*keys).sortWithinPartitions(*keys, "kind")
+    both = one.select(*columns).unionByName(rows.select(*columns))
+    number = F.col("shard") * parts + F.col("part")
+    dealt = dealt_evenly(both, number, min(shards * parts, TASKS)).sortWithinPartitions(*keys, "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, index, graph = None, None, None
@@ -159,10 +177,15 @@ def searched(nodes: DataFrame, indexes: DataFrame, parts: int, shards: int) -> D
                     unit = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(len(raw), -1)
                     yield found_links(graph, index, batch.column(4).slice(lo, hi - lo).to_numpy(), unit)
 
-    return dealt.mapInArrow(search, "node long, root long")
+    return dealt.mapInArrow(search, "node long, root long, kind int")
+
+
+#: Kinds of finds: a node connected to another, a linked pair, a node that is wide.
+CONNECTED, PAIR, WIDE = range(3)
 
 
 def found_links(graph: SmallWorld, index: dict, node: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
+    """What the shard holds for each vector: its pairs, or, for wide ones, what connects them and a row that says so."""
     row, at = graph.within(unit.astype(np.float32), LEAST_COSINE - SLACK, index["beam"])
     good = np.zeros(len(row), bool)
     for lo in range(0, len(row), 1 << 16):
@@ -170,10 +193,17 @@ def found_links(graph: SmallWorld, index: dict, node: np.ndarray, unit: np.ndarr
         good[k] = (unit[row[k]] * index["unit"][at[k]]).sum(1) >= LEAST_COSINE
     good &= node[row] != index["node"][at]
     row, at = row[good], at[good]
-    # Numbers for the vectors searched for and the shard's own that they link to.
-    names, number = np.unique(np.concatenate([node[row], index["node"][at]]), return_inverse=True)
-    roots = names[joined_roots(len(names), number[: len(row)], number[len(row) :])] if len(row) else names
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(roots, pa.int64())], names=["node", "root"])
+    wide = np.bincount(row, minlength=len(node)) >= BEAM
+    many = wide[row]
+    one, two = node[row], index["node"][at]
+    # Numbers for the wide vectors and the shard's own that they link to.
+    names, number = np.unique(np.concatenate([one[many], two[many]]), return_inverse=True)
+    half = len(number) // 2
+    roots = names[joined_roots(len(names), number[:half], number[half:])] if half else names
+    left, right = [names, one[~many], node[wide]], [roots, two[~many], node[wide]]
+    kinds = np.repeat([CONNECTED, PAIR, WIDE], [len(part) for part in left])
+    columns = [pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64()), pa.array(kinds, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "root", "kind"])
 
 
 def linked(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -187,13 +217,18 @@ def linked(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
+def blocks(m: Column) -> Column:
+    """How many blocks `m` vectors (column `unit`) of a component are cut into."""
+    most = F.greatest(F.floor(F.lit(BLOCK_BYTES) / F.octet_length("unit")), F.lit(1))
+    return F.ceil(m / F.least(F.greatest(F.lit(BLOCK), BLOCK_GROWTH * F.sqrt(m)), most))
+
+
 def exact_links(nodes: DataFrame, joined: DataFrame) -> DataFrame:
     """node and links (vectors of other nodes of its component): a row per pair of blocks that a node is in."""
     sizes = joined.groupBy("component").agg(F.count("*").alias("m"))
     rows = nodes.select("node", "copies", "unit").join(joined.join(sizes, "component"), "node")
-    block = F.greatest(F.lit(BLOCK), BLOCK_GROWTH * F.sqrt("m"))
     keys = ["component", "one", "two"]
-    dealt = block_pairs(rows, F.ceil(F.col("m") / block)).select(*keys, "own", "node", "copies", "unit")
+    dealt = block_pairs(rows, blocks(F.col("m"))).select(*keys, "own", "node", "copies", "unit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, len(keys)):
@@ -215,19 +250,65 @@ def exact_links(nodes: DataFrame, joined: DataFrame) -> DataFrame:
     return dealt.mapInArrow(count, "node long, links long")
 
 
+def cross_links(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """node and links between wide and other nodes of a component (`members`: node, component, wide), for both ends."""
+    sizes = members.groupBy("component").agg(F.count_if("wide").alias("n_wide"), F.count_if(~F.col("wide")).alias("n_other"))
+    sizes = sizes.where("n_wide > 0 AND n_other > 0")
+    rows = nodes.select("node", "copies", "unit").join(members.join(sizes, "component"), "node")
+    mine, theirs = ("n_wide", "n_other"), ("n_other", "n_wide")
+    own, other = (F.when(F.col("wide"), blocks(F.col(x))).otherwise(blocks(F.col(y))) for x, y in (mine, theirs))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), own))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
+    one, two = (F.when(F.col("wide"), x).otherwise(y) for x, y in ((F.col("own"), F.col("other")), (F.col("other"), F.col("own"))))
+    keys = ["component", "one", "two"]
+    dealt = rows.withColumn("one", one).withColumn("two", two).select(*keys, "wide", "node", "copies", "unit")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, len(keys)):
+            start, wide = bounds(batch, len(keys)), np.array(batch.column("wide").to_pylist(), bool)
+            copies, raw = batch.column("copies").to_numpy(), batch.column("unit")
+            links = np.zeros(len(batch), np.int64)
+            for lo, hi in zip(start, start[1:]):
+                unit = np.frombuffer(b"".join(raw.slice(lo, hi - lo).to_pylist()), np.float64).reshape(hi - lo, -1)
+                own, others = np.flatnonzero(wide[lo:hi]), np.flatnonzero(~wide[lo:hi])
+                for at in range(0, len(own), BLOCK):
+                    few = own[at : at + BLOCK]
+                    near = linked(unit[few], unit[others])
+                    links[lo + few] = near @ copies[lo + others]
+                    links[lo + others] += copies[lo + few] @ near
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(links)], names=["node", "links"])
+
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(count, "node long, links long")
+
+
+def pair_links(nodes: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
+    """node and links of the found pairs of nodes that are not wide, each pair once for both ends."""
+    pairs = found.where(F.col("kind") == PAIR).select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")).distinct()
+    narrow = nodes.select("node", "copies").join(members.where("NOT wide").select("node"), "node")
+    for side in ("a", "b"):
+        pairs = pairs.join(narrow.select(F.col("node").alias(side), F.col("copies").alias(f"{side}_copies")), side)
+    ends = F.array(*(F.struct(F.col(x).alias("node"), F.col(f"{y}_copies").alias("links")) for x, y in ("ab", "ba")))
+    return pairs.select(F.inline(ends))
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     rows = settled(vector_rows(vectors), "vectors")
     nodes = rows.where("node IS NOT NULL").groupBy("node", "unit").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     nodes = settled(nodes.withColumn("length", F.octet_length("unit").cast("long")), "vector-nodes")
-    n = nodes.count()
-    shards, parts = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // SEARCH_ROWS))
+    n, size = nodes.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    shards, parts = max(SHARDS, -(-n // SHARD_ROWS), -(-size // SHARD_BYTES)), max(1, -(-n // SEARCH_ROWS))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit("shard")), F.lit(shards)))
-    indexes = settled(built(nodes), "vector-graphs")
+    indexes = settled(built(nodes, shards), "vector-graphs")
     found = settled(searched(nodes, indexes, parts, shards), "vector-links")
-    joined = settled(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector-components")
-    links = exact_links(nodes, joined).groupBy("node").agg(F.sum("links").alias("links"))
-    of = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(joined, "node", "left")
+    wide = found.where(F.col("kind") == WIDE).select("node", F.lit(True).alias("wide")).distinct()
+    members = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(wide, "node", "left")
+    members = settled(members.withColumn("wide", F.coalesce("wide", F.lit(False))), "vector-components")
+    links = exact_links(nodes, members.where("wide").select("node", "component"))
+    links = links.unionByName(cross_links(nodes, members)).unionByName(pair_links(nodes, found, members))
+    links = links.groupBy("node").agg(F.sum("links").alias("links"))
+    of = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(members.drop("wide"), "node", "left")
     of = of.withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of = of.join(least, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

@@ -135,3 +135,40 @@ def test_links_found_from_one_side_count_for_both(spark, monkeypatch):
     np.fill_diagonal(near, False)
     want = dict(zip(index["node"].tolist(), (near @ index["copies"]).tolist()))
     assert {r.node: r.links for r in links.collect()} == {n: w for n, w in want.items() if w}
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_wide_vectors_and_those_at_their_edge(spark, monkeypatch, block):
+    """Clouds in which some vectors have a full beam of links and others few, chains of vectors, and copies of both."""
+    monkeypatch.setattr(near_vectors, "BLOCK", block)
+    monkeypatch.setattr(near_vectors, "BLOCK_GROWTH", 1)
+    rng = np.random.default_rng(21)
+    vectors = list(rng.normal(size=(150, 12)))
+    for n in (150, 90):
+        center, spread = rng.normal(size=12), rng.uniform(0.05, 0.6, (n, 1))
+        vectors += list(center + spread * rng.normal(size=(n, 12)))
+    angle = np.arange(60) * 0.3
+    vectors += [np.concatenate([[np.cos(a / 6), np.sin(a / 6)], np.zeros(10)]) for a in angle]
+    vectors += [vectors[160]] * 5 + [vectors[-1]] * 3
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    want = brute(rows)
+    links = [n for _, n, _, _ in want]
+    assert any(0 < n < 16 for n in links) and any(n > 40 for n in links)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(near_vectors.near_duplicates(frame)) == want
+
+
+def test_long_vectors_make_more_shards(spark, monkeypatch):
+    """No graph holds more bytes than about SHARD_BYTES, and blocks are bounded by bytes too."""
+    monkeypatch.setattr(near_vectors, "SHARD_BYTES", 40 * 512 * 8)
+    monkeypatch.setattr(near_vectors, "BLOCK_BYTES", 10 * 512 * 8)
+    used = []
+    whole = near_vectors.built
+    monkeypatch.setattr(near_vectors, "built", lambda nodes, shards: used.append(shards) or whole(nodes, shards))
+    rng = np.random.default_rng(22)
+    vectors = rng.normal(size=(500, 512))
+    vectors[400:] = vectors[0] + 0.1 * rng.normal(size=(100, 512))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(near_vectors.near_duplicates(frame)) == brute(rows)
+    assert used == [13]
