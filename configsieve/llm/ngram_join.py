@@ -21,8 +21,8 @@ counted per node there and never written out as pairs.
 
 Edge cases: a text with fewer than five words is one window of all its words;
 null texts and texts without words link with nothing; equal texts link; equal
-rows count as documents of their own; a document without an id is compared as a
-copy only; an empty table gives an empty result; other columns are ignored by `joined` and
+rows count as documents of their own; a document without an id is compared like
+the others, and its class id is null where no document of the class has one; an empty table gives an empty result; other columns are ignored by `joined` and
 pass through `one_of_each`.
 """
 
@@ -57,7 +57,10 @@ BLOCK = 1024
 BLOCK_WINDOWS = 1_000_000
 DEPTH = 4
 RUNS = 12
+#: Nodes that an audit draws at first, and at most where few of them have partners.
 AUDITED = 256
+MOST_AUDITED = 4096
+PARTNERED = 32
 RECALL = 0.99
 SEED = 0x5EED
 
@@ -120,7 +123,7 @@ def node_of(own: np.ndarray) -> int:
 
 
 def document_nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n (windows) and tokens of every document; node is null without words."""
+    """doc_id, text_hash, node, n (windows) and tokens of every document; node is null without words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Cache(word_hash).__getitem__
@@ -132,12 +135,13 @@ def document_nodes(docs: DataFrame) -> DataFrame:
                 sizes.append(len(own))
                 tokens.append(sampled_tokens(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())],
-                names=["doc_id", "node", "n", "tokens"],
+                [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())],
+                names=["doc_id", "text_hash", "node", "n", "tokens"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return rows.mapInArrow(make, "doc_id long, node long, n long, tokens binary")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(make, "doc_id long, text_hash long, node long, n long, tokens binary")
 
 
 def tokens_of(column: pa.Array, kind: type) -> np.ndarray:
@@ -375,10 +379,24 @@ def run_links(nodes: DataFrame, runs: range) -> DataFrame:
 
 
 def audited_recall(nodes: DataFrame, connected: DataFrame) -> float:
-    """Of the pairs of AUDITED nodes with any node that agree in the share SIMILAR of tokens, the share connected."""
-    audited = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDITED).select("node", "tokens").collect()
-    if not audited:
-        return 1.0
+    """The share of its partners that a drawn node is connected to, on average over those that have any.
+
+    Partners agree in the share SIMILAR of tokens.  More nodes are drawn where
+    few have partners, up to MOST_AUDITED.
+    """
+    size = AUDITED
+    while True:
+        recall, partnered = audit(nodes, connected, size)
+        if partnered >= PARTNERED or size >= MOST_AUDITED:
+            return recall
+        size *= 4
+
+
+def audit(nodes: DataFrame, connected: DataFrame, size: int) -> tuple[float, int]:
+    """The average recall of `size` drawn nodes, and how many of them have partners."""
+    audited = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(size).select("node", "tokens").collect()
+    if len(audited) < 2:
+        return 1.0, PARTNERED
     own = np.array([r["node"] for r in audited], np.int64)
     tokens = np.frombuffer(b"".join(r["tokens"] for r in audited), np.uint32).reshape(-1, TOKENS)
     least = int(np.ceil(SIMILAR[0] / SIMILAR[1] * TOKENS))
@@ -398,8 +416,9 @@ def audited_recall(nodes: DataFrame, connected: DataFrame) -> float:
     for side in ("a", "b"):
         part = connected.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
         pairs = pairs.join(part, side, "left")
-    found, n = pairs.agg(F.count_if(F.col("a_in") == F.col("b_in")), F.count("*")).first()
-    return found / n if n else 1.0
+    each = pairs.groupBy("a").agg(F.avg(F.coalesce(F.col("a_in") == F.col("b_in"), F.lit(False)).cast("int")).alias("found"))
+    recall, n = each.agg(F.avg("found"), F.count("*")).first()
+    return (recall if n else 1.0), n
 
 
 def candidate_sets(nodes: DataFrame) -> DataFrame:
@@ -457,11 +476,17 @@ def exact_links(nodes: DataFrame, connected: DataFrame, docs: DataFrame) -> Data
     A node has a row per block pair it was compared in; `root` is a node it is
     connected to there, maybe itself.
     """
-    sizes = nodes.select("node", "first_id", "copies", "n").join(connected, "node")
+    sizes = nodes.select("node", "first_id", "text_hash", "copies", "n").join(connected, "node")
     totals = sizes.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     members = sizes.join(totals, "component").drop("n")
     text = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
-    rows = members.join(text, "first_id").select("component", "m", "total", "node", "copies", "text")
+    columns = ["component", "m", "total", "node", "copies", "text"]
+    rows = members.join(text, "first_id").select(*columns)
+    # Nodes that no document with an id has are fetched by their text; copies of it are put together first.
+    nameless = members.where("first_id IS NULL").drop("first_id")
+    texts = text.where("first_id IS NULL").select("text", F.xxhash64("text").alias("text_hash"))
+    texts = texts.join(nameless.select("text_hash"), "text_hash", "left_semi").distinct()
+    rows = rows.unionByName(nameless.join(texts, "text_hash").select(*columns))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Cache(word_hash).__getitem__
@@ -507,11 +532,12 @@ def exact_links(nodes: DataFrame, connected: DataFrame, docs: DataFrame) -> Data
     return dealt.mapInArrow(check, "node long, links long, root long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_links and class_id (the smallest id among all documents reachable by links) of every row."""
+def node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node of every row; node, component, class_id, n_links of every node)."""
     rows = settled(document_nodes(docs), "ngram-rows")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens")
+        F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash"), F.count("*").alias("copies"),
+        F.first("n").alias("n"), F.first("tokens").alias("tokens"),
     )
     nodes = settled(nodes, "ngram-nodes")
     found = settled(exact_links(nodes, candidate_sets(nodes), docs), "ngram-links")
@@ -520,8 +546,16 @@ def classes(docs: DataFrame) -> DataFrame:
     of = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(linked, "node", "left")
     of = of.withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    of = of.join(least, "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    own = rows.select("doc_id", "node")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    return rows.select("doc_id", "text_hash", "node"), of.join(least, "component").select("node", "component", "class_id", n_links)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_links and class_id (the smallest id among all documents reachable by links) of every row."""
+    return row_classes(*node_classes(docs))
+
+
+def row_classes(own: DataFrame, of: DataFrame) -> DataFrame:
     some = own.where("node IS NOT NULL").join(of, "node").select("doc_id", "n_links", "class_id")
     none = own.where("node IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
     return some.unionByName(none)
@@ -530,16 +564,23 @@ def classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay when one document of each class does: that with the smallest id.
 
-    Of equal rows one stays.  Documents without words all stay, and those
-    without an id once per text: nothing could name the one that stays.
+    Of equal rows one stays.  A document without an id stays only where no
+    document of its class has one, and then one document per class.  Documents
+    without words all stay.
     """
-    keep = classes(docs).where(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias("_kept"))
+    own, of = node_classes(docs)
+    of = settled(of, "ngram-of")
+    keep = row_classes(own, of).where(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias("_kept"))
     keep = settled(keep.agg(F.count("*").alias("_rows")), "ngram-kept")
     blank = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
     full = docs.where(~blank & F.col("doc_id").isNotNull())
-    same = full["doc_id"].cast("long") == F.col("_kept")
+    same = full["doc_id"].cast("long") == keep["_kept"]
     single = full.join(keep.where("_rows = 1"), same, "left_semi")
     # Only ids that occur again, which is rare, have their texts compared.
     again = full.join(keep.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    nameless = docs.where(~blank & F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return single.unionByName(again).unionByName(nameless).unionByName(docs.where(blank)).select(*docs.columns)
+    # The same for classes of nothing but documents without an id: the smallest node's smallest text.
+    first = of.where("class_id IS NULL").groupBy("component").agg(F.min("node").alias("node"))
+    first = own.where("doc_id IS NULL").join(first, "node").groupBy("node").agg(F.min("text_hash").alias("_hash"))
+    nameless = docs.where(~blank & F.col("doc_id").isNull())
+    nameless = nameless.join(first.select("_hash"), F.xxhash64(nameless["text"].cast("string")) == first["_hash"], "left_semi")
+    return single.unionByName(again).unionByName(nameless.dropDuplicates(["text"])).unionByName(docs.where(blank)).select(*docs.columns)

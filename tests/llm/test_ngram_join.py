@@ -142,3 +142,38 @@ def test_components(spark):
     frame = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in components(frame).collect()}
     assert got == {x: nodes[roots[k]] for x, k in place.items()}
+
+
+def test_documents_without_an_id_are_of_classes(spark):
+    """Exact and near copies without ids, beside documents with one and among themselves; texts that differ in blanks only."""
+    body = [f"v{k}" for k in range(80)]
+    other, third = [f"o{k}" for k in range(80)], [f"p{k}" for k in range(80)]
+    near = lambda words, tail: " ".join([*words[:-1], tail])
+    rows = [(4, " ".join(body)), (None, " ".join(body)), (None, near(body, "x")), (2, near(body, "y"))]
+    rows += [(None, " ".join(other)), (None, " ".join(other)), (None, near(other, "x")), (None, "  ".join(other))]
+    rows += [(None, " ".join(third)), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _hash int")
+    kept = sorted(((r.doc_id, tuple((r.text or "").split())) for r in ngram_join.one_of_each(docs).collect()), key=str)
+    assert [i for i, _ in kept if i is not None] == [2]
+    without = [t for i, t in kept if i is None]
+    assert len(without) == 4 and without.count(()) == 2 and tuple(third) in without
+    assert sum(t[:-1] == tuple(other)[:-1] for t in without) == 1
+    links = Counter((r.doc_id, r.n_links, r.class_id) for r in ngram_join.classes(docs).collect())
+    assert links == Counter([(4, 3, 2), (None, 3, 2), (None, 3, 2), (2, 3, 2), *[(None, 3, None)] * 4, *[(None, 0, None)] * 3])
+
+
+def test_audit_draws_until_enough_nodes_have_partners(spark, monkeypatch):
+    """A tenth of the nodes have a partner, and none of them is connected: one group of connected copies hides nothing."""
+    monkeypatch.setattr(ngram_join, "AUDITED", 32)
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(0, 1 << 32, (1200, ngram_join.TOKENS), dtype=np.uint64).astype(np.uint32)
+    tokens[1080:1140] = tokens[1140:]
+    tokens[:20] = tokens[0]
+    nodes = spark.createDataFrame([(k, t.tobytes()) for k, t in enumerate(tokens)], "node long, tokens binary")
+    connected = spark.createDataFrame([(k, 0) for k in range(20)], "node long, component long")
+    drawn, once = [], ngram_join.audit
+    monkeypatch.setattr(ngram_join, "audit", lambda n, c, size: drawn.append(size) or once(n, c, size))
+    assert ngram_join.audited_recall(nodes, connected) < 0.5
+    assert len(drawn) > 1
+    both = connected.unionByName(spark.createDataFrame([(k, 1080 + k % 60) for k in range(1080, 1200)], "node long, component long"))
+    assert ngram_join.audited_recall(nodes, both) == 1.0
