@@ -52,9 +52,11 @@ NEAR = 0.5
 LEAVE = 0.75
 #: Nodes of a bucket that are compared by brute force; and of a block.
 LEAF = 256
-BLOCK = 1024
+BLOCK = 512
 #: Windows of a block.
-BLOCK_WINDOWS = 1_000_000
+BLOCK_WINDOWS = 500_000
+#: Hashes of words that a task keeps, twice over at most.
+HASHES = 50_000
 DEPTH = 4
 RUNS = 12
 #: Nodes that an audit draws at first, and at most where few of them have partners.
@@ -126,7 +128,7 @@ def document_nodes(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, node, n (windows) and tokens of every document; node is null without words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Cache(word_hash).__getitem__
+        hashes = Cache(word_hash, HASHES).__getitem__
         for batch in batches:
             nodes, sizes, tokens = [], [], []
             for text in batch.column(1):
@@ -489,7 +491,7 @@ def exact_links(nodes: DataFrame, connected: DataFrame, docs: DataFrame) -> Data
     rows = rows.unionByName(nameless.join(texts, "text_hash").select(*columns))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Cache(word_hash).__getitem__
+        hashes = Cache(word_hash, HASHES).__getitem__
         for batch in batches:
             sets, good = [], []
             for node, text in zip(batch.column(3).to_pylist(), batch.column(5), strict=True):
