@@ -5,20 +5,24 @@ in alternation from a user turn on, at least one.  Every turn gets a legal role;
 turns may be merged into the turn before (of the same role), relabelled, or
 preceded by an empty turn.  A null or unknown role has to be replaced whatever it
 becomes, so relabelling weighs only against known roles; an empty turn before an
-assistant's is cheaper than giving a turn a role that is false.  Dynamic programming over the automaton of legal turns
-finds the cheapest repair, and the repaired conversation is rendered.
-
-A conversation may be as long as the corpus, so it is cut into chunks of turns.
-A chunk is a matrix: the least cost from each state before it to each state
-after it.  Per conversation only these small matrices are put in order; each
-chunk is then solved between the states that are on the cheapest way.  The
-result is one row per turn with its piece of the rendered text; the pieces of a
-conversation in the order of `turn` and `place` are the rendered sequence.
+assistant's is cheaper than giving a turn a role that is false.  What somebody
+else said is no answer to learn from and no rule to obey: a known role may only
+become the user's, which is always enough.
+Dynamic programming over the automaton of legal turns finds the cheapest repair,
+and the repaired conversation is rendered.
+
+A conversation may be as long as the corpus, so it is cut into chunks of rows of
+the sorted table, whatever their turn numbers.  A chunk is a matrix: the least
+cost from each state before it to each state after it.  Per conversation only
+these small matrices are put in order; each chunk is then solved between the
+states that are on the cheapest way.  The result is one row per turn with its
+piece of the rendered text; the pieces of a conversation in the order of `place`
+are the rendered sequence.
 
 Edge cases: null and unknown roles have to be relabelled; a null text is empty;
 turns of equal number are ordered by role and text; repeated rows are turns of
-their own; a null conv_id or turn counts as -1; an empty table gives an empty
-result; other columns are ignored.
+their own; null turns come first; rows without conv_id are one conversation, with
+a null conv_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +41,7 @@ ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
 MERGE, RELABEL, INSERT = 1, 4, 2
-#: A system turn alone is taken for the user's: with an empty turn after it, nothing would be asked.
-END = RELABEL + 1
+#: Rows of a chunk at most.
 CHUNK = 512
 FAR = 1 << 40
 
@@ -55,15 +58,23 @@ WAYS: dict[tuple[int, int], tuple[int, tuple[int, ...], bool]] = {
     (ASSISTANT, USER): (0, (), False),
     (ASSISTANT, ASSISTANT): (MERGE, (), True),
 }
-#: What it costs to stop in a state: after a system turn alone an empty user turn follows.
-STOP = {START: 0, SYSTEM: END, USER: 0, ASSISTANT: 0}
+#: What it costs to stop in a state.  A system turn alone is taken for the user's:
+#: with an empty turn after it, nothing would be asked.
+STOP = {START: 0, SYSTEM: FAR, USER: 0, ASSISTANT: 0}
+
+
+def relabelling(role: int, to: int) -> int:
+    """What it costs to give a turn of a role (0 where unknown) the role `to`; FAR is no way."""
+    if role == to:
+        return 0
+    return FAR if role and to != USER else RELABEL
 
 
 def step(role: int) -> np.ndarray:
     """Costs of one turn from each state to each state; `role` 0 is one that has to be relabelled."""
     out = np.full((4, 4), FAR, np.int64)
     for (state, to), (cost, _, _) in WAYS.items():
-        out[state, to] = cost + RELABEL * (to != role)
+        out[state, to] = cost + relabelling(role, to)
     return out
 
 
@@ -98,7 +109,7 @@ def states(matrices: list[np.ndarray]) -> list[int]:
     """The states between stretches on a cheapest way through all of them, from START on."""
     costs = [np.where(np.arange(4) == START, 0, FAR)]
     for matrix in matrices:
-        costs.append((costs[-1][:, None] + matrix).min(0))
+        costs.append(np.minimum((costs[-1][:, None] + matrix).min(0), FAR))
     state = int((costs[-1] + np.array([STOP[s] for s in range(4)])).argmin())
     out = [state]
     for k in range(len(matrices) - 1, -1, -1):
@@ -124,87 +135,95 @@ def rendered(turns: list[tuple[int, str]], entry: int, last: bool) -> list[tuple
     for k, (role, text) in enumerate(turns):
         _, empty, merged = WAYS[state, role]
         before = "\n" if merged else (CLOSED if state != START else "") + "".join(opened(r) + CLOSED for r in empty) + opened(role)
-        piece, state, inserted = before + text, role, len(empty)
-        if last and k == len(turns) - 1:
-            piece += CLOSED
-            if STOP[state]:
-                piece, inserted = piece + opened(USER) + CLOSED, inserted + 1
-        out.append((piece, int(merged), inserted))
+        after = CLOSED if last and k == len(turns) - 1 else ""
+        out.append((before + text + after, int(merged), len(empty)))
+        state = role
     return out
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """conv, turn, chunk, role (0 where it has to be relabelled) and text."""
+def sorted_turns(turns: DataFrame) -> DataFrame:
+    """named (whether there is a conv_id), conv, place, chunk, turn, known (the role, 0 where it has to be relabelled) and text.
+
+    The table is sorted in ranges; a place is a row's number, and a chunk what a
+    conversation has of CHUNK rows in a row.  So no chunk has more, even where all
+    turns have one number or all rows are equal.
+    """
     role = F.lit(0)
     for k, name in enumerate(ROLES, 1):
         role = F.when(F.col("role") == name, k).otherwise(role)
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
-    return turns.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(-1)).alias("conv"),
-        F.floor(turn / CHUNK).cast("long").alias("chunk"),
-        turn.alias("turn"),
-        role.alias("known"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = turns.select(
+        F.col("conv_id").isNotNull().cast("long").alias("named"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
+        F.col("turn").cast("long").alias("turn"), role.alias("known"), F.xxhash64(text).alias("h"), text.alias("text"),
+        F.monotonically_increasing_id().alias("tie"),
     )
+    order = ["named", "conv", "turn", "known", "h", "tie"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("h", "tie")
+    ranged = settled(ranged.withColumn("place", F.monotonically_increasing_id()), "chat-turns")
+    return ranged.withColumn("chunk", F.floor(F.col("place") / CHUNK).cast("long"))
+
+
+CONVERSATION = ["named", "conv"]
+KEYS = [*CONVERSATION, "chunk"]
 
 
 def chunk_states(rows: DataFrame) -> DataFrame:
-    """conv, chunk, entry and leave (states around the chunk on the cheapest way) and last (the final chunk)."""
+    """KEYS, entry and leave (states around the chunk on the cheapest way) and last (the final chunk)."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, 2):
-            start, known = bounds(batch, 2), batch.column("known").to_pylist()
+        for batch in groups(batches, len(KEYS)):
+            start, known = bounds(batch, len(KEYS)), batch.column("known").to_pylist()
             raw = [stretch(known[lo:hi]).tobytes() for lo, hi in zip(start, start[1:])]
             first = pa.array(start[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(first), batch.column(1).take(first), pa.array(raw, pa.binary())], names=["conv", "chunk", "costs"]
-            )
+            keys = [batch.column(k).take(first) for k in range(len(KEYS))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(raw, pa.binary())], names=[*KEYS, "costs"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, 1):
-            start, raw = bounds(batch, 1), batch.column("costs").to_pylist()
+        for batch in groups(batches, len(CONVERSATION)):
+            start, raw = bounds(batch, len(CONVERSATION)), batch.column("costs").to_pylist()
             entry, leave, last = [], [], []
             for lo, hi in zip(start, start[1:]):
                 way = states([np.frombuffer(x, np.int64).reshape(4, 4) for x in raw[lo:hi]])
-                entry, leave, last = entry + way[:-1], leave + way[1:], last + [False] * (hi - lo - 1) + [True]
-            columns = [batch.column(0), batch.column(1), pa.array(entry, pa.int32()), pa.array(leave, pa.int32()), pa.array(last)]
-            yield pa.RecordBatch.from_arrays(columns, names=["conv", "chunk", "entry", "leave", "last"])
+                entry += way[:-1]
+                leave += way[1:]
+                last += [False] * (hi - lo - 1) + [True]
+            columns = [pa.array(entry, pa.int32()), pa.array(leave, pa.int32()), pa.array(last, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(KEYS)], *columns], names=[*KEYS, "entry", "leave", "last"])
 
-    narrow = rows.select("conv", "chunk", "turn", "known", F.xxhash64("text").alias("h"))
-    narrow = narrow.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "turn", "known", "h")
-    costs = narrow.mapInArrow(fold, "conv long, chunk long, costs binary")
-    dealt = costs.repartition("conv").sortWithinPartitions("conv", "chunk")
-    return dealt.mapInArrow(solve, "conv long, chunk long, entry int, leave int, last boolean")
+    dealt = rows.select(*KEYS, "place", "known").repartition(*KEYS).sortWithinPartitions(*KEYS, "place")
+    costs = dealt.mapInArrow(fold, "named long, conv long, chunk long, costs binary")
+    dealt = costs.repartition(*CONVERSATION).sortWithinPartitions(*KEYS)
+    return dealt.mapInArrow(solve, "named long, conv long, chunk long, entry int, leave int, last boolean")
 
 
 FORMATTED = (
-    "conv_id long, turn long, place int, role string, relabelled boolean, merged boolean, inserted int, piece string"
+    "conv_id long, turn long, place long, role string, relabelled boolean, merged boolean, inserted int, piece string"
 )
 
 
 def formatted(turns: DataFrame) -> DataFrame:
     """One row per turn (see FORMATTED): its repaired role and its piece of the rendered conversation.
 
-    `place` orders the turns of a chunk.
+    `place` orders the turns of a conversation; it has gaps.
     """
-    rows = numbered(turns)
-    joined = rows.join(settled(chunk_states(rows), "chat-states"), ["conv", "chunk"])
+    rows = sorted_turns(turns)
+    joined = rows.join(settled(chunk_states(rows), "chat-states"), KEYS)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, 2):
-            start, known = bounds(batch, 2), batch.column("known").to_pylist()
+        for batch in groups(batches, len(KEYS)):
+            start, known = bounds(batch, len(KEYS)), batch.column("known").to_pylist()
             text, entry, leave, last = (batch.column(c).to_pylist() for c in ("text", "entry", "leave", "last"))
             out: list[tuple] = []
             for lo, hi in zip(start, start[1:]):
                 roles = assigned(known[lo:hi], entry[lo], leave[lo])
                 pieces = rendered(list(zip(roles, text[lo:hi], strict=True)), entry[lo], last[lo])
                 for k, (role, (piece, merged, inserted)) in enumerate(zip(roles, pieces, strict=True)):
-                    out.append((k, ROLES[role - 1], role != known[lo + k], bool(merged), inserted, piece))
-            kinds = (pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.string())
+                    out.append((ROLES[role - 1], role != known[lo + k], bool(merged), inserted, piece))
+            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.string())
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
             names = [field.split()[0] for field in FORMATTED.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("turn"), *columns], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "place")), *columns], names=names)
 
-    order = ["conv", "chunk", "turn", "known", "h"]
-    dealt = joined.withColumn("h", F.xxhash64("text")).repartition("conv", "chunk").sortWithinPartitions(*order)
-    return dealt.mapInArrow(render, FORMATTED)
+    conv_id = F.when(F.col("named") == 1, F.col("conv")).alias("conv_id")
+    dealt = joined.select(*KEYS, "place", conv_id, "turn", "known", "text", "entry", "leave", "last")
+    return dealt.repartition(*KEYS).sortWithinPartitions(*KEYS, "place").mapInArrow(render, FORMATTED)

@@ -18,7 +18,7 @@ def cost_of(known, roles):
     for have, to in zip(known, roles):
         if (state, to) not in chat.WAYS:
             return None
-        total += chat.WAYS[state, to][0] + chat.RELABEL * (have != to)
+        total += chat.WAYS[state, to][0] + chat.relabelling(have, to)
         state = to
     return total + chat.STOP[state]
 
@@ -27,7 +27,10 @@ def cost_of(known, roles):
 def test_no_way_is_cheaper(length):
     for known in itertools.product(range(4), repeat=length):
         way = chat.states([chat.stretch(list(known))])
-        best = cost_of(known, chat.assigned(list(known), way[0], way[1]))
+        roles = chat.assigned(list(known), way[0], way[1])
+        # What somebody else said is never called an answer, or a rule.
+        assert all(have in (0, to) for have, to in zip(known, roles) if to != chat.USER)
+        best = cost_of(known, roles)
         costs = [c for roles in itertools.product((1, 2, 3), repeat=length) if (c := cost_of(known, roles)) is not None]
         assert best == min(costs)
 
@@ -100,6 +103,7 @@ def test_odd_conversations(spark, monkeypatch, chunk):
         (["assistant"], ["user", "assistant"], 1),
         ([None, "assistant"], ["user", "assistant"], 0),
         (["bot"], ["user"], 0),
+        (["user", "bot", "user"], ["user", "assistant", "user"], 0),
     ],
 )
 def test_an_empty_turn_is_cheaper_than_a_false_role(spark, given, want, inserted):
@@ -112,3 +116,44 @@ def test_an_empty_turn_is_cheaper_than_a_false_role(spark, given, want, inserted
     known = [chat.ROLES.index(g) + 1 if g in chat.ROLES else 0 for g in given]
     costs = [c for roles in itertools.product((1, 2, 3), repeat=len(known)) if (c := cost_of(known, roles)) is not None]
     assert inserted == 0 or costs.count(min(costs)) == 1
+
+
+def test_what_the_system_says_is_no_answer(spark):
+    """Between two user turns, a system turn is merged into them."""
+    frame = spark.createDataFrame(
+        [(1, k, r, t) for k, (r, t) in enumerate([("user", "a"), ("system", "be brief"), ("user", "b"), ("assistant", "c")])],
+        "conv_id long, turn long, role string, text string",
+    )
+    assert read_back(chat.formatted(frame).collect())[1] == [("user", "a\nbe brief\nb"), ("assistant", "c")]
+
+
+@pytest.mark.parametrize("turn", ["CAST(7 AS LONG)", "CAST(NULL AS LONG)"])
+def test_turns_of_one_number_are_many_chunks(spark, monkeypatch, turn):
+    """All turns of a conversation have one number or none, a third of them equal; no chunk gets longer for it."""
+    monkeypatch.setattr(chat, "CHUNK", 16)
+    text = "IF(id % 3 = 0, 'same', concat('t', id))"
+    frame = spark.range(600).selectExpr("CAST(1 AS LONG) AS conv_id", f"{turn} AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", f"{text} AS text")
+    rows = chat.sorted_turns(frame)
+    assert max(r["count"] for r in rows.groupBy(*chat.KEYS).count().collect()) <= 16
+    out = sorted(chat.formatted(frame).collect(), key=lambda r: r.place)
+    assert len({r.place for r in out}) == 600
+    whole = "".join(r.piece for r in out)
+    turns = re.findall(r"<\|(\w+)\|>\n(.*?)<\|end\|>\n", whole, re.S)
+    # Equal numbers are ordered by role: all the user's come first, then all the assistant's.
+    assert [r for r, _ in turns] == ["user", "assistant"]
+    assert sorted(" ".join(t for _, t in turns).split()) == sorted("same" if k % 3 == 0 else f"t{k}" for k in range(600))
+
+
+def test_no_conversation_is_none_of_the_named(spark):
+    """Rows without conv_id are a conversation of their own, beside those numbered -1 and 0."""
+    frame = spark.createDataFrame(
+        [(c, t, r, f"{c} {t}") for c in (None, -1, 0) for t, r in ((None, "system"), (-1, "user"), (0, "assistant"))],
+        "conv_id long, turn long, role string, text string",
+    )
+    back = defaultdict(list)
+    for r in sorted(chat.formatted(frame).collect(), key=lambda r: r.place):
+        back[r.conv_id].append((r.turn, r.role, r.piece))
+    assert set(back) == {None, -1, 0}
+    for conv, rows in back.items():
+        assert [r[:2] for r in rows] == [(None, "system"), (-1, "user"), (0, "assistant")]
+        assert rows[-1][2] == f"<|end|>\n<|assistant|>\n{conv} 0<|end|>\n"
