@@ -3,12 +3,17 @@
 A record's slot is a hash of the record and never changes.  Bytes are summed
 per slot, and slots are given to shards by size, so shard sizes come out near
 equal.  The map (one row per slot, thousands in all) is stored in versions;
-rebalancing edits it, moving as few slots as it can, and moves no record whose
-slot stays.
+rebalancing reads the newest one, edits it for the bytes and the number of shards
+there are now, moving as few slots as it can, and stores it as the next.  No
+record moves whose slot stays.
+
+Groups of equal texts are not kept together: a slot goes by id and text, so the
+law is that of `bytes` alone, and a text with thousands of copies fills no shard.
 
 Edge cases: a null text has no bytes and the checksum of an empty text; equal
 rows share a slot and get places of their own; an empty table gives an empty
-result; other columns are ignored.
+result, and leaves a stored map as it is but for shards that are gone; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,3 +145,27 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
     path = map_path or new_path(spark, "slot-map")
     write_map(spark, path, first_map({s: size for s, (size, _) in loads.items()}, shards, slots), 0)
     return placed(rows, loads, read_map(spark, path, 0))
+
+
+def newest_version(spark: SparkSession, path: str) -> int:
+    """The number of the last stored map."""
+    maps = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    return maps.agg(F.max("version")).first()[0]
+
+
+def reshard_documents(docs: DataFrame, map_path: str, shards: int = SHARDS) -> DataFrame:
+    """Place all documents by the newest map under `map_path`, edited for their bytes and for `shards`.
+
+    The edited map is stored as the next version; one that another job has stored
+    meanwhile is not overwritten, and this job fails.  `previous_shard` is where a
+    record's slot was before; it differs from `shard` for the records that move.
+    """
+    spark = docs.sparkSession
+    version = newest_version(spark, map_path)
+    before = read_map(spark, map_path, version)
+    current = {r["virtual_slot"]: r["shard"] for r in before.collect()}  # one row per slot
+    rows = settled(slotted(docs, len(current)), "slotted")
+    loads = slot_loads(rows)
+    write_map(spark, map_path, rebalanced(current, {s: size for s, (size, _) in loads.items()}, shards), version + 1)
+    out = placed(rows, loads, read_map(spark, map_path, version + 1))
+    return out.join(F.broadcast(before.withColumnRenamed("shard", "previous_shard")), "virtual_slot")
