@@ -132,3 +132,95 @@ def test_terms_never_take_the_place_of_pairs(spark, monkeypatch):
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
     toxicity.fitted(docs, labels)
     assert calls == [[1, 2, 3, 4], [1, 2, 3, 4, 5, 6]]
+
+
+def test_quality_fit_by_hand(spark):
+    """Sums over partitions against one least-squares fit of all rows; calibration against its minimax form."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    rows = quality.settled(quality.descriptions(docs), "test-descriptions")
+    model = quality.fitted(rows, labels)
+    picked = labelled.with_labels(rows, labelled.fit_labels(labels, "quality")).collect()
+    assert picked and not any(held_out(r.doc_id) for r in picked)
+    x, y = np.array([r.x for r in picked], float), np.array([r.label for r in picked], float)
+    fold = np.array([r.fold for r in picked])
+    assert np.allclose(model.fourier.mean, x.mean(0)) and np.allclose(model.fourier.spread, np.where(x.std(0) > 1e-9, x.std(0), 1), atol=1e-5)
+    z = model.fourier(x)
+    penalty = np.sqrt(np.append(np.full(z.shape[1] - 1, quality.RIDGE / 10), 1e-6))
+
+    def ridge(own):
+        """The least squares of the rows and the penalty's rows, without normal equations."""
+        return np.linalg.lstsq(np.vstack([z[own], np.diag(penalty)]), np.concatenate([y[own], np.zeros(len(penalty))]), rcond=None)[0]
+
+    weights = ridge(np.ones(len(y), bool))
+    assert np.allclose(z @ model.weights, z @ weights, atol=1e-6)
+    out_of_fold = np.empty(len(y))
+    for k in range(quality.FOLDS):
+        out_of_fold[fold == k] = z[fold == k] @ ridge(fold != k)
+    at = np.rint(quality.bin_of(out_of_fold)).astype(int)
+    used = np.unique(at)
+    n, good = (np.array([f(at == b) for b in used], float) for f in (np.sum, lambda own: y[own].sum()))
+    n, good = np.concatenate([[0], n.cumsum()]), np.concatenate([[0], good.cumsum()])
+    # The isotonic value at k: the largest, over starts before k, of the least mean up to an end after k.
+    least = [[min((good[j] - good[i]) / (n[j] - n[i]) for j in range(k + 1, len(n))) for i in range(k + 1)] for k in range(len(used))]
+    isotonic = np.array([max(own) for own in least])
+    blocks = [used[isotonic == v] for v in np.unique(isotonic)]
+    centres = [np.average(b, weights=[(at == q).sum() for q in b]) for b in blocks]
+    assert np.allclose(model.shares, np.unique(isotonic), atol=1e-9) and np.allclose(model.bins, centres, atol=1e-6)
+    scores = {r.doc_id: r.score for r in quality.scored(rows, model).collect()}
+    want = np.interp(quality.bin_of(z @ weights), centres, np.unique(isotonic))
+    assert np.allclose([scores[r.doc_id] for r in picked], want, atol=1e-3)
+
+
+def naive_margin(machine, active):
+    """Every pair of active terms by itself."""
+    pairs = sum(float(machine.factors[i] @ machine.factors[j]) for a, i in enumerate(active) for j in active[:a])
+    return machine.bias + sum(machine.weights[i] for i in active) + pairs
+
+
+def test_margins_by_hand():
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine(list(range(40)), -0.7, rng.normal(size=40), rng.normal(size=(40, toxicity.FACTORS)))
+    for n in (0, 1, 2, 7, 40):
+        active = rng.choice(40, n, replace=False)
+        margin = naive_margin(machine, active)
+        assert machine.margin(active) == pytest.approx(margin)
+        assert machine.score(active) == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_a_step_goes_down_the_loss(monkeypatch, label):
+    """One step against the slopes of the loss, by differences."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    rng = np.random.default_rng(label)
+    machine = toxicity.Machine(list(range(6)), 0.2, rng.normal(0, 0.5, 6), rng.normal(0, 0.5, (6, toxicity.FACTORS)))
+    active = np.array([0, 2, 5])
+    start = np.concatenate([[machine.bias], machine.weights, machine.factors.ravel()])
+
+    def loss(flat):
+        own = toxicity.Machine(machine.terms, flat[0], flat[1:7], flat[7:].reshape(6, -1))
+        used = np.concatenate([own.weights[active], own.factors[active].ravel()])
+        return np.log1p(np.exp((1 - 2 * label) * naive_margin(own, active))) + toxicity.DECAY / 2 * (used**2).sum()
+
+    slopes = np.array([(loss(start + h) - loss(start - h)) / 2e-6 for h in np.eye(len(start)) * 1e-6])
+    rates = np.where(np.arange(len(start)) < 7, toxicity.RATE, toxicity.RATE / 3)
+    new = toxicity.stepped(machine, [(label, active)], 0)
+    got = np.concatenate([[new.bias], new.weights, new.factors.ravel()])
+    assert np.allclose(got, start - rates * slopes / np.sqrt(1 + slopes**2), atol=1e-6)
+    rest = [1, 3, 4]
+    assert (new.weights[rest] == machine.weights[rest]).all() and (new.factors[rest] == machine.factors[rest]).all()
+
+
+def test_scores_of_texts_by_hand(spark, odd_documents):
+    """The terms of a text, told apart by how often it has them, and its margin, all by themselves."""
+    rng = np.random.default_rng(8)
+    vocabulary = sorted({t for word in ("w1", "one", "go", "same", "line") for t in toxicity.word_terms(word)})
+    terms = [t * toxicity.LEVELS + level for t in vocabulary for level in range(toxicity.LEVELS)]
+    machine = toxicity.Machine(terms, 0.1, rng.normal(size=len(terms)), rng.normal(0, 0.3, (len(terms), toxicity.FACTORS)))
+    number = {t: k for k, t in enumerate(terms)}
+    want = Counter()
+    for d in odd_documents.collect():
+        times = Counter(t for word in (d.text or "").lower().split() for t in toxicity.word_terms(word))
+        active = [number[t * toxicity.LEVELS + level] for t in vocabulary for level in range(min(times[t], toxicity.LEVELS))]
+        score = 1 / (1 + np.exp(-np.clip(naive_margin(machine, active), -30, 30)))
+        want[d.doc_id, round(float(score), 9)] += 1
+    assert Counter((r.doc_id, round(r.score, 9)) for r in toxicity.scored(odd_documents, machine).collect()) == want

@@ -1,12 +1,14 @@
 """Mixtures against their targets, and the permutations behind them."""
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from configsieve.llm import mixing
+from configsieve.llm import mixing, queries
+from tests.llm.test_sharding import spark_hash
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -93,3 +95,75 @@ def test_odd_documents(odd_documents, no_documents):
     assert sum(words(r.text) for r in mixed.collect()) == sum(r["taken"] for r in rows)
     assert mixing.taken_words(mixing.mix(no_documents)).count() == 0
     assert mixing.mixed_documents(no_documents).count() == 0
+
+
+def naive_targets(sizes):
+    """The level at which min(weight * level, twice the size) adds up to the share of all, by bisection."""
+    weight, due = [(5, 2, 1)[k % 3] for k in range(len(sizes))], 1.5 * sum(sizes)
+    lo, hi = 0.0, 2.0 * max(sizes) + 1
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(w * mid, 2 * s) for w, s in zip(weight, sizes)) < due else (lo, mid)
+    return [min(w * hi, 2.0 * s) for w, s in zip(weight, sizes)]
+
+
+def naive_mixture(docs):
+    """By hand: source -> (size, target), and (doc_id, pass) -> the word numbers taken.
+
+    The words of a source stand in a row; blocks are drawn pass by pass until the
+    target is reached, and the last one is cut there.
+    """
+    by_source = defaultdict(list)
+    for d in docs:
+        by_source[d.source].append((d.doc_id, words(d.text)))
+    names = sorted(by_source, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(n for _, n in by_source[name]) for name in names]
+    known, taken = {}, defaultdict(list)
+    for number, (name, size, target) in enumerate(zip(names, sizes, naive_targets(sizes))):
+        known[name] = (size, target)
+        buckets = math.ceil(len(by_source[name]) / mixing.ORDER_ROWS)
+        keys = {i: spark_hash(i, (mixing.SEED,)) for i, _ in by_source[name]}
+        stream = [(i, k) for i, n in sorted(by_source[name], key=lambda x: (keys[x[0]] % buckets, keys[x[0]])) for k in range(n)]
+        blocks = [stream[k : k + mixing.BLOCK] for k in range(0, size, mixing.BLOCK)]
+        left, draw = round(target), 0
+        while left:
+            turn, index = divmod(draw, len(blocks))
+            block = blocks[int(mixing.permutation(number, len(blocks), turn).index(np.array([index]))[0])][:left]
+            for i, k in block:
+                taken[i, turn].append(k)
+            left, draw = left - len(block), draw + 1
+    return known, taken
+
+
+@pytest.mark.parametrize("order_rows", [mixing.ORDER_ROWS, 7])
+def test_the_registered_query_by_hand(spark, monkeypatch, order_rows):
+    monkeypatch.setattr(mixing, "ORDER_ROWS", order_rows)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    assert len({d.doc_id for d in docs}) == len(docs)
+    known, taken = naive_mixture(docs)
+    sums = Counter()
+    for (i, _), own in taken.items():
+        sums[i] += len(own)
+    rows = {r.doc_id: r for r in queries.op7_mixing(spark, SF_DIR).collect()}
+    assert len(rows) == len(docs)
+    for d in docs:
+        r, (size, target) = rows[d.doc_id], known[d.source]
+        assert (r["size"], r.source_size, r.taken) == (words(d.text), size, sums[d.doc_id])
+        assert r.target == pytest.approx(target, rel=1e-9)
+
+
+def test_mixed_texts_by_hand(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    texts = {d.doc_id: d.text for d in docs.collect()}
+    _, taken = naive_mixture(docs.collect())
+    want = Counter()
+    for (i, _), own in taken.items():
+        spans, runs = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[i])], []
+        for k in sorted(own):
+            if runs and runs[-1][1] == k - 1:
+                runs[-1][1] = k
+            else:
+                runs.append([k, k])
+        whole = runs == [[0, len(spans) - 1]]
+        want[i, texts[i] if whole else " ".join(texts[i][spans[a][0] : spans[b][1]] for a, b in runs)] += 1
+    assert Counter((r.doc_id, r.text) for r in mixing.mixed_documents(docs).collect()) == want

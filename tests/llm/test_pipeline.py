@@ -9,7 +9,7 @@ import corpus_pipeline
 from configsieve.llm import rules
 from configsieve.llm.oracles import ORACLES
 from configsieve.llm.queries import QUERIES
-from configsieve.llm.storage import settled
+from configsieve.llm.storage import settled, table
 from tests.llm.test_mixing import words
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_packing import check_packed
@@ -69,3 +69,39 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     assert difference(spark, connect(SF_DIR), name, QUERIES[name], ORACLES[name], SF_DIR) is None
+
+
+def stored(frame, folder):
+    """A folder with this table of documents and the small labels."""
+    frame.write.parquet(f"{folder}/documents.parquet")
+    frame.sparkSession.read.parquet(f"{SF_DIR}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return f"file://{folder}"
+
+
+def test_odd_documents(spark, tmp_path, odd_documents):
+    """Null ids and texts, repeated rows, long texts and extra columns go through all stages."""
+    folder = stored(odd_documents, tmp_path)
+    docs = table(spark, folder, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = settled(stage(spark, docs, folder), "test-odd")
+        assert out.columns == odd_documents.columns, name
+        if name != "mixing sources to target weights":
+            assert not texts(out) - texts(docs), name
+        docs = out
+    assert corpus_pipeline.run(spark, folder).count() == corpus_pipeline.pack(spark, docs, folder).count()
+
+
+def test_stages_take_odd_documents_alone(spark, odd_documents):
+    """Each stage by itself, on everything the stages before would have dropped."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd_documents, SF_DIR)
+        assert out.columns == odd_documents.columns and out.count() > 0, name
+    check_packed(corpus_pipeline.pack(spark, odd_documents, SF_DIR).collect(), [(d.doc_id, d.text) for d in odd_documents.collect()])
+
+
+def test_no_documents(spark, tmp_path, no_documents):
+    folder = stored(no_documents, tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table(spark, folder, "documents"), folder)
+        assert (out.columns, out.count()) == (no_documents.columns, 0), name
+    assert corpus_pipeline.run(spark, folder).count() == 0
