@@ -2,6 +2,12 @@
 
 Each stage takes the documents that the one before has kept, written as Parquet
 and read again.  All but the last return the columns of `documents`.
+
+Edge cases: rows with a null id go through like others; null and empty texts fall
+to the quality rules; of equal rows and near copies one stays, a named one if
+there is any; a null source is a source of its own; very long texts are taken
+whole; columns beyond those of `documents` are carried along, whatever their
+names; an empty table gives empty tables.
 """
 
 from __future__ import annotations
