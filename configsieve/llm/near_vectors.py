@@ -17,8 +17,9 @@ compared where one of the two is wide.
 Edge cases: null vectors, zero vectors and vectors with null or non-finite
 components link with nothing; equal vectors are searched for once and count as
 links of each other; vectors of different lengths never link; repeated rows
-count as vectors of their own; an empty table gives an empty result; other
-columns are ignored.
+count as vectors of their own; vectors without vec_id link like others, their
+component has the least id there is, or null, and they are kept where it is null;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

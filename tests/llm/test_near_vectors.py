@@ -58,6 +58,17 @@ def test_groups_of_copies_and_odd_vectors(spark, monkeypatch, shard_rows):
     assert near_vectors.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_vectors_without_id(spark):
+    """They link and count like others; a component is named by the least id that there is, if any."""
+    one, near, two, alone = ([1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0])
+    rows = [(None, one), (7, near), (4, one), (None, two), (None, two), (None, None), (9, alone)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(near_vectors.near_duplicates(frame)) == Counter([
+        (None, 2, 4, False), (7, 2, 4, False), (4, 2, 4, True),
+        (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (9, 0, 9, True),
+    ])
+
+
 def test_graph_finds_neighbours_and_full_beams_widen():
     rng = np.random.default_rng(2)
     unit = np.vstack([rng.normal(size=(1500, 24)), rng.normal(size=24) + 0.03 * rng.normal(size=(500, 24))])
