@@ -24,11 +24,17 @@ OPENING_LINE = rf"[A-Za-z0-9_]:[{PY_SPACE}]*\n"
 
 BLOCKS_TYPE = "array<struct<json: string, context: string>>"
 
+# Lines of ``name:`` or ``name: words`` that are not deep: what both of PyYAML's
+# parsers read alike.  The one in C is several times faster, but differs on
+# nesting beyond Python's recursion limit and on some odd characters.
+PLAIN_BLOCK = re.compile(r"\n*(?: {0,64}[A-Za-z_][A-Za-z0-9_]{0,99}:(?: {1,9}[A-Za-z0-9][A-Za-z0-9_./ -]*)?\n)+")
+FAST_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
 
 def parse_block(block: str):
     """The mapping a block spells out, or None."""
     try:
-        value = yaml.safe_load(block)
+        value = yaml.load(block, FAST_LOADER if PLAIN_BLOCK.fullmatch(block) else yaml.SafeLoader)
     except (yaml.YAMLError, ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None

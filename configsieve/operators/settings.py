@@ -53,12 +53,8 @@ def extract_settings(docs: DataFrame, patterns: Sequence[SettingPattern] = SETTI
         check_pattern(pattern.regex)
     parts = [_regex_part(i, p, context, width) for i, p in enumerate(patterns)]
     hits = _located(docs, parts, context, width, scanned=_scanned(patterns))
-    return hits.select(
-        "doc_id", "pattern_ord", "match_ord", "type",
-        _per_type(patterns, _key).alias("key"),
-        _per_type(patterns, _value).alias("value"),
-        "context",
-    )
+    read = _read_once(_per_type(patterns, _key).alias("key"), _per_type(patterns, _value).alias("value"))
+    return hits.select("doc_id", "pattern_ord", "match_ord", "type", read, "context")
 
 
 def extract_json(docs: DataFrame, width: int = CONTEXT_CHARS) -> DataFrame:
@@ -66,7 +62,7 @@ def extract_json(docs: DataFrame, width: int = CONTEXT_CHARS) -> DataFrame:
     hits = _located(docs, [(0, JSON_TYPE, _finder(JSON_PATTERN, True, width))], True, width)
     value = F.try_parse_json(F.regexp_extract("hit", JSON_BLOCK, 0))
     return hits.select(
-        "doc_id", "match_ord", "type", value.alias("value_json"), "context",
+        "doc_id", "match_ord", "type", _read_once(value.alias("value_json")), "context",
     ).where(F.col("value_json").isNotNull())
 
 
@@ -98,13 +94,12 @@ def extract_candidates(docs: DataFrame, patterns: Sequence[SettingPattern] = SET
     hits = _located(with_yaml, parts, context, width, yaml_ord, _scanned(patterns))
     json_text = F.when(F.col("type") == JSON_TYPE, F.regexp_extract("hit", JSON_BLOCK, 0)) \
         .when(F.col("type") == YAML_TYPE, F.col("block_json"))
-    rows = hits.select(
-        "doc_id", "pattern_ord", "match_ord", "type",
+    read = _read_once(
         _per_type(patterns, _key).alias("key"),
         _per_type(patterns, _value).alias("value"),
         F.try_parse_json(json_text).alias("value_json"),
-        "context",
     )
+    rows = hits.select("doc_id", "pattern_ord", "match_ord", "type", read, "context")
     return drop_false_positives(rows.where((F.col("type") != JSON_TYPE) | F.col("value_json").isNotNull()))
 
 
@@ -242,6 +237,11 @@ def _value(pattern: SettingPattern) -> Column:
     return F.regexp_extract("hit", to_java(pattern.regex), pattern.groups)
 
 
+def _read_once(*columns: Column) -> Column:
+    """The columns as a generator's output: a filter on them cannot move below and work them out again per mention."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def _per_type(patterns: Sequence[SettingPattern], part) -> Column:
     """The key or value of a hit, read from the short hit itself."""
     chosen = F.when(F.lit(False), F.lit(None).cast("string"))
