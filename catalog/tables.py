@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from configsieve.sources.tables import read_table
+from configsieve.sources.tables import dealt, read_table
 
 BASE_TABLES = ("customer", "documents", "pages", "conversations", "events", "orders")
+# Short rows that texts and answers are made of.
+NARROW_TABLES = ("customer", "orders")
 
 DERIVED = {
     # Short documents full of settings.
@@ -93,9 +95,10 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table."""
+    """A derived table; narrow rows are dealt before anything is made of them."""
     sql = DERIVED[name].replace("LATERAL_NUMBERS", SPARK_NUMBERS)
     used = {t: base(spark, sf_dir, t) for t in BASE_TABLES if f"{{{t}}}" in sql}
+    used |= {t: dealt(used[t]) for t in NARROW_TABLES if t in used}
     return spark.sql(sql, **used)
 
 
