@@ -58,6 +58,7 @@ ODD_SCHEMA = {
 }
 SECTION_SIZE, SECTION_OVERLAP = 120, 20
 REQUEST_SIZE, REQUEST_OVERLAP = 500, 50
+DOCX_AT_ONCE = 256
 
 
 # --- settings ---------------------------------------------------------------
@@ -495,7 +496,8 @@ def _docx_files(spark, sf_dir):
     """Each document as a DOCX: lines as paragraphs, a table, the text's bytes as a picture."""
 
     def pack(batches):
-        for batch in batches:
+        some = (batch[lo:lo + DOCX_AT_ONCE] for batch in batches for lo in range(0, len(batch), DOCX_AT_ONCE))
+        for batch in some:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "path": [f"{i}.docx" for i in batch["doc_id"]], "doc_type": "docx",
                 "content": [docx_bytes(t, s, n) for t, s, n in zip(batch["text"], batch["source"], batch["n_chars"])],

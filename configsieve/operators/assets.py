@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,10 +77,13 @@ def docx_asset_name(content: Column, image_format: Column) -> Column:
 def with_picture_header(assets: DataFrame) -> DataFrame:
     """Adds ``format``, ``width`` and ``height`` read from the picture's own header."""
 
-    @F.pandas_udf("format string, width int, height int")
-    def header(contents: pd.Series) -> pd.DataFrame:
-        rows = [picture_header(c) for c in contents]
-        return pd.DataFrame(rows, columns=["format", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
+    @F.arrow_udf("format string, width int, height int")
+    def header(contents: pa.Array) -> pa.Array:
+        # One content at a time is Python's.
+        rows = [picture_header(c.as_py()) for c in contents]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        kinds = {"format": pa.string(), "width": pa.int32(), "height": pa.int32()}
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     return assets.withColumn("header", header("content")).select(*assets.columns, "header.*")
 
