@@ -48,6 +48,15 @@ def test_leaves_are_made_in_many_tasks(spark, tmp_path):
     assert len(counts) >= 3 and max(counts) < sum(counts) / 2
 
 
+def test_threads_have_room_for_deep_configurations(spark):
+    for side in ("driver", "executor"):
+        assert "-Xss4m" in spark.sparkContext.getConf().get(f"spark.{side}.extraJavaOptions")
+    deep = '{"a":' * merge.MAX_DEPTH + "1" + "}" * merge.MAX_DEPTH
+    rows = spark.range(20_000).coalesce(1).select("id", F.when(F.col("id") % 500 == 499, deep).otherwise('{"k":"v"}').alias("text"))
+    written = rows.select("text", F.to_json(F.parse_json("text")).alias("json"))
+    assert written.where("text = json").count() == 20_000
+
+
 def filters(frame):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     return [line for line in plan.split("\n") if line.lstrip(" +-:").startswith("Filter")]
