@@ -14,6 +14,9 @@ exactly within its component, in pairs of blocks, and leave a task as one row pe
 vector.  So pairs are at most a beam per vector and shard, and all pairs are only
 compared where one of the two is wide.
 
+A graph travels in pieces: a row with all of it would be held as often as there
+are tasks that search it.
+
 Edge cases: null vectors, zero vectors and vectors with null or non-finite
 components link with nothing; equal vectors are searched for once and count as
 links of each other; vectors of different lengths never link; repeated rows
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 
 from configsieve.llm.components import components, joined_roots
 from configsieve.llm.ngram_join import block_pairs, bounds, groups
-from configsieve.llm.small_world import SmallWorld
-from configsieve.llm.storage import settled
+from configsieve.llm.small_world import SIDE_BY_SIDE, SmallWorld
+from configsieve.llm.storage import settled, small_bytes
 
 LEAST_COSINE = 0.9
 #: Shards at least, and vectors of a shard, about.
@@ -43,8 +46,11 @@ SHARDS = 6
 SHARD_ROWS = 65_536
 #: Bytes of a shard's vectors, about: long vectors make more shards.
 SHARD_BYTES = 64 << 20
-#: Vectors that one task searches a shard for, about.
+#: Vectors that one task searches a shard for, about; more where they are fewer bytes than the shard's graph.
 SEARCH_ROWS = 32_768
+#: Bytes of a piece of a graph, and pieces in a file: a file's are read together.
+PIECE_BYTES = 64 << 10
+FILE_PIECES = 128
 BEAM = 16
 AUDITED = 256
 RECALL = 0.99
@@ -86,27 +92,67 @@ def dealt_evenly(rows: DataFrame, number: Column, tasks: int) -> DataFrame:
     return rows.repartitionById(tasks, F.pmod(number + F.xxhash64("length"), F.lit(tasks)).cast("int"))
 
 
+def unit_rows(raw: pa.Array) -> np.ndarray:
+    """The vectors of a column without nulls whose bytes are equally many; not copied."""
+    ends = np.frombuffer(raw.buffers()[1], np.int64 if pa.types.is_large_binary(raw.type) else np.int32)
+    lo, hi = int(ends[raw.offset]), int(ends[raw.offset + len(raw)])
+    return np.frombuffer(raw.buffers()[2], np.float64, (hi - lo) // 8, lo).reshape(len(raw), -1)
+
+
+def in_pieces(index: dict) -> Iterator[bytes]:
+    """The index of a shard as bytes of PIECE_BYTES at most, apart from the first, which says what the others are."""
+    arrays: list[pickle.PickleBuffer] = []
+    head = pickle.dumps(index, protocol=5, buffer_callback=arrays.append)
+    raw = [array.raw() for array in arrays]
+    yield pickle.dumps((head, [part.nbytes for part in raw]))
+    for part in raw:
+        for lo in range(0, part.nbytes, PIECE_BYTES):
+            yield bytes(part[lo : lo + PIECE_BYTES])
+
+
+class Pieces:
+    """Takes the pieces of an index in their order; `index` puts it together, its arrays without another copy."""
+
+    def __init__(self) -> None:
+        self.head, self.arrays, self.at = None, [], [0, 0]
+
+    def add(self, piece: bytes) -> None:
+        if self.head is None:
+            self.head, sizes = pickle.loads(piece)
+            self.arrays = [bytearray(size) for size in sizes]
+            return
+        while self.at[1] == len(self.arrays[self.at[0]]):
+            self.at = [self.at[0] + 1, 0]
+        array, lo = self.at
+        self.arrays[array][lo : lo + len(piece)] = piece
+        self.at[1] += len(piece)
+
+    def index(self) -> dict:
+        return pickle.loads(self.head, buffers=self.arrays)
+
+
 def built(nodes: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: the graph, its vectors and the beam that passed the audit."""
+    """The pieces of each shard: the graph, its vectors and the beam that passed the audit."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, 2):
             start = bounds(batch, 2)
             for lo, hi in zip(start, start[1:]):
                 part = batch.slice(lo, hi - lo)
-                unit = np.frombuffer(b"".join(part.column("unit").to_pylist()), np.float64).reshape(len(part), -1)
+                unit = unit_rows(part.column("unit"))
                 graph = SmallWorld(unit)
                 index = {
                     "unit": unit, "node": part.column("node").to_numpy(), "copies": part.column("copies").to_numpy(),
-                    "layers": graph.layers, "order": graph.order, "beam": audited_beam(graph),
+                    "layers": graph.members_only(), "order": graph.order, "beam": audited_beam(graph),
                 }
-                keys = [pa.array([part.column(k)[0].as_py()], pa.int64()) for k in (0, 1)]
-                raw = pa.array([pickle.dumps(index, protocol=5)], pa.large_binary()).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*keys, raw], names=["length", "shard", "index"])
+                keys = [part.column(k)[0].as_py() for k in (0, 1)]
+                for piece, raw in enumerate(in_pieces(index)):
+                    row = [pa.array([k], pa.int64()) for k in (*keys, piece)]
+                    yield pa.RecordBatch.from_arrays([*row, pa.array([raw], pa.binary())], names=["length", "shard", "piece", "index"])
 
     rows = nodes.select("length", "shard", "node", "copies", "unit")
     dealt = dealt_evenly(rows, F.col("shard"), shards).sortWithinPartitions("length", "shard", "node")
-    return dealt.mapInArrow(build, "length long, shard long, index binary")
+    return dealt.mapInArrow(build, "length long, shard long, piece long, index binary")
 
 
 def audited_beam(graph: SmallWorld) -> int:
@@ -148,22 +194,23 @@ def mean_recall(graph: SmallWorld, queries: np.ndarray, true: np.ndarray, beam:
 def searched(nodes: DataFrame, indexes: DataFrame, parts: int, shards: int) -> DataFrame:
     """node, root (a node it is connected to) and kind of each find: see `found_links`.
 
-    Each shard is searched by `parts` tasks, and each task gets the shard's
-    index before the vectors to search for.
+    Each shard is searched by `parts` tasks, and each task gets the pieces of the
+    shard's index, in their order, before the vectors to search for.
     """
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     one = indexes.withColumn("part", every).withColumn("kind", F.lit(0)).withColumn("node", F.lit(None).cast("long"))
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.lit(parts))
     all_shards = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
     rows = nodes.select("length", part.alias("part"), F.lit(1).alias("kind"), "node", F.col("unit").alias("index"), all_shards.alias("shard"))
+    rows = rows.withColumn("piece", F.lit(0).cast("long"))
     keys = ["length", "shard", "part"]
-    columns = [*keys, "kind", "node", "index"]
+    columns = [*keys, "kind", "node", "index", "piece"]
     both = one.select(*columns).unionByName(rows.select(*columns))
     number = F.col("shard") * parts + F.col("part")
-    dealt = dealt_evenly(both, number, min(shards * parts, TASKS)).sortWithinPartitions(*keys, "kind")
+    dealt = dealt_evenly(both, number, min(shards * parts, TASKS)).sortWithinPartitions(*keys, "kind", "piece")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, index, graph = None, None, None
+        key, pieces, index, graph = None, None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -171,11 +218,15 @@ def searched(nodes: DataFrame, indexes: DataFrame, parts: int, shards: int) -> D
             for lo, hi in zip(start, start[1:]):
                 own = tuple(batch.column(k)[int(lo)].as_py() for k in range(3))
                 if batch.column(3)[int(lo)].as_py() == 0:
-                    key, index = own, pickle.loads(batch.column(5)[int(lo)].as_py())
-                    graph = SmallWorld(index["unit"], index["layers"], index["order"])
+                    if own != key:
+                        key, pieces, index, graph = own, Pieces(), None, None
+                    for k in range(lo, hi):
+                        pieces.add(batch.column(5)[k].as_py())
                 elif own == key:  # else the shard is empty
-                    raw = batch.column(5).slice(lo, hi - lo)
-                    unit = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(len(raw), -1)
+                    if graph is None:
+                        index, pieces = pieces.index(), None
+                        graph = SmallWorld(index["unit"], SmallWorld.whole_layers(index["layers"], index["order"]), index["order"])
+                    unit = unit_rows(batch.column(5).slice(lo, hi - lo))
                     yield found_links(graph, index, batch.column(4).slice(lo, hi - lo).to_numpy(), unit)
 
     return dealt.mapInArrow(search, "node long, root long, kind int")
@@ -187,24 +238,42 @@ CONNECTED, PAIR, WIDE = range(3)
 
 def found_links(graph: SmallWorld, index: dict, node: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
     """What the shard holds for each vector: its pairs, or, for wide ones, what connects them and a row that says so."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    joined, wide = [(left[0], right[0])], np.zeros(len(node), bool)
+    for lo in range(0, len(node), SIDE_BY_SIDE):
+        own = slice(lo, lo + SIDE_BY_SIDE)
+        row, at = close_pairs(graph, index, node[own], unit[own])
+        wide[own] = np.bincount(row, minlength=len(node[own])) >= BEAM
+        many = wide[own][row]
+        one, two = node[own][row], index["node"][at]
+        left.append(one[~many])
+        right.append(two[~many])
+        joined.append(named_roots(one[many], two[many]))
+    # What a few vectors connect may be connected again by others.
+    names, roots = named_roots(*map(np.concatenate, zip(*joined)))
+    left, right = [names, *left, node[wide]], [roots, *right, node[wide]]
+    kinds = np.repeat([CONNECTED, PAIR, WIDE], [len(names), sum(map(len, left)) - len(names) - wide.sum(), wide.sum()])
+    columns = [pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64()), pa.array(kinds, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "root", "kind"])
+
+
+def close_pairs(graph: SmallWorld, index: dict, node: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of `unit` and place in the shard of the found vectors that are close enough in double precision, but for the row's own."""
     row, at = graph.within(unit.astype(np.float32), LEAST_COSINE - SLACK, index["beam"])
     good = np.zeros(len(row), bool)
-    for lo in range(0, len(row), 1 << 16):
-        k = slice(lo, lo + (1 << 16))
+    step = max(1, BLOCK_BYTES // (8 * unit.shape[1]))
+    for lo in range(0, len(row), step):
+        k = slice(lo, lo + step)
         good[k] = (unit[row[k]] * index["unit"][at[k]]).sum(1) >= LEAST_COSINE
     good &= node[row] != index["node"][at]
-    row, at = row[good], at[good]
-    wide = np.bincount(row, minlength=len(node)) >= BEAM
-    many = wide[row]
-    one, two = node[row], index["node"][at]
-    # Numbers for the wide vectors and the shard's own that they link to.
-    names, number = np.unique(np.concatenate([one[many], two[many]]), return_inverse=True)
+    return row[good], at[good]
+
+
+def named_roots(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the links one[k]-two[k], and one that it is connected to, the same for all that are."""
+    names, number = np.unique(np.concatenate([one, two]), return_inverse=True)
     half = len(number) // 2
-    roots = names[joined_roots(len(names), number[:half], number[half:])] if half else names
-    left, right = [names, one[~many], node[wide]], [roots, two[~many], node[wide]]
-    kinds = np.repeat([CONNECTED, PAIR, WIDE], [len(part) for part in left])
-    columns = [pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64()), pa.array(kinds, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, names=["node", "root", "kind"])
+    return names, names[joined_roots(len(names), number[:half], number[half:])] if half else names
 
 
 def linked(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -238,7 +307,7 @@ def exact_links(nodes: DataFrame, joined: DataFrame) -> DataFrame:
             copies, raw = batch.column("copies").to_numpy(), batch.column("unit")
             links = np.zeros(len(batch), np.int64)
             for lo, hi in zip(start, start[1:]):
-                unit = np.frombuffer(b"".join(raw.slice(lo, hi - lo).to_pylist()), np.float64).reshape(hi - lo, -1)
+                unit = unit_rows(raw.slice(lo, hi - lo))
                 for at in range(0, hi - lo, BLOCK):
                     near = linked(unit[at : at + BLOCK], unit)
                     near[np.arange(len(near)), at + np.arange(len(near))] = False
@@ -270,7 +339,7 @@ def cross_links(nodes: DataFrame, members: DataFrame) -> DataFrame:
             copies, raw = batch.column("copies").to_numpy(), batch.column("unit")
             links = np.zeros(len(batch), np.int64)
             for lo, hi in zip(start, start[1:]):
-                unit = np.frombuffer(b"".join(raw.slice(lo, hi - lo).to_pylist()), np.float64).reshape(hi - lo, -1)
+                unit = unit_rows(raw.slice(lo, hi - lo))
                 own, others = np.flatnonzero(wide[lo:hi]), np.flatnonzero(~wide[lo:hi])
                 for at in range(0, len(own), BLOCK):
                     few = own[at : at + BLOCK]
@@ -295,13 +364,17 @@ def pair_links(nodes: DataFrame, found: DataFrame, members: DataFrame) -> DataFr
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
+    small_bytes(vectors.sparkSession)
     rows = settled(vector_rows(vectors), "vectors")
     nodes = rows.where("node IS NOT NULL").groupBy("node", "unit").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     nodes = settled(nodes.withColumn("length", F.octet_length("unit").cast("long")), "vector-nodes")
     n, size = nodes.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    shards, parts = max(SHARDS, -(-n // SHARD_ROWS), -(-size // SHARD_BYTES)), max(1, -(-n // SEARCH_ROWS))
+    shards = max(SHARDS, -(-n // SHARD_ROWS), -(-size // SHARD_BYTES))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit("shard")), F.lit(shards)))
-    indexes = settled(built(nodes, shards), "vector-graphs")
+    indexes = settled(built(nodes, shards), "vector-graphs", FILE_PIECES)
+    # Vectors go to every shard once, graphs to every part: more parts would move more bytes of graphs than of vectors.
+    graphs = indexes.count() * PIECE_BYTES
+    parts = max(1, min(-(-n // SEARCH_ROWS), -(-size * shards // max(1, graphs))))
     found = settled(searched(nodes, indexes, parts, shards), "vector-links")
     wide = found.where(F.col("kind") == WIDE).select("node", F.lit(True).alias("wide")).distinct()
     members = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(wide, "node", "left")

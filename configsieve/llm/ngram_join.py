@@ -268,15 +268,17 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBa
         if held and (last or any(held[-1].column(k)[-1] != batch.column(k)[0] for k in range(keys))):
             new = any(held[-1].column(k)[-1] != batch.column(k)[0] for k in range(keys))
             head = [] if new and not last else [batch.slice(0, last)]
-            yield joined_batch([*held, *head])
-            held = [batch.slice(last)] if last else [batch]
+            # What was joined is let go before it is worked on.
+            whole, held = joined_batch([*held, *head]), [batch.slice(last)] if last else [batch]
+            yield whole
         elif last:
             yield batch.slice(0, last)
             held = [batch.slice(last)]
         else:
             held.append(batch)
     if held:
-        yield joined_batch(held)
+        whole, held = joined_batch(held), []
+        yield whole
 
 
 def joined_batch(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

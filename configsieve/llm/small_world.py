@@ -13,6 +13,9 @@ LINKS = 16
 BUILD_BEAM = 48
 #: Vectors inserted, or searched for, side by side.
 SIDE_BY_SIDE = 512
+#: Bytes of vectors gathered, or compared with each other, at once, and places of all beams at once, about.
+ROOM = 16 << 20
+PLACES = 1 << 18
 
 
 class SmallWorld:
@@ -35,6 +38,19 @@ class SmallWorld:
             self._add_layer(members, above, 2 * LINKS if height == 0 else LINKS)
             above = members
 
+    def members_only(self) -> list[np.ndarray]:
+        """The layers without the rows of nodes that are not in them."""
+        levels = np.array([(links >= 0).any(1) for links in self.layers])[:, self.order]
+        return [links[self.order[: int(np.flatnonzero(level)[-1]) + 1 if level.any() else 0]] for links, level in zip(self.layers, levels)]
+
+    @staticmethod
+    def whole_layers(members: list[np.ndarray], order: np.ndarray) -> list[np.ndarray]:
+        """The layers that `members_only` was made of."""
+        layers = [np.full((len(order), links.shape[1]), -1, np.int32) for links in members]
+        for layer, links in zip(layers, members):
+            layer[order[: len(links)]] = links
+        return layers
+
     def _add_layer(self, members: int, above: int, width: int) -> None:
         """Insert the members of a layer, those of the layers above first."""
         links = np.full((len(self.unit), width), -1, np.int32)
@@ -63,8 +79,24 @@ class SmallWorld:
             at = self._beam(q, at, 1, links)[0][:, 0]
         return at
 
+    def _at_once(self, width: int) -> int:
+        """How many rows of `width` nodes each fit the room, by the vectors gathered and the pairs compared."""
+        return max(1, ROOM // (4 * width * max(width, self.unit.shape[1])))
+
+    def _similar(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The similarity of each row of nodes to the row's vector."""
+        out, step = np.empty(ids.shape, np.float32), self._at_once(ids.shape[1])
+        for lo in range(0, len(ids), step):
+            out[lo : lo + step] = (self.unit[ids[lo : lo + step]] @ q[lo : lo + step, :, None])[:, :, 0]
+        return out
+
     def _diverse(self, ids: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
         """Of each row's candidates, those closer to the row's vector than to one chosen before; the rest fills up."""
+        step = self._at_once(min(ids.shape[1], BUILD_BEAM + LINKS))
+        parts = [self._diverse_rows(ids[lo : lo + step], sims[lo : lo + step], width) for lo in range(0, len(ids), step)]
+        return np.concatenate(parts)
+
+    def _diverse_rows(self, ids: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
         order = np.argsort(-sims, axis=1, kind="stable")[:, : BUILD_BEAM + LINKS]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         own = self.unit[ids]
@@ -94,9 +126,12 @@ class SmallWorld:
         fits = place < most
         extra[row[fits], place[fits]] = source[fits]
         ids = np.hstack([links[nodes], extra])
-        repeated = (ids[:, None, :] == ids[:, :, None]) & np.tri(ids.shape[1], k=-1, dtype=bool)
-        ids[repeated.any(2)] = -1
-        sims = (self.unit[ids] @ self.unit[nodes][:, :, None])[:, :, 0]
+        step = self._at_once(ids.shape[1])
+        for lo in range(0, len(ids), step):
+            few = ids[lo : lo + step]
+            repeated = (few[:, None, :] == few[:, :, None]) & np.tri(few.shape[1], k=-1, dtype=bool)
+            few[repeated.any(2)] = -1
+        sims = self._similar(ids, self.unit[nodes])
         sims[ids < 0] = -np.inf
         links[nodes] = self._diverse(ids, sims, links.shape[1])
 
@@ -121,7 +156,7 @@ class SmallWorld:
             rows = np.repeat(active[:, None], near.shape[1], 1)
             fresh = (near >= 0) & ~seen[rows, near]
             seen[rows[fresh], near[fresh]] = True
-            found = (self.unit[near] @ q[active][:, :, None])[:, :, 0]
+            found = self._similar(near, q[active])
             found[~fresh] = -np.inf
             all_sims = np.hstack([sims[active], found])
             top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
@@ -141,10 +176,15 @@ class SmallWorld:
             entry = self._descended(q[rows], -1)
             while len(rows):
                 width = min(width, len(self.unit))
-                ids, sims = self._beam(q[rows], entry, width, self.layers[-1])
-                full = (sims >= least).all(1) & (width < len(self.unit))
-                hit = (sims >= least) & ~full[:, None]
-                out_rows.append(rows[np.nonzero(hit)[0]])
-                out_ids.append(ids[hit])
+                wider, step = [], max(1, PLACES // width)
+                for at in range(0, len(rows), step):
+                    few = slice(at, at + step)
+                    ids, sims = self._beam(q[rows[few]], entry[few], width, self.layers[-1])
+                    full = (sims >= least).all(1) & (width < len(self.unit))
+                    hit = (sims >= least) & ~full[:, None]
+                    out_rows.append(rows[few][np.nonzero(hit)[0]])
+                    out_ids.append(ids[hit])
+                    wider.append(full)
+                full = np.concatenate(wider)
                 rows, entry, width = rows[full], entry[full], 4 * width
         return np.concatenate(out_rows), np.concatenate(out_ids)

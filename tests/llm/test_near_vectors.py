@@ -1,11 +1,12 @@
 """Vector links against all pairs in double precision."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from configsieve.llm import near_vectors
+from configsieve.llm import near_vectors, small_world
 from configsieve.llm.small_world import SmallWorld
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -183,3 +184,93 @@ def test_long_vectors_make_more_shards(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert found(near_vectors.near_duplicates(frame)) == brute(rows)
     assert used == [13]
+
+
+def unit_vectors(n, width, seed):
+    unit = np.random.default_rng(seed).normal(size=(n, width))
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def test_no_row_holds_a_graph(spark):
+    """A row with a graph is held once per task that searches it; its pieces give back the same graph."""
+    unit = unit_vectors(3000, 64, 31)
+    rows = [(512, 0, k, 1, u.tobytes()) for k, u in enumerate(unit)]
+    nodes = spark.createDataFrame(rows, "length long, shard long, node long, copies long, unit binary")
+    made = near_vectors.built(nodes, 1).collect()
+    assert max(len(r["index"]) for r in made) <= 64 << 10
+    whole = near_vectors.Pieces()
+    for r in sorted(made, key=lambda r: r["piece"]):
+        whole.add(bytes(r["index"]))
+    index, graph = whole.index(), SmallWorld(unit)
+    assert (index["unit"] == unit).all() and index["node"].tolist() == list(range(3000)) and index["copies"].sum() == 3000
+    layers = SmallWorld.whole_layers(index["layers"], index["order"])
+    assert len(layers) == len(graph.layers) > 1 and all((a == b).all() for a, b in zip(layers, graph.layers))
+    assert (index["order"] == graph.order).all() and len(index["layers"][-1]) == 3000 > len(index["layers"][0])
+
+
+def test_one_vector_makes_a_graph_in_pieces(monkeypatch):
+    monkeypatch.setattr(near_vectors, "PIECE_BYTES", 10)
+    for unit in (unit_vectors(1, 3, 32), unit_vectors(2, 5, 33)):
+        graph, whole = SmallWorld(unit), near_vectors.Pieces()
+        index = {"unit": unit, "node": np.arange(len(unit)), "layers": graph.members_only(), "order": graph.order, "none": np.zeros(0), "beam": 1}
+        for piece in near_vectors.in_pieces(index):
+            whole.add(piece)
+        found = whole.index()
+        assert (found["unit"] == unit).all() and found["node"].tolist() == list(range(len(unit))) and not len(found["none"])
+        for a, b in zip(SmallWorld.whole_layers(found["layers"], found["order"]), graph.layers, strict=True):
+            assert (a == b).all()
+
+
+def test_pieces_come_in_several_files_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "FILE_PIECES", 2)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    vectors = list(unit_vectors(700, 160, 34))
+    vectors += [vectors[k % 9] + 0.02 * v for k, v in enumerate(unit_vectors(90, 160, 35))]
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spark.conf.set(key, "4")
+    try:
+        assert found(near_vectors.near_duplicates(frame)) == brute(rows)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_graphs_are_no_more_bytes_than_vectors_sent(spark, monkeypatch):
+    """Each part of a shard's search gets the whole graph, so many parts of few vectors would mostly move graphs."""
+    monkeypatch.setattr(near_vectors, "SEARCH_ROWS", 1)
+    used, whole = [], near_vectors.searched
+    monkeypatch.setattr(near_vectors, "searched", lambda nodes, indexes, parts, shards: used.append(parts) or whole(nodes, indexes, parts, shards))
+    vectors = list(unit_vectors(60, 16, 36))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors + vectors[:5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(near_vectors.near_duplicates(frame)) == brute(rows)
+    assert used == [1]
+
+
+def test_long_vectors_are_not_gathered_all_at_once():
+    unit = unit_vectors(500, 4096, 37).astype(np.float32)
+    tracemalloc.start()
+    graph = SmallWorld(unit)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * unit.nbytes
+    assert len(graph.within(unit, 0.9, 16)[0]) == 500
+
+
+def test_widened_beams_go_a_few_at_a_time(monkeypatch):
+    unit = unit_vectors(1, 24, 38) + 0.02 * unit_vectors(250, 24, 39)
+    unit = np.vstack([unit, unit_vectors(150, 24, 40)])
+    unit = (unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.float32)
+    graph, most, whole = SmallWorld(unit), [], SmallWorld._beam
+    want = set(zip(*(x.tolist() for x in graph.within(unit, 0.9, 16))))
+
+    def watched(self, q, entry, beam, links):
+        most.append(len(q) * beam)
+        return whole(self, q, entry, beam, links)
+
+    monkeypatch.setattr(SmallWorld, "_beam", watched)
+    monkeypatch.setattr(small_world, "PLACES", 3000)
+    row, at = graph.within(unit, 0.9, 16)
+    assert set(zip(row.tolist(), at.tolist())) == want and len(row) == len(want) >= 250 * 250
+    assert max(most) <= 3000
